@@ -92,6 +92,67 @@ def worker_state(key, make: Callable):
     return kept[key]
 
 
+def merge_pairs(parts: list[str], rank, none: float) -> list[str]:
+    """Byte-pair merges: again and again the adjacent pair of highest rank(left, right), leftmost on ties, until all are `none`."""
+    ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]
+    while ranks:
+        best = max(ranks)
+        if best == none:
+            break
+        i = ranks.index(best)
+        parts[i] += parts.pop(i + 1)
+        ranks.pop(i)
+        if i:
+            ranks[i - 1] = rank(parts[i - 1], parts[i])
+        if i < len(ranks):
+            ranks[i] = rank(parts[i], parts[i + 1])
+    return parts
+
+
+class Cover:
+    """What byte-pair merges make of a string, found from the left.
+
+    Merges are local: a sequence of tokens is the result of merging exactly if every token
+    is what its own characters merge to and every two neighbours are what the two together
+    merge to. So tokens are tried longest first, checked against the token before, and
+    taken back at a dead end. `apart` splits a string in the symbols that merging starts
+    from, `rank` gives a pair's priority.
+    """
+
+    def __init__(self, tokens, apart: Callable, rank: Callable, none: float, cache: int = 200_000):
+        merged = lambda x: merge_pairs(apart(x), rank, none)
+        self.tokens = {t for t in tokens if merged(t) == [t]}
+        self.sizes: dict[str, list[int]] = {}
+        for t in self.tokens:
+            self.sizes.setdefault(t[:3], []).append(len(t))
+        for t in list(self.sizes):  # shorter tokens are tried after the longer ones that start alike
+            self.sizes[t] = sorted({*self.sizes[t], *(n for n in (1, 2) if t[:n] in self.tokens), 1}, reverse=True)
+        self.fits = Memo(lambda pair: merged(pair[0] + pair[1]) == list(pair), cache)
+
+    def __call__(self, text: str) -> list[str]:
+        sizes, fits, n = self.sizes, self.fits, len(text)
+        out, dead, at, last, shorter = [], set(), 0, "", 0
+        while at < n:
+            head = text[at : at + 3]
+            for k in sizes.get(head) or self._short(head):
+                t = text[at : at + k]
+                if (not shorter or k < shorter) and (k < 4 or t in self.tokens) and len(t) == k and (not last or fits[last, t]) and (not dead or (at, k, len(last)) not in dead):
+                    out.append(t)
+                    at, last, shorter = at + k, t, 0
+                    break
+            else:
+                t = out.pop()
+                last, at, shorter = out[-1] if out else "", at - len(t), len(t)
+                dead.add((at, len(t), len(last)))
+        return out
+
+    def _short(self, head: str) -> list[int]:
+        found = [k for k in range(len(head), 0, -1) if k == 1 or head[:k] in self.tokens]
+        if len(self.sizes) < 1_000_000:
+            self.sizes[head] = found
+        return found
+
+
 def connected_components(edges: DataFrame, rounds: int = 100) -> Saved:
     """(node, component): the smallest node reachable, for every node with an edge.
 
