@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cws, langid, lm, packing, sentencepieces, simhash, toxicity, urls
+from . import ann, cws, langid, lm, packing, pii, sentencepieces, simhash, toxicity, urls
 from .common import crc_mod, table
 
 
@@ -28,6 +28,16 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.by_document(pii.find(table(spark, sf_dir, "documents")))
+    base = F.filter("spans", lambda s: s.kind < 4)
+
+    def number(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    return docs.select("doc_id", *map(number, range(4)), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 #: The listed entries that the contract names.
 RULES = [
     ("com", "/", "allow"),
