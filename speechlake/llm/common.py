@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,19 @@ def worker_state(key, make: Callable):
     return kept[key]
 
 
+def keep_rows(docs: DataFrame, state: tuple, make: Callable, text: str = "text") -> DataFrame:
+    """The rows whose text passes make()(text), with all their columns; make() runs once a worker."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        test = worker_state(state, make)
+        for b in batches:
+            yield b.filter(pa.array([test(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def merge_pairs(parts: list[str], rank, none: float) -> list[str]:
     """Byte-pair merges: again and again the adjacent pair of highest rank(left, right), leftmost on ties, until all are `none`."""
     ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]

@@ -168,3 +168,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs without those of no known language (null text, or no letter); an ambiguous text stays."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        guess = Predictor(sent.value)
+        return lambda text: guess(text)[0] != UNKNOWN
+
+    return common.keep_rows(docs, ("lang-keep", uuid.uuid4().hex), make)

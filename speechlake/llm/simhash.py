@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -139,3 +139,169 @@ def link_components(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     for step in (links, reps, comp, labelled, lows):
         step.drop()
     return prints.df.join(name.df, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near duplicates by similarity: wider fingerprints, blocks of sampled bits, exact verification.
+
+WIDTH, MISSED, PRE_FILTER, LEADER_ROUNDS = 4, 3.0, 20, 6
+
+
+def wide(hashes: np.ndarray) -> list[int]:
+    """WIDTH signed longs: the SimHash under WIDTH mixings of each hash."""
+    out = []
+    for i in range(WIDTH):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            x = hashes[at : at + CHUNK] + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            total += bit_counts(x ^ (x >> np.uint64(31)))
+        out.append(int(np.packbits(total * 2 > len(hashes)).view(">i8")[0]))
+    return out
+
+
+def prints(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, th, fp array of WIDTH longs, shingles binary): th hashes the text, shingles are 32 bits of each distinct one, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                fps, sets = [], []
+                for t in part.column(2).cast(pa.binary()).to_pylist():
+                    h = shingle_hashes(words_of(t), size)
+                    fps.append(wide(h))
+                    sets.append(np.unique(h.astype(np.uint32)).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "th", "fp", "shingles"]
+                )
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp array<long>, shingles binary")
+
+
+def bit_blocks(count: int, similarity: float) -> np.ndarray:
+    """Sampled bit positions, a row per block: one bit more than there are bits in the count, so that unlike
+    texts rarely meet at any size, and as many blocks as let a pair at the similarity share MISSED of them on average."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(48, max(8, math.ceil(math.log2(max(2, count))) + 1))
+    blocks = math.ceil(MISSED / agree**bits)
+    rng = np.random.default_rng(bits)
+    return np.array([rng.choice(64 * WIDTH, bits, replace=False) for _ in range(blocks)])
+
+
+def block_keys(reps: DataFrame, picked: np.ndarray) -> DataFrame:
+    """(th, f, block, key) of reps (th, fp): the sampled bits of each block; f is the first long of fp."""
+    weights = (1 << np.arange(picked.shape[1])).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                fp = np.array(part.column(1).to_pylist(), np.int64).reshape(-1, WIDTH)
+                bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(len(fp), 8 * WIDTH), axis=1)
+                keys = np.stack([bits[:, p].astype(np.int64) @ weights for p in picked], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.array(part.column(0)), len(picked))),
+                        pa.array(np.repeat(fp[:, 0], len(picked))),
+                        pa.array(np.tile(np.arange(len(picked), dtype=np.int32), len(fp))),
+                        pa.array(keys.ravel()),
+                    ],
+                    ["th", "f", "block", "key"],
+                )
+
+    return reps.select("th", "fp").mapInArrow(run, "th long, f long, block int, key long")
+
+
+def far(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                union = len(p) + len(q) - both
+                kept.append(union == 0 or both >= similarity * union - 1e-9)
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    left = sets.select(F.col("th").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("th").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """(a, b): rows (block, key, th, f) of one block whose first longs are near enough to be looked at."""
+    right = rows.select("block", "key", F.col("th").alias("b"), F.col("f").alias("g"))
+    met = rows.join(right, ["block", "key"]).where((F.col("th") < F.col("b")) & (far("f", "g") <= PRE_FILTER))
+    return met.select(F.col("th").alias("a"), "b").distinct()
+
+
+def similar_links(reps: DataFrame, sets: DataFrame, similarity: float) -> common.Saved:
+    """(a, b): links between texts (th, fp) of at least the similarity, by blocks; see near_duplicates."""
+    keys = common.Saved(block_keys(reps, bit_blocks(reps.count(), similarity)), "keys")
+    sizes = common.Saved(keys.df.groupBy("block", "key").count().where("count > 1"), "sizes")
+    few, many = (sizes.df.where(F.col("count") <= HOT_BLOCK), sizes.df.where(F.col("count") > HOT_BLOCK))
+    cold = common.Saved(keys.df.join(few.select("block", "key"), ["block", "key"], "left_semi"), "cold")
+    found = [common.Saved(verified(paired(cold.df), sets, similarity), "found")]
+    hot = common.Saved(keys.df.join(many.select("block", "key"), ["block", "key"], "left_semi"), "hot")
+    keys.drop()
+    for _ in range(LEADER_ROUNDS):
+        if not hot.df.limit(1).count():
+            break
+        # The leader is the text nearest to its block's majority bits: copies differ from it less than from each other.
+        votes = hot.df.groupBy("block", "key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("f", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"v{i}") for i in range(64)])
+        one = [F.when(F.col(f"v{i}") * 2 > F.col("n"), F.lit(signed(1 << i))).otherwise(F.lit(0).cast("long")) for i in range(64)]
+        middle = one[0]
+        for bit in one[1:]:
+            middle = middle.bitwiseOR(bit)
+        voted = common.Saved(votes.select("block", "key", middle.alias("middle")), "voted")
+        leaders = hot.df.join(voted.df, ["block", "key"]).groupBy("block", "key").agg(F.min(F.struct(far("f", "middle").alias("d"), "th", "f")).alias("l"))
+        leaders = common.Saved(leaders.select("block", "key", F.col("l.th").alias("a"), F.col("l.f").alias("g")), "leaders")
+        led = hot.df.join(leaders.df, ["block", "key"])
+        pairs = led.where((F.col("th") != F.col("a")) & (far("f", "g") <= PRE_FILTER)).select("a", F.col("th").alias("b")).distinct()
+        found.append(common.Saved(verified(pairs, sets, similarity), "found"))
+        gone = found[-1].df.withColumnRenamed("b", "th")
+        left = led.where(F.col("th") != F.col("a")).join(gone, ["a", "th"], "left_anti").select("th", "f", "block", "key")
+        hot = common.Saved(left, "hot")
+    found.append(common.Saved(verified(paired(hot.df), sets, similarity), "found"))
+    links = found[0].df
+    for more in found[1:]:
+        links = links.unionByName(more.df)
+    return common.Saved(links.distinct(), "links")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, th): of each group of near-duplicate documents (doc_id, text), the one that stays.
+
+    Equal texts are one. Texts are linked if their sets of word shingles have at least the
+    Jaccard similarity. Candidates agree in a block of bits sampled from a SimHash of 64 * WIDTH
+    bits: a pair at the threshold shares MISSED blocks on average (1 in 20 shares none), nearer
+    ones more. In blocks above HOT_BLOCK texts a leader, the one nearest to the block's majority,
+    meets all others first, those linked to it leave, and after LEADER_ROUNDS the rest is paired.
+    Groups are the components of the links; the smallest doc_id of a group stays.
+    """
+    common.ship(docs.sparkSession)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    done = common.Saved(prints(source.withColumn("th", F.xxhash64("text")), size), "prints")
+    reps = common.Saved(done.df.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "reps")
+    links = similar_links(reps.df, done.df.select("th", "shingles").dropDuplicates(["th"]), similarity)
+    comp = common.connected_components(links.df)
+    labelled = common.Saved(reps.df.select("th", "rep").join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "labelled")
+    best = labelled.df.groupBy("label").agg(F.min(F.struct("rep", "th")).alias("b"))
+    keepers = common.Saved(best.select(F.col("b.rep").alias("doc_id"), F.col("b.th").alias("th")), "keepers")
+    return keepers.df
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near duplicates: one row of each group stays, with all its columns."""
+    keepers = near_duplicates(docs, size, similarity).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = Window.partitionBy("_id", "_th").orderBy(F.lit(1))
+    return keyed.join(keepers, ["_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)

@@ -133,3 +133,14 @@ def score(docs: DataFrame, weights: tuple[dict[str, float], float] | None) -> Da
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, sentence string")
+
+
+def keep_clean(docs: DataFrame, weights: tuple[dict[str, float], float] | None, limit: float = 0.5) -> DataFrame:
+    """docs without those that score `limit` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def make():
+        scorer = Scorer(sent.value)
+        return lambda text: scorer(text or "")[0] < limit
+
+    return common.keep_rows(docs, ("toxic-keep", uuid.uuid4().hex), make)
