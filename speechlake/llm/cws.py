@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 GROUPS, BINS = 16, 8
 SPACE = r"[\x20\x09-\x0D]+"
-#: A range of doc_id for so many of the shuffle's partitions.
-RANGES = 2
+#: Ranges of doc_id for each of the shuffle's partitions: small ones, so that a range's word counts stay in memory.
+RANGES = 8
 #: Groups from here on carry a document's own values.
 OWN = 100
 
@@ -79,7 +79,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             F.when(lowest, F.struct(F.lit(len(bounds)).alias("part"), F.lit(2).alias("guard"))),
         )
     )
-    dealt = docs.withColumn("part", part).withColumn("place", F.explode(places)).select("doc_id", "text", "place.part", "place.guard")
+    dealt = docs.withColumn("part", part).withColumn("place", F.explode(places)).select("doc_id", "text", "place.part", "place.guard").repartition(n, "part")
     order = Window.partitionBy("part").orderBy("guard", "doc_id", "text")
     return dealt.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
 
