@@ -4,11 +4,11 @@ The vocabulary's pieces get unigram probabilities from how often the training te
 use them (add-one). A text's probability sums over every segmentation into pieces: in log
 space alpha(j) = logsum over pieces w ending at j of alpha(j - |w|) + log p(w). Pieces never
 span words, so a text's lattice falls apart into its words' lattices and one end symbol, and
-a word's marginal is computed once and kept.
+the marginal of every distinct word of the corpus is computed once.
 
 Corpus counts (words, pieces) cover all training texts. The base model needs each word's
-count: the most frequent HEAD words go to the workers, the others are looked up by a join
-that no frequent word can skew, so every count is exact at every size.
+count: count and marginal: the most frequent HEAD words go to the workers, the others are looked up
+by a join that no frequent word can skew, so every count is exact at every size.
 
 Defined results: null text counts as empty (one end symbol); repeated rows are scored each;
 extra columns are left out; without training texts every count is zero.
@@ -22,21 +22,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .simhash import words_of
 
 #: Words whose counts are sent to the workers: a bound on what is broadcast, not on what is counted.
-HEAD = 50_000
+HEAD = 100_000
 #: Distinct words that a task holds before it passes its partial counts on.
 FLUSH = 200_000
 MARK = "▁"
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, c long): words and, as a null word, the ends of documents (text)."""
+    """(word binary, c long): words and, as a null word, the ends of documents (text, train); c counts in training texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -44,15 +44,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                counts.update(words_of(t or b""))
-                counts[None] += 1
+            for t, train in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
+                if train:
+                    counts.update(words_of(t or b""))
+                    counts[None] += 1
+                else:
+                    for w in words_of(t or b""):
+                        counts[w] += 0
                 if len(counts) > FLUSH:
                     yield out()
                     counts.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def pieces_of(model: str) -> tuple[object, list[str]]:
@@ -75,7 +79,7 @@ def count_pieces(words: DataFrame, model: str) -> DataFrame:
                     counts[i] += c
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["piece", "c"])
 
-    return words.where("word is not null").select("word", "c").mapInArrow(run, "piece int, c long").groupBy("piece").agg(F.sum("c").alias("c"))
+    return words.where("word is not null and c > 0").select("word", "c").mapInArrow(run, "piece int, c long").groupBy("piece").agg(F.sum("c").alias("c"))
 
 
 class Lattice:
@@ -126,74 +130,71 @@ class Lattice:
         raise AssertionError
 
 
-def score(docs: DataFrame, train: DataFrame, model: str, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of documents, learned from train (both doc_id, text)."""
+def score(docs: DataFrame, train: Column, model: str, head: int = HEAD) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text); learned from those where train is true."""
     spark = docs.sparkSession
     common.ship(spark)
-    counted = common.Saved(count_words(train), "words")
-    totals = counted.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).first()
-    n, v, ends = int(totals[0]), int(totals[1]), int(totals[2])
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text"
+    )
+    counted = common.Saved(count_words(source), "words")
+    totals = counted.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).first()
+    n, v, ends = map(int, totals)
     piece_counts = dict(count_pieces(counted.df, model).collect())  # a row per piece of the vocabulary at most
-    top = counted.df.where("word is not null").orderBy(F.desc("c"), "word").limit(head)
-    known = {bytes(w): c for w, c in top.collect()}
-    least = min(known.values()) if len(known) == head else 0
-    sent = spark.sparkContext.broadcast((known, piece_counts, ends))
-    run_id, floor = uuid.uuid4().hex, n + v + 1
-    # A word outside the head has at most `least` occurrences; its documents wait for the join.
-    schema = "row long, doc_id long, n_tokens long, n_known long, log_sum double, lattice double, word binary, times long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def start() -> common.Memo:
-            known, piece_counts, ends = sent.value
-            lattice = Lattice(pieces_of(model)[1], piece_counts, ends)
+    grammar = spark.sparkContext.broadcast((piece_counts, ends))
+    run_id, end = uuid.uuid4().hex, Lattice(pieces_of(model)[1], piece_counts, ends).end
 
-            def make(word: bytes) -> tuple[int, float, float]:
-                c = known.get(word, 0)
-                return c, math.log10(c + 1), lattice(word)
+    def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = common.worker_state(("lattice", run_id), lambda: Lattice(pieces_of(model)[1], *grammar.value))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([lattice(w) for w in b.column(0).to_pylist()], pa.float64())], ["word", "c", "logp"])
 
-            memo = common.Memo(make, 100_000)
-            memo.end = (math.log10(ends + 1), lattice.end)
-            return memo
+    words = common.Saved(counted.df.where("word is not null").mapInArrow(marginals, "word binary, c long, logp double"), "marginals")
+    top = words.df.where("c > 0").orderBy(F.desc("c"), "word").limit(head)
+    known = {bytes(w): (c, math.log10(c + 1), logp) for w, c, logp in top.collect()}
+    least = min(k[0] for k in known.values()) if len(known) == head else 0
+    sent = spark.sparkContext.broadcast(known)
+    schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, lattice double, words array<binary>, times array<int>"
 
-        memo = common.worker_state(("lm", run_id), start)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for row, doc_id, text in zip(*(c.to_pylist() for c in b.slice(at, 512).columns)):
-                    words = words_of((text or "").encode())
-                    tokens, hit, logs, lat, rare = len(words) + 1, int(ends > 0), memo.end[0], memo.end[1], []
+                rows = []
+                part = b.slice(at, 512)
+                for row, doc_id, own, text in zip(*(c.to_pylist() for c in part.columns[:3]), part.column(3).cast(pa.binary()).to_pylist()):
+                    words = words_of(text or b"")
+                    hit, logs, lat, rare, times = int(ends > 0), math.log10(ends + 1), end, [], []
                     for w, k in Counter(words).items():
-                        c, log_c, log_w = memo[w]
-                        lat += k * log_w
-                        if c:
+                        found = known.get(w)
+                        if found:
                             hit += k
-                            logs += k * log_c
+                            logs += k * found[1]
+                            lat += k * found[2]
                         else:
-                            rare.append((w, k))
-                    line = (row, doc_id, tokens, hit, logs, lat / math.log(10), None, 0)
-                    for out, x in zip(rows, line):
-                        out.append(x)
-                    for w, k in rare:
-                        for out, x in zip(rows, (row, None, None, None, None, None, w, k)):
-                            out.append(x)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], ["row", "doc_id", "n_tokens", "n_known", "log_sum", "lattice", "word", "times"])
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+                            rare.append(w)
+                            times.append(k)
+                    rows.append((row, doc_id, own, len(words) + 1, hit, logs, lat, rare, times))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split(" ")[0] for f in schema.split(", ")])
+
     out = common.Saved(source.mapInArrow(run, schema), "scored")
-    tail = counted.df.where((F.col("c") <= least) & F.col("word").isNotNull()) if least else counted.df.where("false")
+    # What the head lacks: words of at most `least` occurrences, so no word here is in more than a few documents.
+    tail = words.df.where(F.col("c") <= least)
     late = (
-        out.df.where("word is not null").select("row", "word", "times")
+        out.df.select("row", F.explode(F.arrays_zip("words", "times")).alias("z")).select("row", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
         .join(tail, "word")
         .groupBy("row")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_log"))
+        .agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"), F.sum(F.col("times") * F.col("logp")).alias("more_lattice"))
     )
-    whole = out.df.where("word is null").join(late, "row", "left")
+    whole = out.df.drop("words", "times").join(late, "row", "left")
+    zero = F.lit(0.0)
     return whole.select(
         "doc_id",
+        "train",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_sum") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(floor))).alias("base_score"),
-        F.col("lattice").alias("score"),
+        (F.col("logs") + F.coalesce("more_logs", zero) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
+        ((F.col("lattice") + F.coalesce("more_lattice", zero)) / F.lit(math.log(10))).alias("score"),
     )

@@ -59,9 +59,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = docs.where(crc_mod(F.col("doc_id"), 7) != 2)
-    out = lm.score(docs, train, tokenizer("piece_bpe_32k.model"))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2, tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
