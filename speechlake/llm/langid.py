@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, BUCKETS, MAX_LANGUAGES = 600, 4096, 256
+SAMPLE, BUCKETS, MAX_LANGUAGES = 400, 4096, 256
 AMBIGUOUS = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -66,14 +66,18 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str], rounds: int = 100):
         self.langs = sorted(set(langs))
         self.codes = codewords(len(self.langs))
-        memo = common.Memo(lambda w: np.array(grams(w)), 300_000)
-        x = np.array([doc_vector(t, memo) for t in texts]).reshape(len(texts), BUCKETS).astype(np.float32)
+        memo = common.Memo(lambda w: np.array(grams(w), np.int16), 100_000)
+        x = np.zeros((len(texts), BUCKETS), np.float32)
+        for i, t in enumerate(texts):
+            x[i] = doc_vector(t, memo)
+        memo.clear()
         at = {g: i for i, g in enumerate(self.langs)}
         own = np.array([at[g] for g in langs], int)
         y = self.codes[own]
         self.mean = x.mean(axis=0)
-        self.scale = 1 / (np.sqrt(((x - self.mean) ** 2).sum(axis=1).mean()) + 1e-9)
-        x = (x - self.mean) * self.scale
+        self.scale = np.float32(1 / (np.sqrt(x.var(axis=0).sum()) + 1e-9))
+        x -= self.mean
+        x *= self.scale
         count = np.bincount(own, minlength=len(self.langs))
         weigh = (1 / count[own] / len(self.langs))[:, None]
         y = y.astype(np.float32)

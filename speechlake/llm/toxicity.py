@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: At most so many training documents of each label; documents that a feature must be in.
-SAMPLE, LEAST_DOCS = 3000, 5
+SAMPLE, LEAST_DOCS = 1200, 5
 SENTENCE, WORD = re.compile(r"[.!?…\n]+"), re.compile(r"[^\W\d_]+")
 
 
@@ -44,24 +44,42 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.2
     """Weights of the features and the constant; None without both labels."""
     if len(set(labels)) < 2:
         return None
-    memo = common.Memo(features, 500_000)
-    split = [sentences(t) for t in texts]
-    spread = Counter(f for s in split for f in {f for words in s for w in words for f in memo[w]})
-    at = {f: i for i, f in enumerate(sorted(f for f, n in spread.items() if n >= LEAST_DOCS))}
-    ids, sizes, owner = [], [], []
-    for d, own in enumerate(split):
-        for words in own:
-            found = {at[f] for w in words for f in memo[w] if f in at}
-            ids.append(np.fromiter(found, np.int32, len(found)))
-            sizes.append(len(found))
+    # Words as numbers, sentence after sentence: a text is let go before the next is read.
+    words_at: dict[str, int] = {}
+    parts, sizes, owner = [], array("i"), array("i")
+    for d, text in enumerate(texts):
+        for words in sentences(text):
+            own = {words_at.setdefault(w, len(words_at)) for w in words}
+            parts.append(np.fromiter(own, np.int32, len(own)))
+            sizes.append(len(own))
             owner.append(d)
-    if not at:
+    if not parts:
         return None
-    ids, owner = np.concatenate(ids), np.array(owner)
+    words, owner = np.concatenate(parts), np.array(owner)
+    del parts
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    feature_at: dict[str, int] = {}
+    table = np.full((len(words_at), 3), -1, np.int32)
+    for w, i in words_at.items():
+        for j, f in enumerate(features(w)):
+            table[i, j] = feature_at.setdefault(f, len(feature_at))
+    del words_at
+    n = len(feature_at)
+    ids, of = table[words].ravel(), np.repeat(sentence, 3)
+    of, ids = of[ids >= 0], ids[ids >= 0]
+    once = np.unique(of.astype(np.int64) * n + ids)
+    of, ids = (once // n).astype(np.int32), (once % n).astype(np.int32)
+    spread = np.bincount(np.unique(owner[of].astype(np.int64) * n + ids) % n, minlength=n)
+    names = [f for f, k in zip(feature_at, spread >= LEAST_DOCS) if k]
+    place = np.cumsum(spread >= LEAST_DOCS) - 1
+    kept = spread[ids] >= LEAST_DOCS
+    sentence, ids = of[kept], place[ids[kept]].astype(np.int32)
+    del feature_at, once, of, table, words
+    if not names:
+        return None
     y = np.array(labels, float)
     weigh = np.where(y == 1, 1.0, negatives)
-    w = np.zeros(len(at) + 1)
+    w = np.zeros(len(names) + 1)
     w[-1] = -5.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -70,10 +88,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.2
         none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         share = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weigh
         g_sentence = p * share[owner] / len(y)
-        g = np.append(np.bincount(ids, g_sentence[sentence], len(at)) - penalty * np.sign(w[:-1]), g_sentence.sum())
+        g = np.append(np.bincount(ids, g_sentence[sentence], len(names)) - penalty * np.sign(w[:-1]), g_sentence.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
-    return {f: float(w[i]) for f, i in at.items() if abs(w[i]) > 0.05}, float(w[-1])
+    return {f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 0.05}, float(w[-1])
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float] | None:
