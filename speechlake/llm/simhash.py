@@ -144,6 +144,8 @@ def link_components(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
 # Near duplicates by similarity: wider fingerprints, blocks of sampled bits, exact verification.
 
 WIDTH, MISSED, PRE_FILTER, LEADER_ROUNDS = 4, 3.0, 20, 6
+#: Blocks of more texts than this get leaders before what is left is paired.
+LED_BLOCK = 32
 
 
 def wide(hashes: np.ndarray) -> list[int]:
@@ -247,7 +249,7 @@ def similar_links(reps: DataFrame, sets: DataFrame, similarity: float) -> common
     """(a, b): links between texts (th, fp) of at least the similarity, by blocks; see near_duplicates."""
     keys = common.Saved(block_keys(reps, bit_blocks(reps.count(), similarity)), "keys")
     sizes = common.Saved(keys.df.groupBy("block", "key").count().where("count > 1"), "sizes")
-    few, many = (sizes.df.where(F.col("count") <= HOT_BLOCK), sizes.df.where(F.col("count") > HOT_BLOCK))
+    few, many = (sizes.df.where(F.col("count") <= LED_BLOCK), sizes.df.where(F.col("count") > LED_BLOCK))
     cold = common.Saved(keys.df.join(few.select("block", "key"), ["block", "key"], "left_semi"), "cold")
     found = [common.Saved(verified(paired(cold.df), sets, similarity), "found")]
     hot = common.Saved(keys.df.join(many.select("block", "key"), ["block", "key"], "left_semi"), "hot")
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     Equal texts are one. Texts are linked if their sets of word shingles have at least the
     Jaccard similarity. Candidates agree in a block of bits sampled from a SimHash of 64 * WIDTH
     bits: a pair at the threshold shares MISSED blocks on average (1 in 20 shares none), nearer
-    ones more. In blocks above HOT_BLOCK texts a leader, the one nearest to the block's majority,
+    ones more. In blocks above LED_BLOCK texts a leader, the one nearest to the block's majority,
     meets all others first, those linked to it leave, and after LEADER_ROUNDS the rest is paired.
     Groups are the components of the links; the smallest doc_id of a group stays.
     """
