@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import fixtures
-from . import intervals
+from . import intervals, lifecycle, turns, vectors
 
 SEGMENTS_EV = """
     segments_ev AS (
@@ -31,9 +31,113 @@ def overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("record_id").agg(F.count("*").alias("n_overlaps"), F.round(F.sum(F.col("end_us") - F.col("start_us")) / 1e6, 3).alias("overlap_s"))
 
 
-QUERIES = {"overlap_pairs": overlap_pairs, "overlap_summary": overlap_summary}
-ORACLE_SQL = {
+def speech_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.speech_islands(fixtures.segments_ev(spark, sf_dir)).select("record_id", "start_us", "end_us")
+
+
+def speech_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intervals.speech_islands(fixtures.segments_ev(spark, sf_dir))
+    return found.groupBy("record_id").agg(F.count("*").alias("n_islands"), F.round(F.sum(F.col("end_us") - F.col("start_us")) / 1e6, 3).alias("speech_s"))
+
+
+def word_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir))
+    return found.select("record_id", "w_idx", "speaker_id")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.utterances(turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir)))
+
+
+def utterances_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("record_id", "speaker_id", "start_us", "end_us", "n_words", F.md5("text").alias("text_md5"))
+
+
+def utterances_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.relabel(turns.bind_short(_turns(spark, sf_dir))).select("record_id", "u_idx", "speaker_id", "label", "start_us", "end_us")
+
+
+def sandwich_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.sandwich(fixtures.segments_ev(spark, sf_dir)).select("record_id", "seg_idx", "smoothed")
+
+
+def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.merge_adjacent(fixtures.segments_ev(spark, sf_dir))
+
+
+def speaker_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.sum(F.greatest(F.lit(0), F.col("end_us") - F.col("start_us")))
+    by = fixtures.segments_ev(spark, sf_dir).groupBy("record_id", "speaker_id").agg(own.alias("us"))
+    share = F.col("us") / F.sum("us").over(Window.partitionBy("record_id"))
+    return by.select("record_id", "speaker_id", F.round(F.col("us") / 1e6, 3).alias("speech_s"), F.round(share, 4).alias("share"), (share < 0.15).alias("small"))
+
+
+WORDS_CV = """
+    tokens AS (
+        SELECT conv_id AS record_id, turn, role, unnest(words) AS word, unnest(range(len(words))) AS pos
+        FROM (SELECT *, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '') AS words FROM conversations) x
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY turn, pos) - 1 AS w_idx FROM tokens
+    ), words_cv AS (
+        SELECT *, 400000 * w_idx + 2000000 * (w_idx // 37) AS start_us, 400000 * w_idx + 2000000 * (w_idx // 37) + 300000 AS end_us FROM numbered
+    ), segments_cv AS (
+        SELECT record_id, turn AS seg_idx, min(role) AS speaker_id, min(start_us) + 300000 * (turn % 5 - 2) AS start_us, max(end_us) + 300000 * (turn % 5 - 2) AS end_us
+        FROM words_cv GROUP BY record_id, turn
+    ), met AS (
+        SELECT w.record_id, w.w_idx, w.word, w.start_us, w.end_us, s.seg_idx, s.speaker_id, coalesce(s.start_us * 2 <= w.start_us + w.end_us AND w.start_us + w.end_us <= s.end_us * 2, false) AS holds,
+               least(w.end_us, s.end_us) - greatest(w.start_us, s.start_us) AS shared
+        FROM words_cv w LEFT JOIN segments_cv s ON w.record_id = s.record_id
+             AND (least(w.end_us, s.end_us) > greatest(w.start_us, s.start_us) OR (s.start_us * 2 <= w.start_us + w.end_us AND w.start_us + w.end_us <= s.end_us * 2))
+    ), attributed AS (
+        SELECT record_id, w_idx, word, start_us, end_us, coalesce(speaker_id, 'SPEAKER_UNKNOWN') AS speaker_id FROM met
+        QUALIFY row_number() OVER (PARTITION BY record_id, w_idx ORDER BY holds DESC, CASE WHEN holds THEN 0 ELSE shared END DESC, seg_idx) = 1
+    ), flagged AS (
+        SELECT *, CASE WHEN speaker_id = lag(speaker_id) OVER w AND start_us - lag(end_us) OVER w <= 1500000 THEN 0 ELSE 1 END AS new
+        FROM attributed WINDOW w AS (PARTITION BY record_id ORDER BY w_idx)
+    ), utterances AS (
+        SELECT record_id, u_idx, speaker_id, min(start_us) AS start_us, arg_max(end_us, w_idx) AS end_us, count(*) AS n_words, string_agg(word, ' ' ORDER BY w_idx) AS text
+        FROM (SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY w_idx) AS u_idx FROM flagged) x GROUP BY record_id, u_idx, speaker_id
+    )"""
+ISLANDS = """
+    flagged AS (
+        SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY record_id ORDER BY start_us, end_us, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+        FROM segments_ev WHERE end_us > start_us
+    ), islands AS (
+        SELECT record_id, min(start_us) AS start_us, max(end_us) AS end_us
+        FROM (SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY start_us, end_us, seg_idx ROWS UNBOUNDED PRECEDING) AS island FROM flagged) x GROUP BY record_id, island
+    )"""
+OWN = [overlap_pairs, overlap_summary, speech_islands, speech_seconds, word_attribution, utterances_raw, utterances_relabelled, sandwich_rule, adjacent_merge, speaker_durations]
+QUERIES = {f.__name__: f for f in OWN} | lifecycle.QUERIES | vectors.QUERIES
+ORACLE_SQL = lifecycle.ORACLE_SQL | vectors.ORACLE_SQL | {
     "overlap_pairs": f"WITH {SEGMENTS_EV}, {PAIRS} SELECT * FROM pairs",
     "overlap_summary": f"""WITH {SEGMENTS_EV}, {PAIRS}
         SELECT record_id, count(*) AS n_overlaps, round(sum(end_us - start_us) / 1e6, 3) AS overlap_s FROM pairs GROUP BY record_id""",
+    "speech_islands": f"WITH {SEGMENTS_EV}, {ISLANDS} SELECT * FROM islands",
+    "speech_seconds": f"WITH {SEGMENTS_EV}, {ISLANDS} SELECT record_id, count(*) AS n_islands, round(sum(end_us - start_us) / 1e6, 3) AS speech_s FROM islands GROUP BY record_id",
+    "word_attribution": f"WITH {WORDS_CV} SELECT record_id, w_idx, speaker_id FROM attributed",
+    "utterances_raw": f"WITH {WORDS_CV} SELECT record_id, speaker_id, start_us, end_us, n_words, md5(text) AS text_md5 FROM utterances",
+    "utterances_relabelled": f"""WITH {WORDS_CV}, bound AS (
+            SELECT *, coalesce(end_us - start_us < 1000000 AND start_us - lag(end_us) OVER w < 300000 AND NOT regexp_matches(lag(text) OVER w, '[.?!:;…]$'), false) AS b
+            FROM utterances WINDOW w AS (PARTITION BY record_id ORDER BY u_idx)
+        ), spoken AS (
+            SELECT record_id, u_idx, start_us, end_us, last_value(CASE WHEN NOT b THEN speaker_id END IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY u_idx ROWS UNBOUNDED PRECEDING) AS speaker_id FROM bound
+        ), firsts AS (
+            SELECT record_id, speaker_id, row_number() OVER (PARTITION BY record_id ORDER BY min(u_idx)) - 1 AS n FROM spoken WHERE speaker_id <> 'SPEAKER_UNKNOWN' GROUP BY record_id, speaker_id
+        )
+        SELECT s.record_id, u_idx, s.speaker_id, coalesce('SPEAKER_' || lpad(CAST(n AS VARCHAR), 2, '0'), s.speaker_id) AS label, start_us, end_us
+        FROM spoken s LEFT JOIN firsts f ON s.record_id = f.record_id AND s.speaker_id = f.speaker_id""",
+    "sandwich_rule": f"""WITH {SEGMENTS_EV}
+        SELECT record_id, seg_idx, CASE WHEN lag(speaker_id) OVER w = lead(speaker_id) OVER w AND lag(speaker_id) OVER w <> speaker_id AND end_us - start_us < 800000 THEN lag(speaker_id) OVER w ELSE speaker_id END AS smoothed
+        FROM segments_ev WINDOW w AS (PARTITION BY record_id ORDER BY start_us, seg_idx)""",
+    "adjacent_merge": f"""WITH {SEGMENTS_EV}, runs AS (
+            SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY start_us, seg_idx ROWS UNBOUNDED PRECEDING) AS run
+            FROM (SELECT *, CASE WHEN speaker_id = lag(speaker_id) OVER (PARTITION BY record_id ORDER BY start_us, seg_idx) THEN 0 ELSE 1 END AS new FROM segments_ev) x
+        ), cut AS (
+            SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY record_id, run ORDER BY start_us, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50000 THEN 0 ELSE 1 END AS opens FROM runs
+        )
+        SELECT record_id, speaker_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_merged
+        FROM (SELECT *, sum(opens) OVER (PARTITION BY record_id, run ORDER BY start_us, seg_idx ROWS UNBOUNDED PRECEDING) AS island FROM cut) y GROUP BY record_id, run, island, speaker_id""",
+    "speaker_durations": f"""WITH {SEGMENTS_EV}, own AS (SELECT record_id, speaker_id, sum(greatest(0, end_us - start_us)) AS us FROM segments_ev GROUP BY record_id, speaker_id), shared AS (
+            SELECT *, us / sum(us) OVER (PARTITION BY record_id) AS s FROM own)
+        SELECT record_id, speaker_id, round(us / 1e6, 3) AS speech_s, round(s, 4) AS share, s < 0.15 AS small FROM shared""",
 }
