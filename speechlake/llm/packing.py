@@ -33,6 +33,8 @@ from . import common
 CAPACITY = 4096
 #: Pieces that a packing task gets on average, and by how much fewer partitions share the next round.
 PER_GROUP, FOLD, MAX_ROUNDS = 16_384, 8, 12
+#: From so many bytes on, words are merged from the left, in time that grows with their length alone.
+LONG_WORD = 200
 NONE, END = float("-inf"), "\ue000"
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,6 +71,7 @@ class WordTokenizer:
         self.spaces, self.rare = re.compile(f"[{space}]+"), re.compile("[\x1c-\x1f]")  # str.split takes these four for spaces
         self.beyond = re.compile("[^\x00-ɏ]")
         self.cover = common.Cover(self.vocab, self._apart, self._rank, NONE)
+        self.merge = self._merger()
         self.word_ids = common.Memo(self._word)
         self.memo = common.Memo(self._run)
 
@@ -78,8 +81,30 @@ class WordTokenizer:
     def _apart(self, letters: str) -> list[str]:
         return [*letters[:-2], letters[-2:]] if letters[-1:] == END else list(letters)
 
+    def _merger(self):
+        """Byte-pair merges in compiled code, over a word's bytes and a closing 0xFF, or None where ids do not ascend with the merges.
+
+        It merges by the rank of what comes out, whatever the two parts. With tokens that
+        merge to themselves alone, that changes nothing: merges inside a token's span run as
+        they do on the token by itself, and reach it through its own pair.
+        """
+        import tiktoken
+
+        byte = {c: bytes([b]) for b, c in enumerate(self.letter)} | {END: b"\xff"}
+        made = [self.vocab.get(m.replace(" ", "", 1), -1) for m in self.ranks]
+        closed = [self.vocab.get(c + END, -1) for c in self.letter]
+        if min(closed) < 0 or made != sorted(made) or made[:1] <= [max(closed)] or not all(c in self.vocab for c in self.letter):
+            return None
+        table = {b"".join([byte[c] for c in t]): self.vocab[t] for t in self.cover.tokens if t != self.letter[0xFF] and all(c in byte for c in t)}
+        table[b"\xff"] = max(self.vocab.values()) + 1
+        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
+
     def _word(self, word: str) -> bytes:
-        ids = array("I", [self.vocab[t] for t in self.cover("".join([self.letter[b] for b in word.encode()]) + END)])
+        raw = word.encode()
+        if self.merge and len(raw) < LONG_WORD:
+            ids = array("I", self.merge(raw + b"\xff"))
+        else:
+            ids = array("I", [self.vocab[t] for t in self.cover("".join([self.letter[b] for b in raw]) + END)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
