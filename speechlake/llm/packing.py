@@ -110,6 +110,8 @@ class WordTokenizer:
         return ids.tobytes()
 
     def _run(self, run: str) -> bytes:
+        if run.isalpha():  # one word, kept as a run
+            return self._word(run)
         return b"".join(map(self.word_ids.__getitem__, self.words.findall(run)))
 
     def _text(self, text: str) -> bytes:
