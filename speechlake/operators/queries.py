@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import fixtures
-from . import intervals, lifecycle, turns, vectors
+from ..functions import text
+from . import coverage, intervals, lifecycle, turns, vectors
 
 SEGMENTS_EV = """
     segments_ev AS (
@@ -141,3 +142,46 @@ ORACLE_SQL = lifecycle.ORACLE_SQL | vectors.ORACLE_SQL | {
             SELECT *, us / sum(us) OVER (PARTITION BY record_id) AS s FROM own)
         SELECT record_id, speaker_id, round(us / 1e6, 3) AS speech_s, round(s, 4) AS share, s < 0.15 AS small FROM shared""",
 }
+
+GAPS = """
+    stretched AS (SELECT record_id, speaker_id, seg_idx, start_us, end_us + 3000000 AS end_us FROM segments_cv
+    ), flags2 AS (
+        SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY record_id ORDER BY start_us, end_us, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+        FROM stretched WHERE end_us > start_us
+    ), isl AS (
+        SELECT record_id, island, min(start_us) AS s0, max(end_us) AS s1
+        FROM (SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY start_us, end_us, seg_idx ROWS UNBOUNDED PRECEDING) AS island FROM flags2) x GROUP BY record_id, island
+    ), inside AS (
+        SELECT i.*, w.w_idx, w.start_us AS w0, w.end_us AS w1 FROM isl i LEFT JOIN (SELECT * FROM words_cv WHERE w_idx % 9 < 3) w ON w.record_id = i.record_id AND w.end_us > i.s0 AND w.start_us < i.s1
+    ), gaps AS (
+        SELECT record_id, g0 AS start_us, w0 AS end_us FROM (
+            SELECT *, coalesce(max(w1) OVER (PARTITION BY record_id, island ORDER BY w0, w_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s0) AS g0 FROM inside WHERE w_idx IS NOT NULL) a WHERE w0 > g0
+        UNION ALL
+        SELECT record_id, g0, s1 FROM (SELECT record_id, island, s0, s1, coalesce(max(w1), s0) AS g0 FROM inside GROUP BY record_id, island, s0, s1) b WHERE s1 > g0
+    )"""
+SMALL = """
+    own AS (SELECT record_id, speaker_id, CAST(sum(greatest(0, end_us - start_us)) AS BIGINT) AS us FROM segments_ev GROUP BY record_id, speaker_id
+    ), below AS (SELECT *, us / sum(us) OVER (PARTITION BY record_id) < 0.15 AS b, row_number() OVER (PARTITION BY record_id ORDER BY us DESC, speaker_id) AS rn FROM own
+    ), small AS (SELECT record_id, speaker_id, us, b AND NOT (bool_and(b) OVER (PARTITION BY record_id) AND rn = 1) AS small FROM below)"""
+QUERIES |= coverage.QUERIES | text.QUERIES
+ORACLE_SQL |= text.ORACLE_SQL | {
+    "untranscribed_gaps": f"WITH {WORDS_CV}, {GAPS} SELECT * FROM gaps WHERE end_us - start_us >= 2000000",
+    "speech_coverage": f"""WITH {WORDS_CV}, {GAPS}, sp AS (SELECT record_id, sum(s1 - s0) AS speech_us FROM isl GROUP BY record_id), g AS (
+            SELECT record_id, sum(end_us - start_us) AS gap_us, count(*) FILTER (end_us - start_us >= 2000000) AS n_long, coalesce(sum(end_us - start_us) FILTER (end_us - start_us >= 2000000), 0) AS long_us FROM gaps GROUP BY record_id)
+        SELECT sp.record_id, speech_us, coalesce(gap_us, 0) AS gap_us, coalesce(n_long, 0) AS n_long, coalesce(long_us, 0) AS long_us,
+               round(greatest(0.0, (speech_us - coalesce(gap_us, 0)) * 100.0 / speech_us), 2) AS covered_pct FROM sp LEFT JOIN g ON g.record_id = sp.record_id""",
+    "overlap_sweep_exact": f"""WITH {SEGMENTS_EV}, steps AS (
+            SELECT record_id, t, sum(d) AS d FROM (SELECT record_id, start_us AS t, 1 AS d FROM segments_ev WHERE end_us > start_us UNION ALL SELECT record_id, end_us, -1 FROM segments_ev WHERE end_us > start_us) a GROUP BY record_id, t
+        ), opened AS (SELECT record_id, t, sum(d) OVER w AS open, lead(t) OVER w AS until FROM steps WINDOW w AS (PARTITION BY record_id ORDER BY t))
+        SELECT record_id, sum(CASE WHEN open > 1 THEN until - t ELSE 0 END) AS overlap_us FROM opened GROUP BY record_id""",
+    "vad_filter": f"""WITH {WORDS_CV}, vad AS (SELECT * FROM segments_cv WHERE seg_idx % 3 = 1 AND record_id % 5 <> 0)
+        SELECT record_id, w_idx FROM words_cv w WHERE EXISTS (SELECT 1 FROM vad v WHERE v.record_id = w.record_id AND (v.start_us - 600000) * 2 <= w.start_us + w.end_us AND w.start_us + w.end_us <= (v.end_us + 600000) * 2)
+              OR NOT EXISTS (SELECT 1 FROM vad v WHERE v.record_id = w.record_id)""",
+    "small_speakers": f"WITH {SEGMENTS_EV}, {SMALL} SELECT * FROM small",
+    "nearest_major": f"""WITH {SEGMENTS_EV}, {SMALL}, told AS (SELECT s.*, m.small FROM segments_ev s JOIN small m ON m.record_id = s.record_id AND m.speaker_id = s.speaker_id)
+        SELECT a.record_id, a.seg_idx, b.seg_idx AS near_idx, greatest(0, a.start_us - b.end_us, b.start_us - a.end_us) AS distance_us FROM told a JOIN told b ON a.record_id = b.record_id AND a.small AND NOT b.small
+        QUALIFY row_number() OVER (PARTITION BY a.record_id, a.seg_idx ORDER BY greatest(0, a.start_us - b.end_us, b.start_us - a.end_us), b.start_us, b.seg_idx) = 1""",
+    "min_duration_keep": f"""WITH {SEGMENTS_EV}, told AS (
+            SELECT *, bool_or(end_us - start_us >= 20000000000) OVER (PARTITION BY record_id, speaker_id) AS kept, row_number() OVER (PARTITION BY record_id, speaker_id ORDER BY end_us - start_us DESC, start_us, seg_idx) AS rn FROM segments_ev)
+        SELECT record_id, seg_idx FROM told WHERE end_us - start_us >= 20000000000 OR (NOT kept AND rn = 1)""",
+}
