@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..functions import text
-from . import coverage, intervals, lifecycle, turns, vectors
+from . import coverage, evaluation, exports, intervals, lifecycle, signals, speakers, turns, vectors
 
 SEGMENTS_EV = """
     segments_ev AS (
@@ -185,3 +185,47 @@ ORACLE_SQL |= text.ORACLE_SQL | {
             SELECT *, bool_or(end_us - start_us >= 20000000000) OVER (PARTITION BY record_id, speaker_id) AS kept, row_number() OVER (PARTITION BY record_id, speaker_id ORDER BY end_us - start_us DESC, start_us, seg_idx) AS rn FROM segments_ev)
         SELECT record_id, seg_idx FROM told WHERE end_us - start_us >= 20000000000 OR (NOT kept AND rn = 1)""",
 }
+for _part in (signals, evaluation):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
+QUERIES |= speakers.QUERIES
+ORACLE_SQL["words_per_record"] = f"""WITH {WORDS_CV} SELECT record_id, count(*) AS n_words, count(DISTINCT role) AS n_speakers, string_agg(DISTINCT role, ',' ORDER BY role) AS speakers,
+    round((max(end_us) - min(start_us)) / 1e6, 3) AS audio_s, round(count(*) / 100.0 / ((max(end_us) - min(start_us)) / 1e6), 4) AS rtf FROM words_cv GROUP BY record_id"""
+
+
+def smooth_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir))
+    return turns.smooth_words(words).select("record_id", "w_idx", "speaker_id")
+
+
+def micro_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.absorb_punctuation(_turns(spark, sf_dir)).select("record_id", "u_idx", "speaker_id")
+
+
+def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.merge_turns(turns.bind_short(_turns(spark, sf_dir)), clause_us=4_000_000, silence_us=2_500_000).select("record_id", "run", "speaker_id", "start_us", "end_us", "n_words", F.md5("text").alias("text_md5"))
+
+
+def utterances_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.bind_short(_turns(spark, sf_dir)).select("record_id", "u_idx", "speaker_id")
+
+
+BOUND = """bound AS (
+        SELECT *, coalesce(end_us - start_us < 1000000 AND start_us - lag(end_us) OVER w < 300000 AND NOT regexp_matches(lag(text) OVER w, '[.?!:;…]$'), false) AS b
+        FROM utterances WINDOW w AS (PARTITION BY record_id ORDER BY u_idx)
+    ), spoken AS (
+        SELECT record_id, u_idx, start_us, end_us, n_words, text, last_value(CASE WHEN NOT b THEN speaker_id END IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY u_idx ROWS UNBOUNDED PRECEDING) AS speaker_id FROM bound
+    )"""
+QUERIES |= {f.__name__: f for f in (smooth_words, micro_rule, merge_turns, utterances_bound)} | exports.queries(_turns)
+ORACLE_SQL |= {name: f"WITH {WORDS_CV} {body}" for name, body in exports.ORACLE_BODY.items()} | {
+    "smooth_words": f"""WITH {WORDS_CV} SELECT record_id, w_idx, CASE WHEN lag(speaker_id) OVER w = lead(speaker_id) OVER w AND lag(speaker_id) OVER w <> speaker_id THEN lag(speaker_id) OVER w ELSE speaker_id END AS speaker_id
+        FROM attributed WINDOW w AS (PARTITION BY record_id ORDER BY w_idx)""",
+    "micro_rule": f"""WITH {WORDS_CV} SELECT record_id, u_idx, CASE WHEN trim(text) <> '' AND regexp_full_match(text, '[\\s?.!,:;…–-]*') THEN coalesce(lag(speaker_id) OVER w, lead(speaker_id) OVER w, speaker_id) ELSE speaker_id END AS speaker_id
+        FROM utterances WINDOW w AS (PARTITION BY record_id ORDER BY u_idx)""",
+    "utterances_bound": f"WITH {WORDS_CV}, {BOUND} SELECT record_id, u_idx, speaker_id FROM spoken",
+    "merge_turns": f"""WITH {WORDS_CV}, {BOUND}, flags3 AS (
+            SELECT *, CASE WHEN speaker_id = lag(speaker_id) OVER w AND trim(text) <> '' AND trim(lag(text) OVER w) <> '' AND (start_us - lag(end_us) OVER w <= 2500000
+                OR (start_us - lag(end_us) OVER w <= 4000000 AND NOT regexp_matches(lag(text) OVER w, '[.?!:;…]$'))) THEN 0 ELSE 1 END AS new FROM spoken WINDOW w AS (PARTITION BY record_id ORDER BY u_idx))
+        SELECT record_id, run, speaker_id, min(start_us) AS start_us, arg_max(end_us, u_idx) AS end_us, CAST(sum(n_words) AS BIGINT) AS n_words, md5(string_agg(trim(text), ' ' ORDER BY u_idx)) AS text_md5
+        FROM (SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY u_idx ROWS UNBOUNDED PRECEDING) AS run FROM flags3) x GROUP BY record_id, run, speaker_id""",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ends_punctuated, only_punctuation
 from .intervals import islands
 
 UNKNOWN = "SPEAKER_UNKNOWN"
@@ -64,3 +65,27 @@ def merge_adjacent(segments: DataFrame, tolerance_us: int = 50_000) -> DataFrame
     end = F.max("end_us").over(Window.partitionBy("record_id", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     cut = islands(runs.withColumn("before", end), ["record_id", "run"], order, F.col("start_us") > F.col("before") + tolerance_us)
     return cut.groupBy("record_id", "run", "island", "speaker_id").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_merged")).drop("run", "island")
+
+
+def smooth_words(words: DataFrame) -> DataFrame:
+    """A single word between two of one other speaker goes to that speaker, judged on the original labels."""
+    w = Window.partitionBy("record_id").orderBy("w_idx")
+    before, after = F.lag("speaker_id").over(w), F.lead("speaker_id").over(w)
+    return words.withColumn("speaker_id", F.when((before == after) & (before != F.col("speaker_id")), before).otherwise(F.col("speaker_id")))
+
+
+def absorb_punctuation(turns: DataFrame) -> DataFrame:
+    """A turn of punctuation alone goes to the speaker before, else to the one after."""
+    w = Window.partitionBy("record_id").orderBy("u_idx")
+    return turns.withColumn("speaker_id", F.when(only_punctuation(F.col("text")), F.coalesce(F.lag("speaker_id").over(w), F.lead("speaker_id").over(w), "speaker_id")).otherwise(F.col("speaker_id")))
+
+
+def merge_turns(turns: DataFrame, silence_us: int = SILENCE_US, clause_us: int = SILENCE_US) -> DataFrame:
+    """Neighbouring turns of one speaker with text become one: after at most `silence_us`, or at most `clause_us` where the first has no closing punctuation."""
+    w = Window.partitionBy("record_id").orderBy("u_idx")
+    gap, said = F.col("start_us") - F.lag("end_us").over(w), F.trim("text") != ""
+    joins = (F.col("speaker_id") == F.lag("speaker_id").over(w)) & said & F.lag(said).over(w)
+    joins &= (gap <= silence_us) | ((gap <= clause_us) & ~F.lag(ends_punctuated(F.col("text"))).over(w))
+    runs = islands(turns.withColumn("new", ~F.coalesce(joins, F.lit(False))), ["record_id"], ["u_idx"], F.col("new"), "run")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u_idx", "text"))), lambda x: F.trim(x.text)), " ")
+    return runs.groupBy("record_id", "run", "speaker_id").agg(F.min("start_us").alias("start_us"), F.max_by("end_us", "u_idx").alias("end_us"), F.sum("n_words").alias("n_words"), text.alias("text"))
