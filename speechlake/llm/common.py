@@ -61,6 +61,23 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, values: list, n: int) -> list:
+    """Rows (doc_id, text, key): at most n ids of each value, smallest hashes first; of a repeated id the smallest text.
+
+    labels (doc_id, key) may be a join with docs: ids are chosen without texts, and only the
+    chosen ids' texts are read, so that neither a shuffle nor the driver sees more than these.
+    """
+    spark = docs.sparkSession
+    own, chosen = labels.select("doc_id", key).distinct(), []
+    for value in values:
+        chosen += own.where(F.col(key) == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+    if not chosen:
+        return []
+    picked = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], own.schema))  # at most n * len(values) ids
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", key).agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (values.index(r[key]), r.doc_id))
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks, bounded by two generations.
 

@@ -66,7 +66,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    weights = toxicity.train(docs.join(labels.where(crc_mod(F.col("doc_id"), 5) != 0), "doc_id"))
+    weights = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     return toxicity.score(docs, weights).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "sentence")
 
 

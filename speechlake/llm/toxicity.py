@@ -94,12 +94,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.2
     return {f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 0.05}, float(w[-1])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float] | None:
-    """Fits on at most `sample` rows of each label of (doc_id, text, toxic)."""
-    rows = []
-    for label in (0, 1):
-        part = labelled.where(F.col("toxic") == label).select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
-        rows += part.orderBy("h", "doc_id", "text").limit(sample).collect()
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float] | None:
+    """Fits on at most `sample` documents (doc_id, text) of each label of labels (doc_id, toxic)."""
+    found = docs.select("doc_id").join(labels.select("doc_id", "toxic"), "doc_id")
+    rows = common.labelled_sample(docs, found, "toxic", [0, 1], sample)
     return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 
 
