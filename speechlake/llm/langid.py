@@ -110,9 +110,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     langs = sorted(r.lang for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = []
-    for g in langs:
-        rows += known.where(F.col("lang") == g).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(sample).collect()
+    rows = common.labelled_sample(known, known, "lang", langs, sample)
     rows = [r for r in rows if LETTERS.search(r.text)]
     return Model([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
