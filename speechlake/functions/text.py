@@ -10,8 +10,21 @@ from pyspark.sql.types import StringType
 from ..sources.fixtures import view
 
 BLANKS = "[ \\t\\r\\n]+"
-#: What marks an error as permanent.
-PERMANENT = ("not found", "invalid", "unsupported", "corrupt", "permission", "too large", "no such file")
+#: Types of errors, and parts of messages, that no further attempt mends.
+PERMANENT_TYPES = ["PermanentJobError", "ValueError", "TypeError", "FileNotFoundError"]
+PERMANENT = [
+    "corrupt",
+    "unsupported format",
+    "invalid audio",
+    "cannot decode",
+    "header corrupt",
+    "not a valid audio",
+    "bozuk",
+    "desteklenmeyen",
+    "file not found",
+    "no such file",
+    "bulunamadı",
+]
 
 
 def tokens(text: Column) -> Column:
@@ -120,9 +133,9 @@ def clock(us: Column, comma: bool = True) -> Column:
 
 
 def is_permanent(kind: Column, message: Column) -> Column:
-    """Errors that no further attempt mends: by type, or by a word of the message."""
-    words = "|".join(PERMANENT)
-    return F.coalesce(kind.isin("ValueError", "FileNotFoundError", "PermissionError"), F.lit(False)) | F.coalesce(F.lower(message).rlike(words), F.lit(False))
+    """By the error's type, else by its message; errors said to be transient, and all unknown ones, are not."""
+    told = F.lower(message).rlike("|".join(PERMANENT))
+    return F.when(kind == "TransientJobError", False).otherwise(F.coalesce(kind.isin(PERMANENT_TYPES), F.lit(False)) | F.coalesce(told, F.lit(False)))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
