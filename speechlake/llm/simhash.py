@@ -141,82 +141,79 @@ def link_components(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     return prints.df.join(name.df, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near duplicates by similarity: wider fingerprints, blocks of sampled bits, exact verification.
+# Near duplicates by similarity: an exact join on the rarest shingles, exact verification.
 
-WIDTH, MISSED, PRE_FILTER, LEADER_ROUNDS = 4, 3.0, 20, 6
-#: Blocks of more texts than this get leaders before what is left is paired.
-LED_BLOCK = 32
-
-
-def wide(hashes: np.ndarray) -> list[int]:
-    """WIDTH signed longs: the SimHash under WIDTH mixings of each hash."""
-    out = []
-    for i in range(WIDTH):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), CHUNK):
-            x = hashes[at : at + CHUNK] + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            total += bit_counts(x ^ (x >> np.uint64(31)))
-        out.append(int(np.packbits(total * 2 > len(hashes)).view(">i8")[0]))
-    return out
+#: Lists of more texts than this get leaders before what is left is paired.
+LONG_LIST, LEADERS = 64, 3
+#: Of 1 in SAMPLED texts the shingles are counted, and at most COMMON of those met again come last in every text.
+SAMPLED, COMMON = 8, 50_000
 
 
 def prints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, th, fp array of WIDTH longs, shingles binary): th hashes the text, shingles are 32 bits of each distinct one, sorted."""
+    """(doc_id, th, shingles binary): th hashes the text, shingles are 32 bits of each distinct one, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                fps, sets = [], []
-                for t in part.column(2).cast(pa.binary()).to_pylist():
-                    h = shingle_hashes(words_of(t), size)
-                    fps.append(wide(h))
-                    sets.append(np.unique(h.astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "th", "fp", "shingles"]
-                )
+                sets = [np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["doc_id", "th", "shingles"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, shingles binary")
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles that texts of a sample share, rarest first. What is found here decides on speed only, not on results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int32))], ["token"])
+
+    met = sets.where(F.pmod("th", F.lit(SAMPLED)) == 0).select("shingles").mapInArrow(run, "token int").groupBy("token").count().where("count > 1")
+    rows = met.orderBy(F.desc("count"), "token").limit(COMMON).select("token").collect()
+    return np.array([r.token for r in reversed(rows)], np.int32).view(np.uint32)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp array<long>, shingles binary")
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Of two sets at the similarity, in one order of all shingles, the first so many of each have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
-def bit_blocks(count: int, similarity: float) -> np.ndarray:
-    """Sampled bit positions, a row per block: one bit more than there are bits in the count, so that unlike
-    texts rarely meet at any size, and as many blocks as let a pair at the similarity share MISSED of them on average."""
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(48, max(8, math.ceil(math.log2(max(2, count))) + 1))
-    blocks = math.ceil(MISSED / agree**bits)
-    rng = np.random.default_rng(bits)
-    return np.array([rng.choice(64 * WIDTH, bits, replace=False) for _ in range(blocks)])
 
+def postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, th, n, at): the first shingles of each text (th, shingles) of n, each with its place in the order; no shingles count as one of their own."""
+    last = common_shingles(sets)
+    by_token = np.argsort(last)
+    known = last[by_token]
 
-def block_keys(reps: DataFrame, picked: np.ndarray) -> DataFrame:
-    """(th, f, block, key) of reps (th, fp): the sampled bits of each block; f is the first long of fp."""
-    weights = (1 << np.arange(picked.shape[1])).astype(np.int64)
+    def first(s: np.ndarray) -> np.ndarray:
+        size = prefix_size(len(s), similarity)
+        if not len(known):
+            return s[:size]
+        found = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        late = known[found] == s
+        early = s[~late]
+        return early[:size] if len(early) >= size else np.concatenate([early, last[np.sort(by_token[found[late]])]])[:size]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                fp = np.array(part.column(1).to_pylist(), np.int64).reshape(-1, WIDTH)
-                bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(len(fp), 8 * WIDTH), axis=1)
-                keys = np.stack([bits[:, p].astype(np.int64) @ weights for p in picked], axis=1)
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                sets = [np.frombuffer(x, np.uint32) for x in part.column(1).to_pylist()]
+                sets = [s if len(s) else np.zeros(1, np.uint32) for s in sets]
+                firsts = [first(s) for s in sets]
+                many = [len(f) for f in firsts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.array(part.column(0)), len(picked))),
-                        pa.array(np.repeat(fp[:, 0], len(picked))),
-                        pa.array(np.tile(np.arange(len(picked), dtype=np.int32), len(fp))),
-                        pa.array(keys.ravel()),
+                        pa.array(np.concatenate(firsts).view(np.int32)),
+                        pa.array(np.repeat(np.array(part.column(0)), many)),
+                        pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in many])),
                     ],
-                    ["th", "f", "block", "key"],
+                    ["token", "th", "n", "at"],
                 )
 
-    return reps.select("th", "fp").mapInArrow(run, "th long, f long, block int, key long")
-
-
-def far(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return sets.select("th", "shingles").mapInArrow(run, "token int, th long, n int, at int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -238,64 +235,67 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    """(a, b): rows (block, key, th, f) of one block whose first longs are near enough to be looked at."""
-    right = rows.select("block", "key", F.col("th").alias("b"), F.col("f").alias("g"))
-    met = rows.join(right, ["block", "key"]).where((F.col("th") < F.col("b")) & (far("f", "g") <= PRE_FILTER))
+def like_sizes(similarity: float) -> Column:
+    return F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
+
+
+def paired(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): rows (token, th, n, at, label) of one token and different labels that can reach the similarity.
+
+    At the first shingle that two texts share, no more than what follows can be shared besides.
+    """
+    right = rows.select("token", F.col("th").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("label").alias("other"))
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    reach = most >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
+    met = rows.join(right, "token").where((F.col("th") < F.col("b")) & (F.col("label") != F.col("other")) & like_sizes(similarity) & reach)
     return met.select(F.col("th").alias("a"), "b").distinct()
 
 
-def similar_links(reps: DataFrame, sets: DataFrame, similarity: float) -> common.Saved:
-    """(a, b): links between texts (th, fp) of at least the similarity, by blocks; see near_duplicates."""
-    keys = common.Saved(block_keys(reps, bit_blocks(reps.count(), similarity)), "keys")
-    sizes = common.Saved(keys.df.groupBy("block", "key").count().where("count > 1"), "sizes")
-    few, many = (sizes.df.where(F.col("count") <= LED_BLOCK), sizes.df.where(F.col("count") > LED_BLOCK))
-    cold = common.Saved(keys.df.join(few.select("block", "key"), ["block", "key"], "left_semi"), "cold")
-    found = [common.Saved(verified(paired(cold.df), sets, similarity), "found")]
-    hot = common.Saved(keys.df.join(many.select("block", "key"), ["block", "key"], "left_semi"), "hot")
-    keys.drop()
-    for _ in range(LEADER_ROUNDS):
-        if not hot.df.limit(1).count():
-            break
-        # The leader is the text nearest to its block's majority bits: copies differ from it less than from each other.
-        votes = hot.df.groupBy("block", "key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("f", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"v{i}") for i in range(64)])
-        one = [F.when(F.col(f"v{i}") * 2 > F.col("n"), F.lit(signed(1 << i))).otherwise(F.lit(0).cast("long")) for i in range(64)]
-        middle = one[0]
-        for bit in one[1:]:
-            middle = middle.bitwiseOR(bit)
-        voted = common.Saved(votes.select("block", "key", middle.alias("middle")), "voted")
-        leaders = hot.df.join(voted.df, ["block", "key"]).groupBy("block", "key").agg(F.min(F.struct(far("f", "middle").alias("d"), "th", "f")).alias("l"))
-        leaders = common.Saved(leaders.select("block", "key", F.col("l.th").alias("a"), F.col("l.f").alias("g")), "leaders")
-        led = hot.df.join(leaders.df, ["block", "key"])
-        pairs = led.where((F.col("th") != F.col("a")) & (far("f", "g") <= PRE_FILTER)).select("a", F.col("th").alias("b")).distinct()
-        found.append(common.Saved(verified(pairs, sets, similarity), "found"))
-        gone = found[-1].df.withColumnRenamed("b", "th")
-        left = led.where(F.col("th") != F.col("a")).join(gone, ["a", "th"], "left_anti").select("th", "f", "block", "key")
-        hot = common.Saved(left, "hot")
-    found.append(common.Saved(verified(paired(hot.df), sets, similarity), "found"))
-    links = found[0].df
-    for more in found[1:]:
-        links = links.unionByName(more.df)
-    return common.Saved(links.distinct(), "links")
+def led(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): LEADERS texts of each token's list with all others of it. Lists of like texts mostly have the same leaders."""
+    named = [F.min(F.struct(F.xxhash64("th", F.lit(i)).alias("h"), "th", "n")).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = rows.groupBy("token").agg(*named).select("token", F.explode(F.array(*[F.struct(F.col(f"l{i}.th").alias("a"), F.col(f"l{i}.n").alias("m")) for i in range(LEADERS)])).alias("l")).select("token", "l.*")
+    met = rows.join(leaders, "token").where((F.col("th") != F.col("a")) & like_sizes(similarity))
+    return met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct()
+
+
+def similar_components(sets: DataFrame, similarity: float) -> common.Saved:
+    """(node, label): components of the texts (th, shingles) linked at the similarity; see near_duplicates."""
+    counted = postings(sets, similarity).withColumn("count", F.count("*").over(Window.partitionBy("token")))
+    shared = common.Saved(counted.where("count > 1"), "shared")
+    short = shared.df.where(F.col("count") <= LONG_LIST).withColumn("label", F.col("th"))
+    long = shared.df.where(F.col("count") > LONG_LIST)
+    found = common.Saved(verified(paired(short, similarity), sets, similarity), "found")
+    if not long.limit(1).count():
+        return common.connected_components(found.df)
+    more = common.Saved(verified(led(long, similarity), sets, similarity), "found")
+    comp = common.connected_components(found.df.unionByName(more.df))
+    labelled = long.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("token", "th", "n", "at", F.coalesce("label", "th").alias("label"))
+    labelled = common.Saved(labelled, "labelled")
+    mixed = labelled.df.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    rest = common.Saved(verified(paired(labelled.df.join(mixed, "token", "left_semi"), similarity), sets, similarity), "found")
+    if rest.df.limit(1).count():
+        comp = common.connected_components(found.df.unionByName(more.df).unionByName(rest.df))
+    return comp
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, th): of each group of near-duplicate documents (doc_id, text), the one that stays.
 
     Equal texts are one. Texts are linked if their sets of word shingles have at least the
-    Jaccard similarity. Candidates agree in a block of bits sampled from a SimHash of 64 * WIDTH
-    bits: a pair at the threshold shares MISSED blocks on average (1 in 20 shares none), nearer
-    ones more. In blocks above LED_BLOCK texts a leader, the one nearest to the block's majority,
-    meets all others first, those linked to it leave, and after LEADER_ROUNDS the rest is paired.
-    Groups are the components of the links; the smallest doc_id of a group stays.
+    Jaccard similarity, and groups are the components of the links; the smallest doc_id of a
+    group stays. In one order of all shingles, common ones last, two such texts share one of
+    their first n - ceil(similarity * n) + 1: every pair that does is a candidate, so no link
+    is missed at any size. In lists of more than LONG_LIST texts some leaders meet all others
+    first; then every pair that is not yet in one group is looked at, linked texts too.
     """
     common.ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     done = common.Saved(prints(source.withColumn("th", F.xxhash64("text")), size), "prints")
-    reps = common.Saved(done.df.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "reps")
-    links = similar_links(reps.df, done.df.select("th", "shingles").dropDuplicates(["th"]), similarity)
-    comp = common.connected_components(links.df)
-    labelled = common.Saved(reps.df.select("th", "rep").join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "labelled")
+    sets = common.Saved(done.df.select("th", "shingles").dropDuplicates(["th"]), "sets")
+    comp = similar_components(sets.df, similarity)
+    reps = done.df.groupBy("th").agg(F.min("doc_id").alias("rep"))
+    labelled = common.Saved(reps.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "labelled")
     best = labelled.df.groupBy("label").agg(F.min(F.struct("rep", "th")).alias("b"))
     keepers = common.Saved(best.select(F.col("b.rep").alias("doc_id"), F.col("b.th").alias("th")), "keepers")
     return keepers.df

@@ -94,6 +94,30 @@ def test_near_duplicates_keep_one(spark, corpus):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def kept_and_wanted(spark, texts):
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()}
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist()) for t in texts]
+    return kept, set(groups(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])))
+
+
+def test_near_duplicates_chained_in_a_large_group(spark):
+    rng = random.Random(8)
+    fresh = lambda k: f"w{k}x{rng.getrandbits(40)}"
+    base = [fresh(i) for i in range(400)]
+
+    def changed(words, n, low, high):
+        words = list(words)
+        for i in rng.sample(range(low, high, 5), n):
+            words[i] = fresh(i)
+        return words
+
+    variants = [changed(base, 4, 0, 200) for _ in range(300)]
+    chained = [changed(variants[7], 8, 200, 400) for _ in range(60)]
+    texts = [" ".join(w) for w in [base, *variants, *chained]]
+    kept, want = kept_and_wanted(spark, texts)
+    assert kept == want
+
+
 def test_document_fingerprints(spark, corpus):
     texts = [*ODD, *corpus]
     got = {r.doc_id: r for r in cws.fingerprint_pairs(docs(spark, texts)).collect()}
