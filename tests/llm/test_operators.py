@@ -118,6 +118,15 @@ def test_near_duplicates_chained_in_a_large_group(spark):
     assert kept == want
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    texts = []
+    for i in range(20):
+        text = " ".join(f"w{i}x{j}" for j in range(300))
+        texts += [text, text + f" please{i} read{i} the{i} next{i} line{i}" * 300]
+    kept, want = kept_and_wanted(spark, texts)
+    assert want == set(range(0, 40, 2)) and kept == want
+
+
 def test_document_fingerprints(spark, corpus):
     texts = [*ODD, *corpus]
     got = {r.doc_id: r for r in cws.fingerprint_pairs(docs(spark, texts)).collect()}
