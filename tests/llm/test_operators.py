@@ -127,6 +127,15 @@ def test_near_duplicates_with_a_repeated_line(spark):
     assert want == set(range(0, 40, 2)) and kept == want
 
 
+def test_near_duplicates_of_few_words(spark):
+    texts = []
+    for i in range(200):
+        words = [f"w{i}x{j}" for j in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    kept, want = kept_and_wanted(spark, texts)
+    assert want == set(range(0, 400, 2)) and kept == want
+
+
 def test_document_fingerprints(spark, corpus):
     texts = [*ODD, *corpus]
     got = {r.doc_id: r for r in cws.fingerprint_pairs(docs(spark, texts)).collect()}
