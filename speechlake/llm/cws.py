@@ -6,12 +6,10 @@ and ln a = ln c - r * (t - b + 1), the sample is the (term, t) of least a. Two t
 a sample with probability sum(min) / sum(max) of their weights, the generalised Jaccard
 similarity.
 
-Samples come in GROUPS of BINS: in each group a hash deals the terms to the bins, and a bin
-samples from its own. So a term is drawn GROUPS times, not GROUPS * BINS times, and every bin's
-collisions still follow the similarity of what was dealt to it. Likeness is the share of
-equal samples among the bins that either text has terms in.
+Every term is drawn once for each of the GROUPS * DRAWS samples: a term has a row a group,
+which makes the group's DRAWS. Likeness is the share of equal samples.
 
-A row's 64-bit hash gives all uniforms of a draw. ln a and 32 bits naming (term, t) are
+One 64-bit hash gives all uniforms of a draw. ln a and 32 bits naming (term, t) are
 packed in one long, so a sample is a plain minimum that is combined before any exchange.
 
 Documents are exchanged once, in ranges of doc_id: the next document, the words and the
@@ -27,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUPS, BINS = 16, 8
+GROUPS, DRAWS = 16, 8
 SPACE = r"[\x20\x09-\x0D]+"
 #: Ranges of doc_id for each of the shuffle's partitions: small ones, so that a range's word counts stay in memory.
 RANGES = 8
@@ -35,16 +33,16 @@ RANGES = 8
 OWN = 100
 
 
-def uniform(low: int, bits: int) -> Column:
-    part = F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def uniform(i: int, low: int, bits: int) -> Column:
+    part = F.shiftrightunsigned(f"h{i}", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     return (part + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def packed(ln_w: str) -> Column:
+def packed(ln_w: str, i: int) -> Column:
     """ln a in the upper, the sample's name in the lower 32 bits; null where the text lacks the term."""
-    t = F.floor(F.col(ln_w) / F.col("r") + F.col("b"))
-    ln_a = F.col("ln_c") - F.col("r") * (t - F.col("b") + 1)
-    name = F.col("h").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
+    t = F.floor(F.col(ln_w) / F.col(f"r{i}") + F.col(f"b{i}"))
+    ln_a = F.col(f"ln_c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + 1)
+    name = F.col(f"h{i}").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.shiftleft(((ln_a + 64) * F.lit(float(1 << 24))).cast("long"), 32).bitwiseOR(name)
 
 
@@ -119,19 +117,23 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
             *[F.when(is_term & (F.col(c) > 0), F.log(F.col(c).cast("double"))).alias(n) for c, n in (("w", "ln_w"), ("w_edited", "ln_v"))],
             F.explode(F.when(is_term, F.sequence(F.lit(0), F.lit(GROUPS - 1))).otherwise(F.array(F.col("mark") + OWN))).alias("grp"),
         )
-        .select("part", "at", "mark", "grp", "w", "ln_w", "ln_v", F.xxhash64("term", "grp").alias("h"))
+        .select("part", "at", "mark", "grp", "w", "ln_w", "ln_v", *[F.xxhash64("term", "grp", F.lit(i)).alias(f"h{i}") for i in range(DRAWS)])
         .select(
-            "part", "at", "mark", "grp", "w", "ln_w", "ln_v", "h",
-            (-F.log(uniform(0, 10) * uniform(10, 10))).alias("r"),
-            F.log(-F.log(uniform(20, 14) * uniform(34, 14))).alias("ln_c"),
-            uniform(48, 13).alias("b"),
-            F.when(is_term, F.shiftrightunsigned("h", 61)).otherwise(0).alias("bin"),
+            "part", "at", "mark", "grp", "w", "ln_w", "ln_v",
+            *[c for i in range(DRAWS) for c in (
+                F.col(f"h{i}"),
+                (-F.log(uniform(i, 0, 10) * uniform(i, 10, 10))).alias(f"r{i}"),
+                F.log(-F.log(uniform(i, 20, 14) * uniform(i, 34, 14))).alias(f"ln_c{i}"),
+                uniform(i, 48, 13).alias(f"b{i}"),
+            )],
         )
-        .select("part", "at", "grp", "bin", F.when(is_term, packed("ln_w")).otherwise(F.col("w")).alias("x"), F.when(is_term, packed("ln_v")).alias("y"))
     )
-    mins = [F.min(F.when(F.col("bin") == i, F.col(c))).alias(f"{c}{i}") for c in "xy" for i in range(BINS)]
+    # A document's own value takes the place of its first draw.
+    x = [F.when(is_term, packed("ln_w", i)).otherwise(F.col("w")) if i == 0 else packed("ln_w", i) for i in range(DRAWS)]
+    y = [packed("ln_v", i) for i in range(DRAWS)]
+    mins = [F.min(c).alias(f"{side}{i}") for side, cs in (("x", x), ("y", y)) for i, c in enumerate(cs)]
     sampled = draws.groupBy("part", "at", "grp").agg(*mins)
-    side = [F.array(*[F.col(f"{c}{i}") for i in range(BINS)]).alias(c) for c in "xy"]
+    side = [F.array(*[F.col(f"{c}{i}") for i in range(DRAWS)]).alias(c) for c in "xy"]
     whole = (
         sampled.select("part", "at", F.struct("grp", *side).alias("g"))
         .groupBy("part", "at")
@@ -143,7 +145,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     def names(side: str) -> Column:
         got = F.flatten(F.transform(F.filter("gs", lambda g: g.grp < OWN), lambda g: g[side]))
-        return F.when(F.size(got) > 0, F.transform(got, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array_repeat(F.lit(None).cast("long"), GROUPS * BINS))
+        return F.when(F.size(got) > 0, F.transform(got, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array_repeat(F.lit(None).cast("long"), GROUPS * DRAWS))
 
     def likeness(a: str, b: str) -> Column:
         pairs = F.filter(F.arrays_zip(F.col(a).alias("p"), F.col(b).alias("q")), lambda z: z.p.isNotNull() | z.q.isNotNull())

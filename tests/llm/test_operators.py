@@ -158,6 +158,14 @@ def test_document_fingerprints(spark, corpus):
     assert [r.near_next for r in cws.fingerprint_pairs(docs(spark, ["a b"])).collect()] == [1.0]
 
 
+def test_document_fingerprints_of_uneven_weights(spark):
+    texts = []
+    for i in range(40):
+        texts += [" ".join([f"often{i}"] * 1000 + [f"w{i}x{side}x{j}" for j in range(100)]) for side in "ab"]
+    got = {r.doc_id: r.near_next for r in cws.fingerprint_pairs(docs(spark, texts)).collect()}
+    assert abs(np.mean([got[i] for i in range(0, 80, 2)]) - 1000 / 1200) < 0.03
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 16))
