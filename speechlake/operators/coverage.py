@@ -96,7 +96,7 @@ def keep_speakers(segments: DataFrame, least_us: int) -> DataFrame:
 
 
 def _cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Speech islands of the turns, stretched by 3 s after their end, and every word of even position."""
+    """Speech islands of the turns, stretched by 3 s after their end, and the first three of every nine words: the derived inputs of FIXTURES.md."""
     s = fixtures.segments_cv(spark, sf_dir).withColumn("end_us", F.col("end_us") + 3_000_000)
     return intervals.speech_islands(s), fixtures.words_cv(spark, sf_dir).where("w_idx % 9 < 3")
 
