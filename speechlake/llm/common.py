@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import itertools
 import os
+import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed but can be seen at the same path."""
+    """Lets Python workers import this package where it isn't installed but can be seen at the same path.
+
+    Texts are long: where the session leaves the rows of an Arrow batch at Spark's default, they become BATCH.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -26,13 +40,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, with a local master alone, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     own = tempfile.mkdtemp(prefix="speechlake-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -41,11 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Saved:
     """A step written as Parquet in the shared folder: cuts lineage, survives lost executors."""
 
+    opened: list[list] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.parquet(self.path)
+        for scope in Saved.opened:
+            scope.append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -56,26 +77,70 @@ class Saved:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def steps() -> Iterator[None]:
+    """Steps saved inside are dropped at the end: for callers that have written their result by then."""
+    own: list[Saved] = []
+    Saved.opened.append(own)
+    try:
+        yield
+    finally:
+        Saved.opened.remove(own)
+        for step in own:
+            step.drop()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, values: list, n: int) -> list:
-    """Rows (doc_id, text, key): at most n ids of each value, smallest hashes first; of a repeated id the smallest text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, n: int, total: int = 6_400, max_bytes: int = 64 << 20, values: int = 1_024) -> list:
+    """Rows (doc_id, text, key): of each value at most n ids, smallest hashes first; of a repeated id the smallest text.
 
     labels (doc_id, key) may be a join with docs: ids are chosen without texts, and only the
-    chosen ids' texts are read, so that neither a shuffle nor the driver sees more than these.
+    chosen ids' texts are read. The `values` most frequent values count. With v of them a value
+    gets at most min(n, total // v) ids, one at least, and max_bytes // v bytes of whole texts,
+    one text at least, so what the driver gets is bounded.
+
+    Ids are chosen by a threshold on their hash that follows the value's number of rows;
+    where repeated ids leave a value short the threshold is doubled.
     """
     spark = docs.sparkSession
-    own, chosen = labels.select("doc_id", key).distinct(), []
-    for value in values:
-        chosen += own.where(F.col(key) == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
-    if not chosen:
+    rows = labels.select("doc_id", key).where(f"{key} is not null and doc_id is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy(key).count().orderBy(F.desc("count"), key).limit(values).collect()}
+    if not counts:
         return []
-    picked = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], own.schema))  # at most n * len(values) ids
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", key).agg(F.min("text").alias("text")).collect()
-    return sorted(rows, key=lambda r: (values.index(r[key]), r.doc_id))
+    n = max(1, min(n, total // len(counts)))
+    share = {v: min(1.0, (n + 6 * n**0.5) / c) for v, c in counts.items()}
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    own = Window.partitionBy(key).orderBy("place", "doc_id")
+    while True:
+        limits = F.broadcast(spark.createDataFrame(list(share.items()), rows.select(key, F.lit(0.0).alias("share")).schema))  # a row a value
+        near = rows.withColumn("place", place).join(limits, key).where("place < share or share = 1.0").select("doc_id", key, "place").distinct()
+        chosen = near.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n).select("doc_id", key, "place").collect()
+        found = Counter(r[key] for r in chosen)
+        short = [v for v, s in share.items() if s < 1 and found[v] < n]
+        if not short:
+            break
+        share |= {v: min(1.0, 2 * share[v]) for v in short}
+    picked = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], near.schema))  # n ids a value
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", key, "place").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    kept = texts.withColumn("bytes", so_far).withColumn("rank", F.row_number().over(own)).where((F.col("bytes") <= max_bytes // len(counts)) | (F.col("rank") == 1))
+    return sorted(kept.select("doc_id", "text", key).collect(), key=lambda r: (r[key], r.doc_id))
 
 
 class Memo(dict):
@@ -101,26 +166,48 @@ class Memo(dict):
 
 
 def worker_state(key, make: Callable):
-    """One object per Python worker process and key, kept from task to task."""
+    """The object of this key in a Python worker process, kept from task to task until another key is asked for: one at a time."""
     kept = sys.__dict__.setdefault("_speechlake_state", {})
     if key not in kept:
-        if len(kept) > 8:
+        if kept:
             kept.clear()
+            give_back()
         kept[key] = make()
     return kept[key]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def sliced(column: pa.Array, rows: int = 128) -> Iterator[list]:
+    """The column's values, a few rows at a time, so that a batch of long texts isn't held as Python objects."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
+def each(column: pa.Array, rows: int = 128) -> Iterator:
+    return itertools.chain.from_iterable(sliced(column, rows))
+
+
 def keep_rows(docs: DataFrame, state: tuple, make: Callable, text: str = "text") -> DataFrame:
-    """The rows whose text passes make()(text), with all their columns; make() runs once a worker."""
+    """The rows whose text passes make()(text), with all their columns; make() runs once a worker.
+
+    Only the texts go to the workers, and only a flag comes back.
+    """
     ship(docs.sparkSession)
-    at = docs.columns.index(text)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         test = worker_state(state, make)
         for b in batches:
-            yield b.filter(pa.array([test(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield pa.array([test(t) for t in each(b)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(run, "boolean")(F.col(f"`{text}`")))
 
 
 def merge_pairs(parts: list[str], rank, none: float) -> list[str]:
@@ -199,11 +286,11 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> Saved:
     )
     labels = Saved(both.df.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
-        old = labels.df
+        old = labels.df.select("node", "label")
         seen = both.df.join(old.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("low"))
-        near = Saved(old.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "low").alias("low")), "near")
         hooks = (
-            near.df.where("low < label")
+            old.join(seen.withColumnRenamed("a", "node"), "node")
+            .where("low < label")
             .select(F.explode(F.array("node", "label")).alias("node"), "low")
             .groupBy("node")
             .agg(F.min("low").alias("low"))
@@ -212,13 +299,12 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> Saved:
             old.join(hooks, "node", "left").select("node", "label", F.coalesce(F.least("label", "low"), "label").alias("next")), "hooked"
         )
         up = hooked.df.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        jumped = Saved(hooked.df.join(up, "next", "left").select("node", "label", F.coalesce(F.least("next", "far"), "next").alias("new")), "jumped")
-        changed = jumped.df.where("new < label").limit(1).count()
+        jumped = hooked.df.join(up, "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("label"), F.col("label").alias("was"))
+        new = Saved(jumped, "labels")
         labels.drop()
-        labels = Saved(jumped.df.select("node", F.col("new").alias("label")), "labels")
-        for step in (near, hooked, jumped):
-            step.drop()
-        if not changed:
+        hooked.drop()
+        labels = new
+        if not labels.df.where("label < was").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -6,9 +6,12 @@ weighted by how well its classifier does in training, and turns the gap between
 best into a score; a small gap marks the text as ambiguous.
 
 Fitted on a bounded sample of the training rows: at most SAMPLE of each language, those of
-smallest hash; whole texts. Defined results: a null text, or one without a letter, is `und`
-with score 0, as is every text where nothing could be learned; repeated rows are predicted
-each; extra columns are left out; with one language learned, that is predicted.
+smallest hash; whole texts (see common.labelled_sample for the bounds over all languages; of
+more than 1,024 languages the most frequent are learned). Defined results: a null text, or one
+without a letter, is `und` with score 0, as is every text where nothing could be learned; of
+codewords at equal loss the language that sorts first is taken; a long text is read whole;
+repeated rows are predicted each; extra columns are left out (`keep_known` keeps them); with
+one language learned, that is predicted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, BUCKETS, MAX_LANGUAGES = 400, 4096, 256
+SAMPLE, BUCKETS = 400, 4096
 AMBIGUOUS = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -50,7 +53,8 @@ def codewords(n: int) -> np.ndarray:
     rng = np.random.default_rng(n)
     bits = 15 + 4 * int(np.ceil(np.log2(n)))
     tries = (rng.choice((-1.0, 1.0), (n, bits)) for _ in range(50))
-    return max(tries, key=lambda c: min((c[i] != c[j]).sum() for i in range(n) for j in range(i)))
+    alike = lambda c: (c @ c.T - 2 * bits * np.eye(n)).max()
+    return min(tries, key=alike)
 
 
 def doc_vector(text: str, memo: common.Memo) -> np.ndarray:
@@ -105,20 +109,19 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on at most `sample` rows of each language of (doc_id, text, lang); at most MAX_LANGUAGES languages are allowed."""
-    known = docs.where("lang is not null and text is not null")
-    langs = sorted(r.lang for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = common.labelled_sample(known, known, "lang", langs, sample)
-    rows = [r for r in rows if LETTERS.search(r.text)]
-    return Model([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    """Fits on at most `sample` rows of each language of (doc_id, text, lang)."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = [r for r in common.labelled_sample(known, known, "lang", sample) if LETTERS.search(r.text)]
+    model = Model([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    del rows
+    common.give_back()
+    return model
 
 
 class Predictor:
     def __init__(self, model: Model | None):
         self.model = model
-        self.cap = 200_000
+        self.cap = 100_000
         self.clear()
 
     def clear(self) -> None:
@@ -162,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guess = common.worker_state(("lang", run_id), lambda: Predictor(sent.value))
         for b in batches:
-            found = [guess(t) for t in b.column(1).to_pylist()]
+            found = [guess(t) for t in common.each(b.column(1))]
             s = [x for _, x in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array(s, pa.float64()), pa.array([x < AMBIGUOUS for x in s], pa.bool_())],

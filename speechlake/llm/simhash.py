@@ -7,7 +7,9 @@ the distance is verified. `near_duplicates` takes a similarity instead of a dist
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is
 linked like any other; a text of fewer words than a shingle is one shingle; repeated rows are
-linked to each other; extra columns are left out; an empty table gives an empty result.
+linked to each other; a row of null doc_id is linked too, and a component is named by its
+smallest known doc_id (null without any); extra columns are left out (`keep_one` keeps them,
+whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [simhash(t or b"", size) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fps = [simhash(t or b"", size) for t in common.each(b.column(1).cast(pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -108,15 +110,14 @@ def hamming_links(fps: DataFrame, distance: int = 2, blocks: int = 4) -> DataFra
         .where((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance))
         .select(F.col("fp").alias("a"), "b")
     )
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(64)])
-    inside = F.element_at(F.array(*[F.lit(signed(m)) for m in masks]), F.col("block") + 1)
-    points = (
-        keys.join(many, ["block", "key"], "left_semi")
-        .select("fp", "block", "key", F.explode(F.filter(flips, lambda f: f.bitwiseAND(inside) == 0)).alias("flip"))
-        .select("fp", "block", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    )
+    # A fingerprint may flip the bits outside of any hot block it stands in; each point is made once.
+    flips = F.array(*[F.lit(signed(1 << i)) for i in range(64)])
+    outside = F.element_at(F.array(*[F.lit(signed(~m & (1 << 64) - 1)) for m in masks]), F.col("block") + 1)
+    free = keys.join(many, ["block", "key"], "left_semi").groupBy("fp").agg(F.bit_or(outside).alias("free"))
+    flip = F.concat(F.array(F.lit(0).cast("long")), F.filter(flips, lambda f: f.bitwiseAND(F.col("free")) != 0))
+    points = free.select("fp", F.explode(flip).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     # At distance 2 a shared point is proof; below it the distance is checked again.
-    star = points.groupBy("block", "point").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    star = points.groupBy("point").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     if distance == 2:
         star = star.select("a", F.explode("fps").alias("b")).where("a <> b")
     else:
@@ -147,19 +148,30 @@ def link_components(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
 LONG_LIST, LEADERS = 64, 3
 #: Of 1 in SAMPLED texts the shingles are counted, and at most COMMON of those met again come last in every text.
 SAMPLED, COMMON = 8, 50_000
+#: Bits of a set's parity, by which pairs that differ in too many shingles are told without looking at the sets.
+BITS = 512
+
+
+def parity(tokens: np.ndarray) -> list[int]:
+    """BITS bits as signed longs, each the parity of how many tokens fall on it: two sets differ in at least as many tokens as their bits do."""
+    odd = np.bincount(tokens % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
 
 
 def prints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, th, shingles binary): th hashes the text, shingles are 32 bits of each distinct one, sorted."""
+    """(doc_id, th, shingles binary, bits): th hashes the text, shingles are 32 bits of each distinct one, sorted, bits their parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                sets = [np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["doc_id", "th", "shingles"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)) for t in common.each(part.column(2).cast(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(parity, sets), pa.list_(pa.int64()))],
+                    ["doc_id", "th", "shingles", "bits"],
+                )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, shingles binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, shingles binary, bits array<long>")
 
 
 def common_shingles(sets: DataFrame) -> np.ndarray:
@@ -240,13 +252,18 @@ def like_sizes(similarity: float) -> Column:
 
 
 def paired(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): rows (token, th, n, at, label) of one token and different labels that can reach the similarity.
+    """(a, b): rows (token, th, n, at, label, bits) of one token and different labels that can reach the similarity.
 
     At the first shingle that two texts share, no more than what follows can be shared besides.
+    Where rows carry bits, sets whose parities differ more than sets at the similarity may are left out.
     """
-    right = rows.select("token", F.col("th").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("label").alias("other"))
+    with_bits = "bits" in rows.columns
+    right = rows.select("token", F.col("th").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("label").alias("other"), *[F.col("bits").alias("other_bits")] * with_bits)
     most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
     reach = most >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
+    if with_bits:
+        apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("other_bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        reach &= apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n") + F.col("m")) + 1e-9
     met = rows.join(right, "token").where((F.col("th") < F.col("b")) & (F.col("label") != F.col("other")) & like_sizes(similarity) & reach)
     return met.select(F.col("th").alias("a"), "b").distinct()
 
@@ -265,17 +282,23 @@ def similar_components(sets: DataFrame, similarity: float) -> common.Saved:
     shared = common.Saved(counted.where("count > 1"), "shared")
     short = shared.df.where(F.col("count") <= LONG_LIST).withColumn("label", F.col("th"))
     long = shared.df.where(F.col("count") > LONG_LIST)
-    found = common.Saved(verified(paired(short, similarity), sets, similarity), "found")
-    if not long.limit(1).count():
-        return common.connected_components(found.df)
-    more = common.Saved(verified(led(long, similarity), sets, similarity), "found")
-    comp = common.connected_components(found.df.unionByName(more.df))
+    first = common.Saved(paired(short, similarity).unionByName(led(long, similarity)).distinct(), "pairs")
+    found = common.Saved(verified(first.df, sets, similarity), "found")
+    comp = common.connected_components(found.df)
     labelled = long.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("token", "th", "n", "at", F.coalesce("label", "th").alias("label"))
     labelled = common.Saved(labelled, "labelled")
     mixed = labelled.df.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    rest = common.Saved(verified(paired(labelled.df.join(mixed, "token", "left_semi"), similarity), sets, similarity), "found")
+    open_ = labelled.df.join(mixed, "token", "left_semi").join(sets.select("th", "bits"), "th")
+    rest = common.Saved(paired(open_, similarity), "pairs")
+    for step in (first, shared, labelled):
+        step.drop()
     if rest.df.limit(1).count():
-        comp = common.connected_components(found.df.unionByName(more.df).unionByName(rest.df))
+        more = common.Saved(verified(rest.df, sets, similarity), "found")
+        if more.df.limit(1).count():
+            comp = common.connected_components(found.df.unionByName(more.df))
+        more.drop()
+    for step in (rest, found):
+        step.drop()
     return comp
 
 
@@ -292,18 +315,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     common.ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     done = common.Saved(prints(source.withColumn("th", F.xxhash64("text")), size), "prints")
-    sets = common.Saved(done.df.select("th", "shingles").dropDuplicates(["th"]), "sets")
+    sets = common.Saved(done.df.select("th", "shingles", "bits").dropDuplicates(["th"]), "sets")
     comp = similar_components(sets.df, similarity)
+    sets.drop()
     reps = done.df.groupBy("th").agg(F.min("doc_id").alias("rep"))
     labelled = common.Saved(reps.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "labelled")
     best = labelled.df.groupBy("label").agg(F.min(F.struct("rep", "th")).alias("b"))
     keepers = common.Saved(best.select(F.col("b.rep").alias("doc_id"), F.col("b.th").alias("th")), "keepers")
+    for step in (done, comp, labelled):
+        step.drop()
     return keepers.df
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: one row of each group stays, with all its columns."""
-    keepers = near_duplicates(docs, size, similarity).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    one = Window.partitionBy("_id", "_th").orderBy(F.lit(1))
-    return keyed.join(keepers, ["_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    own_id, own_text = common.fresh(docs, "own_id", "own_text")
+    keepers = near_duplicates(docs, size, similarity).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_text))
+    keyed = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(own_text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(keepers, [own_id, own_text], "left_semi").dropDuplicates([own_id, own_text]).select(*[F.col(f"`{c}`") for c in docs.columns])

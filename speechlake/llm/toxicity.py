@@ -8,8 +8,9 @@ weights, so the model learns which sentences carry the label and can point at th
 It is fitted on a bounded sample of the labelled training rows: at most SAMPLE of each
 label, those of smallest hash; whole texts. Words in fewer than LEAST_DOCS of them have no
 weight. Defined results: null text counts as empty and has no sentence (score 0, as any
-text without one); repeated rows are scored each; extra columns are left out; without both
-labels in training every score is 0.
+text without one); of sentences that weigh alike the first is shown; a long text is scored
+whole; repeated rows are scored each; extra columns are left out (`keep_clean` keeps them);
+without both labels in training every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,14 +92,17 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.2
         g = np.append(np.bincount(ids, g_sentence[sentence], len(names)) - penalty * np.sign(w[:-1]), g_sentence.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
-    return {f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 0.05}, float(w[-1])
+    return {f: float(w[i]) for i, f in enumerate(names)}, float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float] | None:
     """Fits on at most `sample` documents (doc_id, text) of each label of labels (doc_id, toxic)."""
     found = docs.select("doc_id").join(labels.select("doc_id", "toxic"), "doc_id")
-    rows = common.labelled_sample(docs, found, "toxic", [0, 1], sample)
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    rows = common.labelled_sample(docs, found, "toxic", sample)
+    weights = fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    del rows
+    common.give_back()
+    return weights
 
 
 class Scorer:
@@ -107,7 +111,7 @@ class Scorer:
         if self.none:
             return
         self.w, self.bias = weights
-        self.memo = common.Memo(self._pull, 200_000)
+        self.memo = common.Memo(self._pull, 100_000)
 
     def _pull(self, word: str) -> tuple:
         return tuple((f, self.w[f]) for f in features(word) if f in self.w)
@@ -141,7 +145,7 @@ def score(docs: DataFrame, weights: tuple[dict[str, float], float] | None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = common.worker_state(("toxic", run_id), lambda: Scorer(sent.value))
         for b in batches:
-            found = [scorer(t or "") for t in b.column(1).to_pylist()]
+            found = [scorer(t or "") for t in common.each(b.column(1))]
             s = [x for x, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([x for _, x in found], pa.string())],
