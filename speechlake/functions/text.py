@@ -31,19 +31,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
+def _told(parts: Column) -> Column:
+    """Each part with itself, the two before and the one after in lower case: arrays side by side, so that a pass over them is linear."""
+    low = F.transform(parts, F.lower)
+    none = F.array(F.lit(None).cast("string"))
+    return F.arrays_zip(parts.alias("part"), low.alias("own"), F.concat(none, low).alias("one"), F.concat(none, none, low).alias("two"), F.slice(low, F.lit(2), F.size(low)).alias("next"))
+
+
+def _kept(parts: Column, gone) -> Column:
+    return F.transform(F.filter(_told(parts), lambda z: z.part.isNotNull() & ~F.coalesce(gone(z), F.lit(False))), lambda z: z.part)
+
+
 def collapse_runs(parts: Column) -> Column:
     """Runs of three and more equal parts, letter case aside, become their first; runs of two stay."""
-    low = F.transform(parts, F.lower)
-    at = lambda i: F.get(low, i)
-    again = lambda i: (at(i) == at(i - 1)) & (F.coalesce(at(i) == at(i - 2), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
-    return F.filter(parts, lambda x, i: ~F.coalesce(again(i), F.lit(False)))
+    return _kept(parts, lambda z: (z.own == z.one) & (F.coalesce(z.own == z.two, F.lit(False)) | F.coalesce(z.own == z.next, F.lit(False))))
 
 
 def drop_third_repeats(words: Column) -> Column:
     """A word equal to the two kept before it goes: runs are cut to two."""
-    low = F.transform(words, F.lower)
-    third = lambda i: (F.get(low, i) == F.get(low, i - 1)) & (F.get(low, i) == F.get(low, i - 2))
-    return F.filter(words, lambda x, i: ~F.coalesce(third(i), F.lit(False)))
+    return _kept(words, lambda z: (z.own == z.one) & (z.own == z.two))
 
 
 def collapse_words(text: Column) -> Column:
@@ -85,11 +91,12 @@ def collapse_phrases(text: Column) -> Column:
 
 
 def only_punctuation(text: Column) -> Column:
-    return (F.length(F.trim(text)) > 0) & (F.length(F.regexp_replace(text, r"[\s?.!,:;…\-–]+", "")) == 0)
+    """Nothing but punctuation and white space, blank text too."""
+    return F.length(F.regexp_replace(text, r"[\s?.!,:;…\-–]+", "")) == 0
 
 
 def ends_punctuated(text: Column) -> Column:
-    return F.rtrim(text).rlike("[.?!:;…]$")
+    return text.rlike(r"[.?!:;…]\s*$")
 
 
 def safe_stem(name: Column, fallback: Column) -> Column:

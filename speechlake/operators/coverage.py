@@ -78,12 +78,16 @@ def small_speakers(segments: DataFrame, least_us: int = 0, share: float = 0.15)
 
 
 def nearest_major(segments: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(record_id, seg_idx, near_idx, distance_us): for intervals of small speakers the nearest one of another; the earliest on ties."""
+    """(record_id, seg_idx, near_idx, distance_us): for intervals of small speakers the nearest one of another.
+
+    One that overlaps comes before one that touches; of several alike the first in order of seg_idx.
+    """
     told = segments.join(speakers.select("record_id", "speaker_id", "small"), ["record_id", "speaker_id"])
     a = told.where("small").select("record_id", "seg_idx", F.col("start_us").alias("a0"), F.col("end_us").alias("a1"))
     b = told.where("NOT small").select("record_id", F.col("seg_idx").alias("near_idx"), F.col("start_us").alias("b0"), F.col("end_us").alias("b1"))
-    far = F.greatest(F.lit(0), F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1"))
-    best = F.min(F.struct(far.alias("distance_us"), "b0", "near_idx")).alias("best")
+    apart = ~((F.col("b0") < F.col("a1")) & (F.col("a0") < F.col("b1")))
+    far = F.when(apart, F.greatest(F.lit(0), F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1"))).otherwise(F.lit(0))
+    best = F.min(F.struct(apart.alias("apart"), far.alias("distance_us"), "near_idx")).alias("best")
     return a.join(b, "record_id").groupBy("record_id", "seg_idx").agg(best).select("record_id", "seg_idx", "best.near_idx", "best.distance_us")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..functions import text
-from . import coverage, evaluation, exports, intervals, lifecycle, signals, speakers, turns, vectors
+from . import coverage, evaluation, exports, intervals, jobs, lifecycle, merging, signals, speakers, turns, vectors
 
 SEGMENTS_EV = """
     segments_ev AS (
@@ -180,12 +180,12 @@ ORACLE_SQL |= text.ORACLE_SQL | {
     "small_speakers": f"WITH {SEGMENTS_EV}, {SMALL} SELECT * FROM small",
     "nearest_major": f"""WITH {SEGMENTS_EV}, {SMALL}, told AS (SELECT s.*, m.small FROM segments_ev s JOIN small m ON m.record_id = s.record_id AND m.speaker_id = s.speaker_id)
         SELECT a.record_id, a.seg_idx, b.seg_idx AS near_idx, greatest(0, a.start_us - b.end_us, b.start_us - a.end_us) AS distance_us FROM told a JOIN told b ON a.record_id = b.record_id AND a.small AND NOT b.small
-        QUALIFY row_number() OVER (PARTITION BY a.record_id, a.seg_idx ORDER BY greatest(0, a.start_us - b.end_us, b.start_us - a.end_us), b.start_us, b.seg_idx) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY a.record_id, a.seg_idx ORDER BY CASE WHEN least(a.end_us, b.end_us) > greatest(a.start_us, b.start_us) THEN -1 ELSE greatest(0, a.start_us - b.end_us, b.start_us - a.end_us) END, b.seg_idx) = 1""",
     "min_duration_keep": f"""WITH {SEGMENTS_EV}, told AS (
             SELECT *, bool_or(end_us - start_us >= 20000000000) OVER (PARTITION BY record_id, speaker_id) AS kept, row_number() OVER (PARTITION BY record_id, speaker_id ORDER BY end_us - start_us DESC, start_us, seg_idx) AS rn FROM segments_ev)
         SELECT record_id, seg_idx FROM told WHERE end_us - start_us >= 20000000000 OR (NOT kept AND rn = 1)""",
 }
-for _part in (signals, evaluation):
+for _part in (signals, evaluation, jobs, merging):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 QUERIES |= speakers.QUERIES
@@ -220,7 +220,7 @@ QUERIES |= {f.__name__: f for f in (smooth_words, micro_rule, merge_turns, utter
 ORACLE_SQL |= {name: f"WITH {WORDS_CV} {body}" for name, body in exports.ORACLE_BODY.items()} | {
     "smooth_words": f"""WITH {WORDS_CV} SELECT record_id, w_idx, CASE WHEN lag(speaker_id) OVER w = lead(speaker_id) OVER w AND lag(speaker_id) OVER w <> speaker_id THEN lag(speaker_id) OVER w ELSE speaker_id END AS speaker_id
         FROM attributed WINDOW w AS (PARTITION BY record_id ORDER BY w_idx)""",
-    "micro_rule": f"""WITH {WORDS_CV} SELECT record_id, u_idx, CASE WHEN trim(text) <> '' AND regexp_full_match(text, '[\\s?.!,:;…–-]*') THEN coalesce(lag(speaker_id) OVER w, lead(speaker_id) OVER w, speaker_id) ELSE speaker_id END AS speaker_id
+    "micro_rule": f"""WITH {WORDS_CV} SELECT record_id, u_idx, CASE WHEN regexp_full_match(text, '[\\s?.!,:;…–-]*') THEN coalesce(lag(speaker_id) OVER w, lead(speaker_id) OVER w, speaker_id) ELSE speaker_id END AS speaker_id
         FROM utterances WINDOW w AS (PARTITION BY record_id ORDER BY u_idx)""",
     "utterances_bound": f"WITH {WORDS_CV}, {BOUND} SELECT record_id, u_idx, speaker_id FROM spoken",
     "merge_turns": f"""WITH {WORDS_CV}, {BOUND}, flags3 AS (

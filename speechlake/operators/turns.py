@@ -35,7 +35,7 @@ def utterances(words: DataFrame, silence_us: int = SILENCE_US) -> DataFrame:
 def bind_short(turns: DataFrame) -> DataFrame:
     """Short turns after an unpunctuated one, with little gap, go to the speaker before; this cascades."""
     w = Window.partitionBy("record_id").orderBy("u_idx")
-    bound = (F.col("end_us") - F.col("start_us") < SHORT_US) & (F.col("start_us") - F.lag("end_us").over(w) < BIND_GAP_US) & ~F.lag("text").over(w).rlike("[.?!:;…]$")
+    bound = (F.col("end_us") - F.col("start_us") < SHORT_US) & (F.col("start_us") - F.lag("end_us").over(w) < BIND_GAP_US) & ~F.lag(ends_punctuated(F.col("text"))).over(w)
     own = turns.withColumn("bound", F.coalesce(bound, F.lit(False)))
     return own.withColumn("speaker_id", F.last(F.when(~F.col("bound"), F.col("speaker_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("bound")
 
