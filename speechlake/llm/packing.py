@@ -3,12 +3,15 @@
 Documents are cut into pieces of at most `capacity` ids. Pieces are dealt to partitions by a
 hash of their id; each partition packs by best-fit decreasing and compares its bin count
 with a lower bound from dual feasible functions. Partitions above their bound give the
-pieces of their unfilled bins away: those meet in fewer partitions and are packed again,
-until no partition has a gap, one partition is left, or a round brings no gain.
-
-Defined results: null text counts as empty and is one piece with the closing id alone;
-repeated rows are packed as often as they occur; extra columns are left out; an empty table
-gives an empty result. Only ids' lengths and checksums are kept, never the ids of all texts.
+pieces of their unfilled bins away: those are dealt anew, to partitions of PER_GROUP pieces
+on average, and packed again, until no partition has a gap, one partition has seen all that
+is left, or a round makes the sum of gaps no smaller.
+
+Defined results: null text counts as empty and is one piece with the closing id alone; a
+null doc_id is packed like any other; the literal of a special token in a text is that token,
+as in the tokenizer's own reading; repeated rows are packed as often as they occur; extra
+columns are left out; an empty table gives an empty result. Only ids' lengths and checksums
+are kept, never the ids of all texts.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY = 4096
-#: Pieces that a packing task gets on average, and by how much fewer partitions share the next round.
-PER_GROUP, FOLD, MAX_ROUNDS = 16_384, 8, 12
+#: Pieces that a packing task gets on average.
+PER_GROUP, MAX_ROUNDS = 16_384, 12
 #: From so many bytes on, words are merged from the left, in time that grows with their length alone.
 LONG_WORD = 200
 NONE, END = float("-inf"), "\ue000"
@@ -51,9 +54,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model = spec["model"]
+        #: Literals that the tokenizer takes out before it looks at words: texts that hold one are left to it.
+        self.special = re.compile("|".join(re.escape(t["content"].lower()) for t in spec.get("added_tokens", ())) or r"(?!)")
         suffix = model["end_of_word_suffix"]
         marked = lambda x: x.removesuffix(suffix) + END * x.endswith(suffix)
         self.vocab = {marked(t): i for t, i in model["vocab"].items()}
@@ -70,10 +75,10 @@ class WordTokenizer:
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
         self.spaces, self.rare = re.compile(f"[{space}]+"), re.compile("[\x1c-\x1f]")  # str.split takes these four for spaces
         self.beyond = re.compile("[^\x00-ɏ]")
-        self.cover = common.Cover(self.vocab, self._apart, self._rank, NONE)
+        self.cover = common.Cover(self.vocab, self._apart, self._rank, NONE, 50_000)
         self.merge = self._merger()
-        self.word_ids = common.Memo(self._word)
-        self.memo = common.Memo(self._run)
+        self.word_ids = common.Memo(self._word, 50_000)
+        self.memo = common.Memo(self._run, 100_000)
 
     def _rank(self, left: str, right: str) -> int:
         return self.ranks.get(f"{left} {right}", NONE)
@@ -122,7 +127,7 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.beyond.search(low):
+        if self.beyond.search(low) or self.special.search(low):
             return self._text(text)
         return b"".join(map(self.memo.__getitem__, self.spaces.split(low) if self.rare.search(low) else low.split()))
 
@@ -136,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         encode = common.worker_state(("word", tokenizer), lambda: WordTokenizer(tokenizer))
         for b in batches:
             rows = ([], [], [], [], [], [])
-            for doc_id, copy, text in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.each(b.column(2))):
                 ids = memoryview(encode(text or "") + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -228,26 +233,28 @@ def pack_round(rows: DataFrame, groups: int, salt: int, capacity: int) -> DataFr
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece's place in a sequence."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece's place in a sequence.
+
+    Sequence numbers are exact: a round's number, its partition and its bin side by side, and negative ones for whole pieces.
+    """
     cut = common.Saved(pieces(docs, tokenizer, end_id, capacity), "pieces")
     whole = cut.df.where(F.col("length") == capacity)
-    rest = cut.df.where(F.col("length") < capacity)
-    groups = max(1, -(-rest.count() // PER_GROUP))
-    placed = whole.select("doc_id", "copy", "piece", F.lit(-1).alias("round"), F.xxhash64("doc_id", "copy", "piece").alias("grp"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"))
-    for turn in range(MAX_ROUNDS):
+    rest, n = cut.df.where(F.col("length") < capacity), cut.df.where(F.col("length") < capacity).count()
+    placed = whole.select("copy", "piece", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    before = None
+    for turn in range(MAX_ROUNDS if n else 0):
+        groups = -(-n // PER_GROUP)
         done = common.Saved(pack_round(rest, groups, turn, capacity), f"round{turn}")
-        last = groups == 1 or turn == MAX_ROUNDS - 1
+        gap = done.df.select("grp", "gap").distinct().agg(F.sum(F.greatest("gap", F.lit(0)))).first()[0] or 0
         # A partition at its bound is settled; of one above it only the filled bins are.
+        last = groups == 1 or turn == MAX_ROUNDS - 1 or (before is not None and gap >= before)
         settled = F.lit(True) if last else (F.col("gap") <= 0) | (F.col("fill") == capacity)
-        kept = done.df.where(settled)
-        placed = placed.unionByName(kept.select("doc_id", "copy", "piece", F.lit(turn).alias("round"), F.col("grp").cast("long").alias("grp"), "bin", "offset"))
+        number = F.lit(turn << 58).cast("long").bitwiseOR(F.shiftleft(F.col("grp").cast("long"), 28)).bitwiseOR(F.col("bin").cast("long"))
+        placed = placed.unionByName(done.df.where(settled).select("copy", "piece", number.alias("sequence_id"), "offset"))
         if last:
             break
         rest = done.df.where(~settled)
-        if rest.limit(1).count() == 0:
+        n, before = rest.count(), gap
+        if not n:
             break
-        groups = -(-groups // FOLD)
-    sequence = F.xxhash64("round", "grp", "bin")
-    return cut.df.join(placed, ["doc_id", "copy", "piece"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset"
-    )
+    return cut.df.join(placed, ["copy", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
