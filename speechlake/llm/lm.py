@@ -6,9 +6,10 @@ space alpha(j) = logsum over pieces w ending at j of alpha(j - |w|) + log p(w).
 span words, so a text's lattice falls apart into its words' lattices and one end symbol, and
 the marginal of every distinct word of the corpus is computed once.
 
-Corpus counts (words, pieces) cover all training texts. The base model needs each word's
-count: count and marginal: the most frequent HEAD words go to the workers, the others are looked up
-by a join that no frequent word can skew, so every count is exact at every size.
+Corpus counts (words, pieces) cover all training texts. Each word's count and marginal are
+needed with every text: those of the HEAD words that occur most often, in training texts or
+others, go to the workers, the rest are looked up by a join that no frequent word can skew, so
+every count is exact at every size.
 
 Defined results: null text counts as empty (one end symbol); repeated rows are scored each;
 extra columns are left out; without training texts every count is zero.
@@ -36,27 +37,29 @@ MARK = "▁"
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, c long): words and, as a null word, the ends of documents (text, train); c counts in training texts only."""
+    """(word binary, c long, n long): words and, as a null word, the ends of documents (text, train); c counts in training texts only, n in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+            words = list(counts)
+            for w in held.keys() - counts.keys():
+                words.append(w)
+            c = [counts.get(w, 0) for w in words]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([k + held.get(w, 0) for k, w in zip(c, words)], pa.int64())], ["word", "c", "n"])
 
-        counts: Counter = Counter()
+        counts, held = Counter(), Counter()
         for b in batches:
-            for t, train in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                if train:
-                    counts.update(words_of(t or b""))
-                    counts[None] += 1
-                else:
-                    for w in words_of(t or b""):
-                        counts[w] += 0
-                if len(counts) > FLUSH:
+            for t, train in zip(common.each(b.column(0).cast(pa.binary())), b.column(1).to_pylist()):
+                own = counts if train else held
+                own.update(words_of(t or b""))
+                own[None] += 1
+                if len(counts) + len(held) > FLUSH:
                     yield out()
                     counts.clear()
+                    held.clear()
         yield out()
 
-    return docs.select("text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def pieces_of(model: str) -> tuple[object, list[str]]:
@@ -147,12 +150,12 @@ def score(docs: DataFrame, train: Column, model: str, head: int = HEAD) -> DataF
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = common.worker_state(("lattice", run_id), lambda: Lattice(pieces_of(model)[1], *grammar.value))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([lattice(w) for w in b.column(0).to_pylist()], pa.float64())], ["word", "c", "logp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([lattice(w) for w in b.column(0).to_pylist()], pa.float64())], ["word", "c", "n", "logp"])
 
-    words = common.Saved(counted.df.where("word is not null").mapInArrow(marginals, "word binary, c long, logp double"), "marginals")
-    top = words.df.where("c > 0").orderBy(F.desc("c"), "word").limit(head)
-    known = {bytes(w): (c, math.log10(c + 1), logp) for w, c, logp in top.collect()}
-    least = min(k[0] for k in known.values()) if len(known) == head else 0
+    words = common.Saved(counted.df.where("word is not null").select("word", "c", "n").mapInArrow(marginals, "word binary, c long, n long, logp double"), "marginals")
+    top = words.df.orderBy(F.desc("n"), "word").limit(head).collect()
+    known = {bytes(w): (c, math.log10(c + 1), logp) for w, c, _, logp in top}
+    most = top[-1].n if len(top) == head else 0  # so often each word occurs that the head lacks, at most
     sent = spark.sparkContext.broadcast(known)
     schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, logs double, lattice double, words array<binary>, times array<int>"
 
@@ -169,7 +172,7 @@ def score(docs: DataFrame, train: Column, model: str, head: int = HEAD) -> DataF
                     for w, k in Counter(words).items():
                         found = known.get(w)
                         if found:
-                            hit += k
+                            hit += k if found[0] else 0
                             logs += k * found[1]
                             lat += k * found[2]
                         else:
@@ -179,8 +182,8 @@ def score(docs: DataFrame, train: Column, model: str, head: int = HEAD) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split(" ")[0] for f in schema.split(", ")])
 
     out = common.Saved(source.mapInArrow(run, schema), "scored")
-    # What the head lacks: words of at most `least` occurrences, so no word here is in more than a few documents.
-    tail = words.df.where(F.col("c") <= least)
+    # What the head lacks: no word here occurs more often in the whole corpus than any of the head's, so none is in very many documents.
+    tail = words.df.where(F.col("n") <= most)
     late = (
         out.df.select("row", F.explode(F.arrays_zip("words", "times")).alias("z")).select("row", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
         .join(tail, "word")
