@@ -286,7 +286,7 @@ class Encoder:
         norm, origin = self.normalise(text)
         if not norm:
             return Encoding(*[np.zeros(0, np.int32)] * 3, b"", b"")
-        if origin is None and self.byte_id and self.escape:
+        if origin is None and self.byte_id and self.escape and SPACE not in text:  # an escape that is the text's own has its own bytes
             decimal, ids, begins, ends, data = self._joined(list(map(self.memo.__getitem__, self.chunks.findall(norm))), -1 if self.dummy_prefix else 0)
             ids, begins, ends = (np.frombuffer(x, np.int32) for x in (ids, begins, ends))
         else:

@@ -202,8 +202,7 @@ def test_pii_spans_and_terms(spark, corpus):
     noise = ["".join(rng.choice("a1.@+-_ 4é😀(") for _ in range(60)) for _ in range(300)]
     told = [f"filler{i} text stands here Zorbulon writes from zor@x.org about things" for i in range(6)]
     texts = [*ODD, *noise, *corpus[:60], *told, "1 2 3 " * 20000]
-    got = {r.doc_id: pii.written for r in []}
-    rows = pii.by_document(pii.find(docs(spark, texts))).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()
+    rows = pii.find(docs(spark, texts)).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()
     got = {r.doc_id: r.s for r in rows}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -237,8 +236,7 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(WORDS)
-    lib.encode_special_tokens = True
-    texts = [*ODD, *corpus]
+    texts = [*ODD, "hello <|endoftext|> world <|StartOfText|>", *corpus]
     got = packing.pack(docs(spark, texts), WORDS).collect()
     by = {}
     for r in got:
@@ -332,10 +330,10 @@ def test_sentencepiece_exact(spark, corpus):
             hashlib.sha256(sp.decode(ids).encode()).hexdigest(),
         ), t
         if len(t or "") < 2000:
-            spans = enc.encode(t or "")
-            assert [s[0] for s in spans] == ids and enc.decode(ids) == sp.decode(ids)
+            e = enc.encode(t or "")
+            assert e.ids.tolist() == ids and enc.decode(ids) == sp.decode(ids) == e.decoded.decode("utf-8", "replace")
             data, at = (t or "").encode(), 0
-            for _, a, b in spans:
+            for a, b in zip(e.begin.tolist(), e.end.tolist()):
                 assert a in (at, a) and b >= a
                 at = max(at, b)
             assert at == len(data)
