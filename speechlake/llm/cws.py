@@ -6,11 +6,12 @@ and ln a = ln c - r * (t - b + 1), the sample is the (term, t) of least a. Two t
 a sample with probability sum(min) / sum(max) of their weights, the generalised Jaccard
 similarity.
 
-Every term is drawn once for each of the GROUPS * DRAWS samples: a term has a row a group,
-which makes the group's DRAWS. Likeness is the share of equal samples.
-
-One 64-bit hash gives all uniforms of a draw. ln a and 32 bits naming (term, t) are
-packed in one long, so a sample is a plain minimum that is combined before any exchange.
+Every term is drawn once for each of the GROUPS * DRAWS samples: likeness is the share of
+equal samples. What a term gives with a weight is the same in every document, so the
+documents of a range are first gathered by term and weight (CHUNK of them at most), the
+draws are made once, a row a group of DRAWS, and handed to the documents, where a sample is a
+plain minimum. Two 64-bit hashes give the uniforms of a draw; ln a and 32 bits naming
+(term, t) are packed in one long.
 
 Documents are exchanged once, in ranges of doc_id: the next document, the words and the
 samples of a document are all found inside its range.
@@ -25,22 +26,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUPS, DRAWS = 16, 8
+#: More draws a row make methods that the virtual machine does not compile.
+GROUPS, DRAWS = 22, 6
 SPACE = r"[\x20\x09-\x0D]+"
-#: Ranges of doc_id for each of the shuffle's partitions: small ones, so that a range's word counts stay in memory.
-RANGES = 8
+#: Ranges of doc_id for each of the shuffle's partitions: enough that a range's word counts stay in memory, few enough that its documents share terms.
+RANGES = 16
 #: Groups from here on carry a document's own values.
 OWN = 100
+#: Documents that share a term's draws at most.
+CHUNK = 4096
 
 
-def uniform(i: int, low: int, bits: int) -> Column:
-    part = F.shiftrightunsigned(f"h{i}", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def uniform(column: str, low: int, bits: int) -> Column:
+    part = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     return (part + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def packed(ln_w: str, i: int) -> Column:
-    """ln a in the upper, the sample's name in the lower 32 bits; null where the text lacks the term."""
-    t = F.floor(F.col(ln_w) / F.col(f"r{i}") + F.col(f"b{i}"))
+def packed(i: int) -> Column:
+    """ln a in the upper, the sample's name in the lower 32 bits."""
+    t = F.floor(F.col("ln_w") / F.col(f"r{i}") + F.col(f"b{i}"))
     ln_a = F.col(f"ln_c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + 1)
     name = F.col(f"h{i}").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.shiftleft(((ln_a + 64) * F.lit(float(1 << 24))).cast("long"), 32).bitwiseOR(name)
@@ -110,29 +114,37 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         .groupBy("part", "at", "mark", "term")
         .agg(F.sum(F.when(F.col("kind") != 1, F.col("value"))).alias("w"), F.sum(F.when(F.col("kind") == 1, F.col("value"))).alias("w_edited"))
     )
+    # Sides: 0 the text, 1 the edited text, 2 both with one weight.
     is_term = F.col("mark") == 0
+    on = lambda weight, side: F.struct(weight.alias("weight"), F.lit(side).alias("side"))
+    same = F.col("w") == F.col("w_edited")
+    sides = F.when(~is_term | F.col("w_edited").isNull(), F.array(on(F.col("w"), 0))).when(F.col("w").isNull(), F.array(on(F.col("w_edited"), 1))).when(same, F.array(on(F.col("w"), 2)))
+    uses = counted.select("part", "at", "mark", "term", F.explode(sides.otherwise(F.array(on(F.col("w"), 0), on(F.col("w_edited"), 1)))).alias("u")).select("part", "at", "mark", "term", "u.*")
+    shared = uses.groupBy("part", F.floor(F.col("at") / CHUNK).alias("chunk"), "mark", "term", "weight").agg(F.collect_list(F.col("at") * 4 + F.col("side")).alias("docs"))  # CHUNK documents, two sides
     draws = (
-        counted.select(
-            "part", "at", "mark", "term", "w",
-            *[F.when(is_term & (F.col(c) > 0), F.log(F.col(c).cast("double"))).alias(n) for c, n in (("w", "ln_w"), ("w_edited", "ln_v"))],
+        shared.select(
+            "part", "mark", "term", "weight", "docs",
+            F.when(is_term, F.log(F.col("weight").cast("double"))).alias("ln_w"),
             F.explode(F.when(is_term, F.sequence(F.lit(0), F.lit(GROUPS - 1))).otherwise(F.array(F.col("mark") + OWN))).alias("grp"),
         )
-        .select("part", "at", "mark", "grp", "w", "ln_w", "ln_v", *[F.xxhash64("term", "grp", F.lit(i)).alias(f"h{i}") for i in range(DRAWS)])
+        .select("part", "mark", "weight", "docs", "grp", "ln_w", *[F.xxhash64("term", "grp", F.lit(2 * i + j)).alias(f"{c}{i}") for i in range(DRAWS) for j, c in enumerate("hg")])
         .select(
-            "part", "at", "mark", "grp", "w", "ln_w", "ln_v",
+            "part", "mark", "weight", "docs", "grp", "ln_w",
             *[c for i in range(DRAWS) for c in (
                 F.col(f"h{i}"),
-                (-F.log(uniform(i, 0, 10) * uniform(i, 10, 10))).alias(f"r{i}"),
-                F.log(-F.log(uniform(i, 20, 14) * uniform(i, 34, 14))).alias(f"ln_c{i}"),
-                uniform(i, 48, 13).alias(f"b{i}"),
+                (-F.log(uniform(f"h{i}", 0, 21) * uniform(f"h{i}", 21, 21))).alias(f"r{i}"),
+                uniform(f"h{i}", 42, 22).alias(f"b{i}"),
+                F.log(-F.log(uniform(f"g{i}", 0, 32) * uniform(f"g{i}", 32, 32))).alias(f"ln_c{i}"),
             )],
         )
+        # A document's own value takes the place of its first draw.
+        .select("part", "grp", "docs", *[(F.when(is_term, packed(i)).otherwise(F.col("weight")) if i == 0 else packed(i)).alias(f"d{i}") for i in range(DRAWS)])
+        .select("part", "grp", F.explode("docs").alias("doc"), *[f"d{i}" for i in range(DRAWS)])
     )
-    # A document's own value takes the place of its first draw.
-    x = [F.when(is_term, packed("ln_w", i)).otherwise(F.col("w")) if i == 0 else packed("ln_w", i) for i in range(DRAWS)]
-    y = [packed("ln_v", i) for i in range(DRAWS)]
-    mins = [F.min(c).alias(f"{side}{i}") for side, cs in (("x", x), ("y", y)) for i, c in enumerate(cs)]
-    sampled = draws.groupBy("part", "at", "grp").agg(*mins)
+    by_side = draws.groupBy("part", "doc", "grp").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(DRAWS)])
+    side = F.col("doc") % 4
+    mins = [F.min(F.when(side != other, F.col(f"d{i}"))).alias(f"{name}{i}") for name, other in (("x", 1), ("y", 0)) for i in range(DRAWS)]
+    sampled = by_side.groupBy("part", F.floor(F.col("doc") / 4).alias("at"), "grp").agg(*mins)
     side = [F.array(*[F.col(f"{c}{i}") for i in range(DRAWS)]).alias(c) for c in "xy"]
     whole = (
         sampled.select("part", "at", F.struct("grp", *side).alias("g"))
