@@ -77,6 +77,13 @@ class Saved:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def if_small(df: DataFrame, most: int = 16 << 20, width: Column | None = None) -> DataFrame:
+    """A saved table for the small side of a join: marked for broadcast if its values have at most so many bytes (width of a row), counted here."""
+    width = sum((F.octet_length(c) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(0)) if width is None else width
+    held = df.agg(F.sum(F.coalesce(width, F.lit(8)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 @contextlib.contextmanager
 def steps() -> Iterator[None]:
     """Steps saved inside are dropped at the end: for callers that have written their result by then."""

@@ -29,7 +29,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.by_document(pii.find(table(spark, sf_dir, "documents")))
+    docs = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind < 4)
 
     def number(k: int) -> Column:
