@@ -85,12 +85,12 @@ def if_small(df: DataFrame, most: int = 16 << 20, width: Column | None = None) -
 
 
 @contextlib.contextmanager
-def steps() -> Iterator[None]:
-    """Steps saved inside are dropped at the end: for callers that have written their result by then."""
+def steps() -> Iterator[list]:
+    """Steps saved inside are dropped at the end, but for those taken out of the list: for callers that have written their result by then."""
     own: list[Saved] = []
     Saved.opened.append(own)
     try:
-        yield
+        yield own
     finally:
         Saved.opened.remove(own)
         for step in own:

@@ -124,18 +124,24 @@ def disclosing(source: DataFrame, found: DataFrame, copies: DataFrame, n: float)
     copies (th, share): what a text that occurs several times counts each time.
     """
     weight = F.coalesce("weight", F.lit(1.0))
-    held = common.Saved(found.where("size(entities) > 0").select("th", "entities", "words").join(copies, "th", "left").select("entities", "words", weight.alias("weight")), "held").df
     enough = F.lit(SUPPORT - 1e-6)
+    held = found.where("size(entities) > 0").select(F.monotonically_increasing_id().alias("doc"), "th", "entities", "words").join(copies, "th", "left")
+    held = common.Saved(held.select("doc", "entities", "words", weight.alias("weight")), "held").df
     entities = held.select(F.explode("entities").alias("e"), "weight").groupBy("e.kind", "e.key").agg(F.sum("weight").alias("n_e")).where((F.col("n_e") >= enough) & (F.col("n_e") < n - 1e-6))
     entities = common.if_small(common.Saved(entities, "entities").df)
-    pairs = held.select(F.explode("entities").alias("e"), "words", "weight").select("e.*", "words", "weight").join(entities, ["kind", "key"])
-    pairs = pairs.select("kind", "key", "n_e", "weight", F.explode("words").alias("word")).groupBy("kind", "key", "n_e", "word").agg(F.sum("weight").alias("n_et")).where(F.col("n_et") >= enough)
-    pairs = common.Saved(pairs, "pairs").df
     # Texts get their weights before they are cut in words: what is exchanged is texts at most, and then sums.
     weighed = source.select("th", "text").join(copies, "th", "left") if copies.limit(1).count() else source.withColumn("weight", F.lit(1.0))
-    counts = weighed.select(F.explode(document_words(source)).alias("word"), weight.alias("weight")).groupBy("word").agg(F.sum("weight").alias("df"))
+    counts = weighed.select(F.explode(document_words(source)).alias("word"), weight.alias("weight")).groupBy("word").agg(F.sum("weight").alias("df")).where(F.col("df") >= enough)
+    # As n(word, entity) is n(entity) at most, a word in more texts than this cannot tell DISCLOSURE of the entity.
+    most = lambda n_e: F.pow(F.lit(n), F.lit(1 - DISCLOSURE)) * F.pow(n_e, F.lit(DISCLOSURE)) * (1 + 1e-9)
+    top = entities.agg(F.max("n_e")).first()[0] or 0.0
+    rare = held.select("doc", F.explode("words").alias("word")).join(counts.where(F.col("df") <= most(F.lit(top))), "word")
+    rare = rare.groupBy("doc").agg(F.collect_list(F.struct("word", "df")).alias("rare"))  # words of one document
+    pairs = held.select("doc", "weight", F.explode("entities").alias("e")).select("doc", "weight", "e.*").join(entities, ["kind", "key"]).join(rare, "doc")
+    pairs = pairs.select("kind", "key", "n_e", "weight", F.explode(F.filter("rare", lambda r: r.df <= most(F.col("n_e")))).alias("r")).select("kind", "key", "n_e", "weight", "r.*")
+    pairs = pairs.groupBy("kind", "key", "n_e", "word", "df").agg(F.sum("weight").alias("n_et")).where(F.col("n_et") >= enough)
     told = F.log2(F.lit(n) * F.col("n_et") / (F.greatest("df", "n_et") * F.col("n_e"))) / F.log2(F.lit(n) / F.col("n_e"))
-    return pairs.join(counts, "word").withColumn("share", told).where(F.col("share") >= DISCLOSURE).groupBy("word").agg(F.max("share").alias("share"))
+    return pairs.withColumn("share", told).where(F.col("share") >= DISCLOSURE).groupBy("word").agg(F.max("share").alias("share"))
 
 
 def term_spans(source: DataFrame, tells: DataFrame) -> DataFrame:
