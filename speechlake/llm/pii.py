@@ -128,18 +128,22 @@ def disclosing(source: DataFrame, found: DataFrame, copies: DataFrame, n: float)
     held = found.where("size(entities) > 0").select(F.monotonically_increasing_id().alias("doc"), "th", "entities", "words").join(copies, "th", "left")
     held = common.Saved(held.select("doc", "entities", "words", weight.alias("weight")), "held").df
     entities = held.select(F.explode("entities").alias("e"), "weight").groupBy("e.kind", "e.key").agg(F.sum("weight").alias("n_e")).where((F.col("n_e") >= enough) & (F.col("n_e") < n - 1e-6))
-    entities = common.if_small(common.Saved(entities, "entities").df)
+    entities = common.if_small(common.Saved(entities.withColumn("eid", F.monotonically_increasing_id()), "entities").df)
     # Texts get their weights before they are cut in words: what is exchanged is texts at most, and then sums.
     weighed = source.select("th", "text").join(copies, "th", "left") if copies.limit(1).count() else source.withColumn("weight", F.lit(1.0))
     counts = weighed.select(F.explode(document_words(source)).alias("word"), weight.alias("weight")).groupBy("word").agg(F.sum("weight").alias("df")).where(F.col("df") >= enough)
     # As n(word, entity) is n(entity) at most, a word in more texts than this cannot tell DISCLOSURE of the entity.
     most = lambda n_e: F.pow(F.lit(n), F.lit(1 - DISCLOSURE)) * F.pow(n_e, F.lit(DISCLOSURE)) * (1 + 1e-9)
     top = entities.agg(F.max("n_e")).first()[0] or 0.0
-    rare = held.select("doc", F.explode("words").alias("word")).join(counts.where(F.col("df") <= most(F.lit(top))), "word")
-    rare = rare.groupBy("doc").agg(F.collect_list(F.struct("word", "df")).alias("rare"))  # words of one document
-    pairs = held.select("doc", "weight", F.explode("entities").alias("e")).select("doc", "weight", "e.*").join(entities, ["kind", "key"]).join(rare, "doc")
-    pairs = pairs.select("kind", "key", "n_e", "weight", F.explode(F.filter("rare", lambda r: r.df <= most(F.col("n_e")))).alias("r")).select("kind", "key", "n_e", "weight", "r.*")
-    pairs = pairs.groupBy("kind", "key", "n_e", "word", "df").agg(F.sum("weight").alias("n_et")).where(F.col("n_et") >= enough)
+    counts = counts.where(F.col("df") <= most(F.lit(top))).withColumn("wid", F.monotonically_increasing_id())
+    counts = common.if_small(common.Saved(counts, "counts").df)
+    # Words and entities are exchanged by their numbers; names come back for the pairs that are met often enough.
+    rare = held.select("doc", F.explode("words").alias("word")).join(counts, "word")
+    rare = rare.groupBy("doc").agg(F.collect_list(F.struct("wid", "df")).alias("rare"))  # words of one document
+    pairs = held.select("doc", "weight", F.explode("entities").alias("e")).select("doc", "weight", "e.*").join(entities, ["kind", "key"]).select("doc", "weight", "eid", "n_e").join(rare, "doc")
+    pairs = pairs.select("eid", "weight", F.explode(F.filter("rare", lambda r: r.df <= most(F.col("n_e")))).alias("r")).select("eid", "r.wid", "weight")
+    pairs = pairs.groupBy("eid", "wid").agg(F.sum("weight").alias("n_et")).where(F.col("n_et") >= enough)
+    pairs = pairs.join(entities.select("eid", "n_e"), "eid").join(counts, "wid")
     told = F.log2(F.lit(n) * F.col("n_et") / (F.greatest("df", "n_et") * F.col("n_e"))) / F.log2(F.lit(n) / F.col("n_e"))
     return pairs.withColumn("share", told).where(F.col("share") >= DISCLOSURE).groupBy("word").agg(F.max("share").alias("share"))
 
@@ -150,14 +154,14 @@ def term_spans(source: DataFrame, tells: DataFrame) -> DataFrame:
     met = source.select(*key, F.explode(document_words(source)).alias("word")).join(tells, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "share")).alias("tells"))
     bytes_of = F.aggregate("tells", F.lit(16), lambda s, t: s + 8 + F.octet_length(t.word))
     met = common.if_small(common.Saved(met, "met").df, width=bytes_of).withColumnsRenamed({"doc_id": "d", "th": "h"})
-    texts = source.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select(*key, "text", "tells")
+    texts = source.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select(*key, "text", "tells").dropDuplicates(key)  # before texts are cut: words and gaps take several times the room
     words, gaps = matches(F.col("text"), WORD)
 
     def place(w: Column, i: Column) -> Column:
         hit = F.get(F.filter("tells", lambda t: t.word == F.lower(w)), F.lit(0))
         return F.struct(i.alias("i"), F.length(F.get("gaps", i)).alias("before"), F.length(w).alias("n"), hit.share.alias("share"))
 
-    each = texts.select(*key, "tells", words.alias("words"), gaps.alias("gaps")).dropDuplicates(key).select(*key, F.explode(F.transform("words", place)).alias("p")).select(*key, "p.*")
+    each = texts.select(*key, "tells", words.alias("words"), gaps.alias("gaps")).select(*key, F.explode(F.transform("words", place)).alias("p")).select(*key, "p.*")
     so_far = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("before") + F.col("n")).over(so_far)).withColumn("start", F.col("end") - F.col("n"))
     return placed.where("share is not null").select(*key, F.lit(KINDS.index("term")).alias("kind"), "start", "end", "share")
