@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import queries
+from ..streaming import consumer
 
-QUERIES = dict(queries.QUERIES)
-ORACLE_SQL = dict(queries.ORACLE_SQL)
+QUERIES = queries.QUERIES | consumer.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | consumer.ORACLE_SQL

@@ -1 +1 @@
-
+"""Streams of jobs and heartbeats."""
