@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -106,6 +108,56 @@ def signed_ranks(diffs: DataFrame, column: str) -> DataFrame:
     return ranked.agg(F.coalesce(F.sum(F.col("rank") * F.col("up")), zero).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("n") - F.col("up"))), zero).alias("w_minus"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def rank_p_value(diffs: DataFrame, column: str, exact_to: int = 50) -> DataFrame:
+    """(w, n, p_value): the two-sided signed-rank test of one column of differences, zeros left out.
+
+    Up to exact_to differences without ties or zeros the share of sign patterns at least as far
+    out is counted; else the normal approximation with the correction for ties, without one for
+    continuity. No difference at all but zeros, or no row: p_value 1. Null and NaN differences are left out.
+    """
+    known = diffs.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(column)
+    sizes = known.groupBy(F.abs(column).alias("size")).agg(F.count("*").cast("double").alias("t"))
+    ties = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") != 0, F.pow("t", F.lit(3)) - F.col("t"))), F.lit(0.0)).alias("ties"), F.count_if(F.col("size") == 0).alias("zeros"))
+
+    @F.pandas_udf("double")
+    def p_of(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(float(a), int(b), float(c), bool(d), exact_to) for a, b, c, d in zip(w, n, ties, zeros)])
+
+    both = signed_ranks(known, column).unionByName(ties, allowMissingColumns=True)  # a row each
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    w = F.least("w_plus", "w_minus")
+    return one.select(w.alias("w"), F.col("n"), p_of(w, F.col("n").cast("long"), "ties", F.col("zeros").cast("long")).alias("p_value"))
+
+
+def signed_rank_p(w: float, n: int, ties: float, zeros: bool, exact_to: int = 50) -> float:
+    """The p-value for the lesser rank sum w of n differences; ties: the sum of t^3 - t over groups of equal sizes."""
+    if n == 0:
+        return 1.0
+    if n <= exact_to and not ties and not zeros:
+        ways = [1] + [0] * int(w)
+        for rank in range(1, n + 1):
+            for at in range(int(w), rank - 1, -1):
+                ways[at] += ways[at - rank]
+        return min(1.0, 2 * sum(ways) / 2**n)
+    spread = math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2)) if spread else 1.0
+
+
+def speaker_count_summary(counts: DataFrame) -> DataFrame:
+    """(n, match_pct, mae, mean_rtf) of rows (expected, found, seconds, duration_s).
+
+    A row without expected or found counts nowhere but in mean_rtf; durations of zero have no factor.
+    """
+    known = F.col("expected").isNotNull() & F.col("found").isNotNull()
+    off = F.when(known, F.abs(F.col("found") - F.col("expected")))
+    return counts.agg(
+        F.count(off).alias("n"),
+        F.round(F.avg(F.when(known, F.when(off == 0, 100.0).otherwise(0.0))), 4).alias("match_pct"),
+        F.round(F.avg(off), 6).alias("mae"),
+        F.round(F.avg(F.try_divide(F.col("seconds"), F.col("duration_s"))), 6).alias("mean_rtf"),
+    )
+
+
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     by = lambda flag, name: li.where(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias(name))
@@ -135,8 +187,22 @@ def words_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRED = """WITH a AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS qa FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS qr FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
     p AS (SELECT a.l_orderkey, CAST(qr - qa AS BIGINT) AS diff FROM a JOIN r ON a.l_orderkey = r.l_orderkey)"""
-QUERIES = {"paired_compare": paired_compare, "wilcoxon_w": wilcoxon_w, "der": der, "words_per_record": words_per_record}
+def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_p_value(_paired(spark, sf_dir), "diff")
+
+
+def speaker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recordings: lines expected, suppliers found."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    own = li.groupBy("l_orderkey").agg(F.count("*").alias("expected"), F.count_distinct("l_suppkey").alias("found"), F.sum(F.col("l_linenumber").cast("double")).alias("seconds"), F.sum(F.col("l_quantity").cast("double")).alias("duration_s"))
+    return speaker_count_summary(own)
+
+
+QUERIES = {"wilcoxon_p": wilcoxon_p, "speaker_counts": speaker_counts, "paired_compare": paired_compare, "wilcoxon_w": wilcoxon_w, "der": der, "words_per_record": words_per_record}
 ORACLE_SQL = {
+    "speaker_counts": """
+        WITH own AS (SELECT l_orderkey, count(*) AS expected, count(DISTINCT l_suppkey) AS found, sum(CAST(l_linenumber AS DOUBLE)) AS seconds, sum(CAST(l_quantity AS DOUBLE)) AS duration_s FROM lineitem GROUP BY 1)
+        SELECT count(*) AS n, round(avg(CASE WHEN expected = found THEN 100.0 ELSE 0.0 END), 4) AS match_pct, round(avg(abs(found - expected)), 6) AS mae, round(avg(seconds / nullif(duration_s, 0)), 6) AS mean_rtf FROM own""",
     "paired_compare": f"{PAIRED} SELECT count(*) AS n, round(avg(diff), 6) AS mean, median(diff) AS median, count(*) FILTER (diff < 0) AS improved, count(*) FILTER (diff > 0) AS degraded, count(*) FILTER (diff = 0) AS unchanged FROM p",
     "wilcoxon_w": f"""{PAIRED}, r2 AS (SELECT diff, avg(rn) OVER (PARTITION BY abs(diff)) AS rank FROM (SELECT diff, row_number() OVER (ORDER BY abs(diff)) AS rn FROM p WHERE diff <> 0) x)
         SELECT coalesce(sum(rank) FILTER (diff > 0), 0.0) AS w_plus, coalesce(sum(rank) FILTER (diff < 0), 0.0) AS w_minus, count(*) AS n FROM r2""",
