@@ -139,6 +139,27 @@ def clock(us: Column, comma: bool = True) -> Column:
     return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
+#: What encloses a list in an answer, from the reference behaviour.
+FENCES = (r"(?s)```json(.*?)(?:```|\z)", r"(?s)```(.*?)(?:```|\z)")
+
+
+def speaker_map(answer: Column) -> Column:
+    """Of a model's answer the map idx -> speaker: from the JSON list in the first fence, or else in the whole text.
+
+    Items that are no objects, or lack idx or speaker, are left out; of several with one idx the
+    last counts. No list, bad JSON or an idx that is no number: an empty map, as for null.
+    """
+    body = F.when(F.contains(answer, F.lit("```json")), F.regexp_extract(answer, FENCES[0], 1)).when(F.contains(answer, F.lit("```")), F.regexp_extract(answer, FENCES[1], 1)).otherwise(answer)
+    items = F.from_json(F.regexp_extract(body, r"(?s)\[.*\]", 0), "array<string>")
+    pairs = F.transform(items, lambda x: F.struct(F.get_json_object(x, "$.idx").alias("idx"), F.trim(F.get_json_object(x, "$.speaker")).alias("speaker")))
+    whole = F.transform(F.filter(pairs, lambda p: p.idx.isNotNull() & p.speaker.isNotNull()), lambda p: F.struct(p.idx.try_cast("double").cast("int").alias("idx"), p.speaker.alias("speaker")))
+    good = F.reverse(F.when(F.forall(whole, lambda p: p.idx.isNotNull()), whole))
+    ids = F.transform(good, lambda p: p.idx)
+    once = F.array_distinct(ids)
+    found = F.map_from_arrays(once, F.transform(once, lambda i: F.get(good, (F.array_position(ids, i) - 1).cast("int")).speaker))
+    return F.coalesce(found, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")))
+
+
 def is_permanent(kind: Column, message: Column) -> Column:
     """By the error's type, else by its message; errors said to be transient, and all unknown ones, are not."""
     told = F.lower(message).rlike("|".join(PERMANENT))

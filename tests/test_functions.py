@@ -107,3 +107,20 @@ def test_recordings(spark, tmp_path):
     assert (rows["a.wav"].rate, rows["a.wav"].channels, len(rows["a.wav"].samples)) == (32_000, 2, 1600)
     assert rows["a.wav"].samples[5] == pytest.approx(10 / 32768)
     assert {r.k for r in files.select(recordings.kind(F.col("content")).alias("k")).collect()} == {"wav", None}
+
+
+def test_speaker_map(spark):
+    answers = {
+        '[{"idx": 1, "speaker": " A "}, {"idx": "2", "speaker": "B"}]': {1: "A", 2: "B"},
+        'Sure:\n```json\n[{"idx": 0, "speaker": "A"},\n {"idx": 0, "speaker": "C"}]\n```\n[1]': {0: "C"},
+        '```\n[{"idx": 5, "speaker": 7}, 3, {"idx": 6}]': {5: "7"},
+        '[{"idx": "x", "speaker": "A"}, {"idx": 1, "speaker": "B"}]': {},
+        '[{"idx": 1, "speaker": ': {},
+        "no list": {},
+        "[]": {},
+        "": {},
+        None: {},
+    }
+    df = spark.createDataFrame(list(enumerate(answers)), "n int, answer string")
+    got = {r.n: r.m for r in df.select("n", text.speaker_map(F.col("answer")).alias("m")).collect()}
+    assert [got[n] for n in range(len(answers))] == list(answers.values())
