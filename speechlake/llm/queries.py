@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cws, langid, lm, packing, pii, sentencepieces, simhash, toxicity, urls
+from . import ann, cws, fim, langid, lm, merkle, oracles, packing, pii, sentencepieces, simhash, toxicity, urls
 from .common import crc_mod, table
 
 
@@ -80,6 +80,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 0, merkle.lower_ascii)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"), salt="1:", share=90, spm=20)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -105,6 +113,8 @@ ORACLE_SQL = {
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
                CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op11_merkle_manifest": oracles.merkle(),
+    "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
 
 
