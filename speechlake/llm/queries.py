@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cws, fim, langid, lm, merkle, oracles, packing, pii, sentencepieces, simhash, toxicity, urls
+from . import ann, cws, fim, langid, lm, merkle, oracles, packing, pii, quality, sentencepieces, simhash, toxicity, urls
 from .common import crc_mod, table
 
 
@@ -88,6 +88,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"), salt="1:", share=90, spm=20)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    model = quality.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return quality.score(docs, model, limit=0.3).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
