@@ -7,35 +7,14 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from . import intervals
+from .cells import TURNS, WORDS, Grid, nearest, stab
 
-BUCKET_US, GAP_US, PAD_US = 600_000_000, 2_000_000, 600_000
-
-
-def _cut(df: DataFrame, start, end) -> DataFrame:
-    return df.withColumn("bucket", F.explode(F.sequence(F.floor(start / BUCKET_US), F.floor(end / BUCKET_US))))
-
-
-def words_in_islands(islands: DataFrame, words: DataFrame) -> DataFrame:
-    """(record_id, island, s0, s1, w_idx, w0, w1): words that share time with an island; islands without words have nulls.
-
-    A pair meets in time buckets and is kept in the bucket where its common time starts.
-    """
-    s = islands.select("record_id", "island", F.col("start_us").alias("s0"), F.col("end_us").alias("s1"))
-    w = words.select("record_id", "w_idx", F.col("start_us").alias("w0"), F.col("end_us").alias("w1"))
-    met = _cut(s, F.col("s0"), F.col("s1")).join(_cut(w, F.col("w0"), F.col("w1")), ["record_id", "bucket"])
-    met = met.where((F.col("w1") > F.col("s0")) & (F.col("w0") < F.col("s1")) & (F.floor(F.greatest("s0", "w0") / BUCKET_US) == F.col("bucket")))
-    return s.join(met.select("record_id", "island", "w_idx", "w0", "w1"), ["record_id", "island"], "left")
+GAP_US, PAD_US = 2_000_000, 600_000
 
 
 def untranscribed_gaps(islands: DataFrame, words: DataFrame) -> DataFrame:
     """(record_id, start_us, end_us): parts of speech islands before, between and after their words; an island without words is one."""
-    met = words_in_islands(islands, words)
-    before = Window.partitionBy("record_id", "island").orderBy("w0", "w_idx").rowsBetween(Window.unboundedPreceding, -1)
-    inner = met.where("w_idx IS NOT NULL").withColumn("from", F.coalesce(F.max("w1").over(before), F.col("s0")))
-    heads = inner.where("w0 > `from`").select("record_id", F.col("from").alias("start_us"), F.col("w0").alias("end_us"))
-    last = met.groupBy("record_id", "island", "s0", "s1").agg(F.coalesce(F.max("w1"), F.col("s0")).alias("from"))
-    tails = last.where("s1 > `from`").select("record_id", F.col("from").alias("start_us"), F.col("s1").alias("end_us"))
-    return heads.unionByName(tails)
+    return intervals.difference(islands, words, TURNS, WORDS).select("record_id", "start_us", "end_us")
 
 
 def coverage(islands: DataFrame, gaps: DataFrame, least_us: int = GAP_US) -> DataFrame:
@@ -58,13 +37,14 @@ def overlap_sweep(segments: DataFrame) -> DataFrame:
 
 
 def vad_filter(words: DataFrame, speech: DataFrame, pad_us: int = PAD_US) -> DataFrame:
-    """Words whose middle lies in a padded speech interval; records without any interval keep all words."""
-    s = speech.select("record_id", (F.col("start_us") - pad_us).alias("s0"), (F.col("end_us") + pad_us).alias("s1"))
-    twice = F.col("start_us") + F.col("end_us")
-    w = words.withColumn("bucket", F.floor(twice / (2 * BUCKET_US)))
-    cut = _cut(s, F.col("s0"), F.col("s1"))
-    inside = w.alias("w").join(cut.alias("s"), (F.col("w.record_id") == F.col("s.record_id")) & (F.col("w.bucket") == F.col("s.bucket")) & (F.col("s0") * 2 <= twice) & (twice <= F.col("s1") * 2), "left_semi")
-    return inside.drop("bucket").unionByName(words.join(s.select("record_id").distinct(), "record_id", "left_anti").select(words.columns))
+    """Words whose middle lies in a padded speech interval; records without any interval keep all words.
+
+    Doubled times keep the middle whole. (record_id, w_idx) names a word.
+    """
+    s = speech.select("record_id", (2 * (F.col("start_us") - pad_us)).alias("s0"), (2 * (F.col("end_us") + pad_us)).alias("s1"))
+    middle = words.select("record_id", "w_idx", (F.col("start_us") + F.col("end_us")).alias("twice"))
+    inside = stab(s, middle, ["record_id"], "s0", "s1", "twice", TURNS).select("record_id", "w_idx").distinct()
+    return words.join(inside, ["record_id", "w_idx"], "left_semi").select(words.columns).unionByName(words.join(s.select("record_id").distinct(), "record_id", "left_anti").select(words.columns))
 
 
 def small_speakers(segments: DataFrame, least_us: int = 0, share: float = 0.15) -> DataFrame:
@@ -82,13 +62,9 @@ def nearest_major(segments: DataFrame, speakers: DataFrame) -> DataFrame:
 
     One that overlaps comes before one that touches; of several alike the first in order of seg_idx.
     """
-    told = segments.join(speakers.select("record_id", "speaker_id", "small"), ["record_id", "speaker_id"])
-    a = told.where("small").select("record_id", "seg_idx", F.col("start_us").alias("a0"), F.col("end_us").alias("a1"))
-    b = told.where("NOT small").select("record_id", F.col("seg_idx").alias("near_idx"), F.col("start_us").alias("b0"), F.col("end_us").alias("b1"))
-    apart = ~((F.col("b0") < F.col("a1")) & (F.col("a0") < F.col("b1")))
-    far = F.when(apart, F.greatest(F.lit(0), F.col("a0") - F.col("b1"), F.col("b0") - F.col("a1"))).otherwise(F.lit(0))
-    best = F.min(F.struct(apart.alias("apart"), far.alias("distance_us"), "near_idx")).alias("best")
-    return a.join(b, "record_id").groupBy("record_id", "seg_idx").agg(best).select("record_id", "seg_idx", "best.near_idx", "best.distance_us")
+    told = segments.join(speakers.select("record_id", "speaker_id", "small"), ["record_id", "speaker_id"]).select("record_id", F.col("seg_idx").alias("idx"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi"), "small")
+    found = nearest(told, F.col("small"), ["record_id"], Grid.of(segments, "start_us", "end_us"))
+    return found.select("record_id", F.col("idx").alias("seg_idx"), F.col("near").alias("near_idx"), "distance_us")
 
 
 def keep_speakers(segments: DataFrame, least_us: int) -> DataFrame:

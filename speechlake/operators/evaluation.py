@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from . import intervals
+from .cells import TURNS, WORDS, meet
 
 
 def _open(segments: DataFrame, name: str) -> DataFrame:
@@ -20,14 +21,22 @@ def _open(segments: DataFrame, name: str) -> DataFrame:
     return rows.select("record_id.record_id", F.col("record_id.speaker_id").alias(name), "start_us", "end_us")
 
 
-def shared_time(ref: DataFrame, hyp: DataFrame, bucket_us: int = 600_000_000) -> DataFrame:
+def shared_time(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """(record_id, ref, hyp, us): how long two speakers of the two sides speak together."""
-    cut = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket_us), F.floor(F.col(b) / bucket_us))))
-    a = cut(ref.withColumnsRenamed({"start_us": "r0", "end_us": "r1"}), "r0", "r1")
-    b = cut(hyp.withColumnsRenamed({"start_us": "h0", "end_us": "h1"}), "h0", "h1")
-    start, end = F.greatest("r0", "h0"), F.least("r1", "h1")
-    met = a.join(b, ["record_id", "bucket"]).where((end > start) & (F.floor(start / bucket_us) == F.col("bucket")))
-    return met.groupBy("record_id", "ref", "hyp").agg(F.sum(end - start).alias("us"))
+    a = ref.withColumnsRenamed({"start_us": "r0", "end_us": "r1"})
+    b = hyp.withColumnsRenamed({"start_us": "h0", "end_us": "h1"})
+    us = F.least("r1", "h1") - F.greatest("r0", "h0")
+    met = meet(a, b, ["record_id"], ("r0", "r1"), ("h0", "h1"), TURNS, TURNS).where(us > 0)
+    return met.groupBy("record_id", "ref", "hyp").agg(F.sum(us).alias("us"))
+
+
+def outside_collars(side: DataFrame, name: str, reference: DataFrame, collar_us: int) -> DataFrame:
+    """The side's intervals (record_id, `name`, start_us, end_us) without half a collar before and after each boundary of the reference."""
+    edges = reference.where("end_us > start_us").select("record_id", F.explode(F.array("start_us", "end_us")).alias("t")).distinct()
+    holes = edges.select("record_id", (F.col("t") - collar_us // 2).alias("start_us"), (F.col("t") + (collar_us - collar_us // 2)).alias("end_us"))
+    rows = side.select("record_id", F.struct(name, "start_us").alias("island"), "start_us", "end_us")
+    left = intervals.difference(rows, holes, TURNS, WORDS)
+    return left.select("record_id", F.col(f"island.{name}").alias(name), "start_us", "end_us")
 
 
 def best_mapping(pairs: DataFrame) -> DataFrame:
@@ -66,18 +75,23 @@ def best_mapping(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("record_id").applyInPandas(assign, "record_id long, matched_us long")
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """(record_id, total_us, missed_us, false_us, confused_us, der_pct) without a collar.
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar_us: int = 0) -> DataFrame:
+    """(record_id, total_us, missed_us, false_us, confused_us, der_pct); der_pct is 0 for a record without speech left.
 
     Over the timeline with R and H speakers open: missed max(0, R - H), false alarm
-    max(0, H - R), confused min(R, H) less what the best mapping matches.
+    max(0, H - R), confused min(R, H) less what the best mapping matches. With a collar, the
+    time of that width around each boundary of a reference interval counts for nothing, in
+    the mapping either; a record of which nothing is left outside collars is left out.
     """
     ref, hyp = _open(reference, "ref"), _open(hypothesis, "hyp")
-    ends = None
-    for side, df in (("r", ref), ("h", hyp)):
-        for t, d in (("start_us", 1), ("end_us", -1)):
-            one = df.select("record_id", F.col(t).alias("t"), F.lit(d if side == "r" else 0).alias("r"), F.lit(d if side == "h" else 0).alias("h"))
-            ends = one if ends is None else ends.unionByName(one)
+    if collar_us:
+        ref, hyp = outside_collars(ref, "ref", reference, collar_us), outside_collars(hyp, "hyp", reference, collar_us)
+
+    def turned(df: DataFrame, r: int, h: int) -> DataFrame:
+        edge = lambda t, d: F.struct(F.col(t).alias("t"), F.lit(d * r).alias("r"), F.lit(d * h).alias("h"))
+        return df.select("record_id", F.inline(F.array(edge("start_us", 1), edge("end_us", -1))))
+
+    ends = turned(ref, 1, 0).unionByName(turned(hyp, 0, 1))
     w = Window.partitionBy("record_id").orderBy("t")
     steps = ends.groupBy("record_id", "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -92,7 +106,7 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     matched = best_mapping(shared_time(ref, hyp))
     full = sums.join(matched, "record_id", "left").withColumn("confused_us", F.col("both_us") - F.coalesce("matched_us", F.lit(0)))
     share = F.try_divide((F.col("missed_us") + F.col("false_us") + F.col("confused_us")) * F.lit(100.0), F.col("total_us"))
-    return full.select("record_id", "total_us", "missed_us", "false_us", "confused_us", F.round(share, 2).alias("der_pct"))
+    return full.select("record_id", "total_us", "missed_us", "false_us", "confused_us", F.round(F.coalesce(share, F.lit(0.0)), 2).alias("der_pct"))
 
 
 def signed_ranks(diffs: DataFrame, column: str) -> DataFrame:
@@ -173,10 +187,15 @@ def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed_ranks(_paired(spark, sf_dir), "diff")
 
 
-def der(spark: SparkSession, sf_dir: str) -> DataFrame:
+def der(spark: SparkSession, sf_dir: str, collar_us: int = 0) -> DataFrame:
+    """The turns against themselves 0.2 s later without every fourth: the derived input of FIXTURES.md."""
     ref = fixtures.segments_cv(spark, sf_dir)
     hyp = ref.withColumn("start_us", F.col("start_us") + 200_000).withColumn("end_us", F.col("end_us") + 200_000).withColumn("speaker_id", F.concat(F.lit("h_"), "speaker_id"))
-    return diarization_error(ref, hyp.where("seg_idx % 4 <> 3"))
+    return diarization_error(ref, hyp.where("seg_idx % 4 <> 3"), collar_us)
+
+
+def der_collar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return der(spark, sf_dir, 250_000)
 
 
 def words_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +217,41 @@ def speaker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_count_summary(own)
 
 
-QUERIES = {"wilcoxon_p": wilcoxon_p, "speaker_counts": speaker_counts, "paired_compare": paired_compare, "wilcoxon_w": wilcoxon_w, "der": der, "words_per_record": words_per_record}
+def der_sql(collar_us: int) -> str:
+    """The error by elementary stretches of time and all six mappings of three roles; to be put behind segments_cv."""
+    half = collar_us // 2
+    return f""", hyp AS (
+            SELECT record_id, 'h_' || speaker_id AS speaker_id, start_us + 200000 AS start_us, end_us + 200000 AS end_us FROM segments_cv WHERE seg_idx % 4 <> 3
+        ), edges AS (
+            SELECT record_id, unnest([start_us, end_us]) AS t FROM segments_cv WHERE end_us > start_us
+        ), times AS (
+            SELECT record_id, unnest([t, t - {half}, t + {half}]) AS t FROM edges UNION SELECT record_id, unnest([start_us, end_us]) FROM hyp
+        ), stretches AS (
+            SELECT record_id, t, lead(t) OVER (PARTITION BY record_id ORDER BY t) - t AS d FROM times
+        ), kept AS (
+            SELECT * FROM stretches s WHERE d > 0 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.record_id = s.record_id AND e.t - {half} <= s.t AND s.t + s.d <= e.t + {half})
+        ), r AS (
+            SELECT DISTINCT k.record_id, t, d, speaker_id FROM kept k JOIN segments_cv s ON k.record_id = s.record_id AND s.start_us <= t AND t + d <= s.end_us
+        ), h AS (
+            SELECT DISTINCT k.record_id, t, d, speaker_id FROM kept k JOIN hyp s ON k.record_id = s.record_id AND s.start_us <= t AND t + d <= s.end_us
+        ), counts AS (
+            SELECT record_id, t, d, count(*) FILTER (side = 'r') AS nr, count(*) FILTER (side = 'h') AS nh
+            FROM (SELECT record_id, t, d, 'r' AS side FROM r UNION ALL SELECT record_id, t, d, 'h' FROM h) x GROUP BY record_id, t, d
+        ), mappings(m, a, b) AS (
+            VALUES (1, 'user', 'user'), (1, 'assistant', 'assistant'), (1, 'system', 'system'), (2, 'user', 'user'), (2, 'assistant', 'system'), (2, 'system', 'assistant'),
+                   (3, 'user', 'assistant'), (3, 'assistant', 'user'), (3, 'system', 'system'), (4, 'user', 'assistant'), (4, 'assistant', 'system'), (4, 'system', 'user'),
+                   (5, 'user', 'system'), (5, 'assistant', 'user'), (5, 'system', 'assistant'), (6, 'user', 'system'), (6, 'assistant', 'assistant'), (6, 'system', 'user')
+        ), shared AS (
+            SELECT r.record_id, m, sum(r.d) AS us FROM r JOIN h ON r.record_id = h.record_id AND r.t = h.t JOIN mappings ON r.speaker_id = a AND h.speaker_id = 'h_' || b GROUP BY r.record_id, m
+        ), matched AS (SELECT record_id, max(us) AS us FROM shared GROUP BY record_id
+        ), sums AS (
+            SELECT record_id, sum(d * nr) AS total_us, sum(d * greatest(0, nr - nh)) AS missed_us, sum(d * greatest(0, nh - nr)) AS false_us, sum(d * least(nr, nh)) AS both_us FROM counts GROUP BY record_id
+        )
+        SELECT s.record_id, total_us, missed_us, false_us, both_us - coalesce(us, 0) AS confused_us, round(coalesce((missed_us + false_us + both_us - coalesce(us, 0)) * 100.0 / nullif(total_us, 0), 0.0), 2) AS der_pct
+        FROM sums s LEFT JOIN matched m ON s.record_id = m.record_id"""
+
+
+QUERIES = {"wilcoxon_p": wilcoxon_p, "speaker_counts": speaker_counts, "paired_compare": paired_compare, "wilcoxon_w": wilcoxon_w, "der": der, "der_collar": der_collar, "words_per_record": words_per_record}
 ORACLE_SQL = {
     "speaker_counts": """
         WITH own AS (SELECT l_orderkey, count(*) AS expected, count(DISTINCT l_suppkey) AS found, sum(CAST(l_linenumber AS DOUBLE)) AS seconds, sum(CAST(l_quantity AS DOUBLE)) AS duration_s FROM lineitem GROUP BY 1)

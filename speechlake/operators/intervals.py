@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import Grid, meet, stab
+
 MIN_OVERLAP_US = 50_000
 
 
@@ -19,36 +21,21 @@ def running_end(keys: list[str], order: list[str]) -> Column:
     return F.max("end_us").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
 
 
-def overlap_pairs(segments: DataFrame, bucket_us: int = 600_000_000, least_us: int = MIN_OVERLAP_US) -> DataFrame:
+def overlap_pairs(segments: DataFrame, least_us: int = MIN_OVERLAP_US, grid: Grid | None = None) -> DataFrame:
     """Pairs of intervals of different speakers in one record that share more than `least_us`.
 
-    Both sides are cut in time buckets, and a pair is kept in the bucket where its overlap
-    starts: a record with very many intervals is spread over tasks, and pairs that never meet
-    are not compared.
+    The later start of a pair lies in the earlier interval, so one look-up of starts in the cells
+    of the intervals meets every pair once, and pairs that never meet are not compared.
     """
-    first, last = F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us)
-    cut = segments.where("end_us > start_us").withColumn("bucket", F.explode(F.sequence(first, last)))
-    a, b = cut.alias("a"), cut.alias("b")
-    start, end = F.greatest("a.start_us", "b.start_us"), F.least("a.end_us", "b.end_us")
-    ordered = (F.col("a.start_us") < F.col("b.start_us")) | ((F.col("a.start_us") == F.col("b.start_us")) & (F.col("a.seg_idx") < F.col("b.seg_idx")))
-    met = a.join(
-        b,
-        (F.col("a.record_id") == F.col("b.record_id"))
-        & (F.col("a.bucket") == F.col("b.bucket"))
-        & ordered
-        & (F.col("a.speaker_id") != F.col("b.speaker_id"))
-        & (end - start > least_us)
-        & (F.floor(start / bucket_us) == F.col("a.bucket")),
-    )
-    return met.select(
-        F.col("a.record_id").alias("record_id"),
-        F.col("a.seg_idx").alias("seg_a"),
-        F.col("b.seg_idx").alias("seg_b"),
-        F.col("a.speaker_id").alias("speaker_a"),
-        F.col("b.speaker_id").alias("speaker_b"),
-        start.alias("start_us"),
-        end.alias("end_us"),
-    )
+    a = segments.select("record_id", *(F.col(c).alias(n) for c, n in (("seg_idx", "seg_a"), ("speaker_id", "speaker_a"), ("start_us", "a0"), ("end_us", "a1"))))
+    b = segments.select("record_id", *(F.col(c).alias(n) for c, n in (("seg_idx", "seg_b"), ("speaker_id", "speaker_b"), ("start_us", "b0"), ("end_us", "b1"))))
+    # What is shorter than the least overlap can have none.
+    a, b = a.where(F.col("a1") - F.col("a0") > least_us), b.where(F.col("b1") - F.col("b0") > least_us)
+    met = stab(a, b, ["record_id"], "a0", "a1", "b0", grid)
+    ordered = (F.col("a0") < F.col("b0")) | ((F.col("a0") == F.col("b0")) & (F.col("seg_a") < F.col("seg_b")))
+    end = F.least("a1", "b1")
+    found = met.where(ordered & (F.col("speaker_a") != F.col("speaker_b")) & (end - F.col("b0") > least_us))
+    return found.select("record_id", "seg_a", "seg_b", "speaker_a", "speaker_b", F.col("b0").alias("start_us"), end.alias("end_us"))
 
 
 def speech_islands(segments: DataFrame) -> DataFrame:
@@ -57,3 +44,20 @@ def speech_islands(segments: DataFrame) -> DataFrame:
     rows = segments.where("end_us > start_us").withColumn("before", running_end(keys, order))
     numbered = islands(rows, keys, order, F.col("start_us") > F.col("before"))
     return numbered.groupBy("record_id", "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+
+
+def difference(rows: DataFrame, holes: DataFrame, grid: Grid | None = None, hole_grid: Grid | None = None) -> DataFrame:
+    """(record_id, island, start_us, end_us): what is left of intervals (record_id, island, start_us, end_us) outside all holes of their record.
+
+    (record_id, island) names an interval; holes (record_id, start_us, end_us) may overlap, and empty ones take
+    nothing away. What is left before a hole starts where the holes before it have ended; what is left at the end, where all have.
+    """
+    a = rows.select("record_id", "island", F.col("start_us").alias("s0"), F.col("end_us").alias("s1")).where("s1 > s0")
+    b = holes.select("record_id", F.col("start_us").alias("h0"), F.col("end_us").alias("h1")).where("h1 > h0")
+    met = meet(a, b, ["record_id"], ("s0", "s1"), ("h0", "h1"), grid, hole_grid, "left")
+    shares = (F.col("h1") > F.col("s0")) & (F.col("h0") < F.col("s1"))
+    # An interval's row without a hole is one hole more, at its end: it has what is left there before it.
+    cuts = met.where(F.col("h0").isNull() | shares).select("record_id", "island", "s0", *(F.coalesce(c, "s1").alias(c) for c in ("h0", "h1")))
+    before = Window.partitionBy("record_id", "island").orderBy("h0", "h1").rowsBetween(Window.unboundedPreceding, -1)
+    left = cuts.withColumn("from", F.greatest(F.max("h1").over(before), F.col("s0")))
+    return left.where("h0 > `from`").select("record_id", "island", F.col("from").alias("start_us"), F.col("h0").alias("end_us"))

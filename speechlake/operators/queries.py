@@ -193,6 +193,10 @@ ORACLE_SQL["words_per_record"] = f"""WITH {WORDS_CV} SELECT record_id, count(*)
     round((max(end_us) - min(start_us)) / 1e6, 3) AS audio_s, round(count(*) / 100.0 / ((max(end_us) - min(start_us)) / 1e6), 4) AS rtf FROM words_cv GROUP BY record_id"""
 
 
+ORACLE_SQL["der"] = f"WITH {WORDS_CV} {evaluation.der_sql(0)}"
+ORACLE_SQL["der_collar"] = f"WITH {WORDS_CV} {evaluation.der_sql(250_000)}"
+
+
 def smooth_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir))
     return turns.smooth_words(words).select("record_id", "w_idx", "speaker_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_punctuated, only_punctuation
+from .cells import TURNS, WORDS, meet
 from .intervals import islands
 
 UNKNOWN = "SPEAKER_UNKNOWN"
@@ -14,13 +15,15 @@ SILENCE_US, SHORT_US, BIND_GAP_US, SANDWICH_US = 1_500_000, 1_000_000, 300_000,
 
 def attribute(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Adds speaker_id to words: the first interval that holds the word's middle, else the one it shares most with, else unknown."""
-    s = segments.select(F.col("record_id").alias("r"), "seg_idx", "speaker_id", F.col("start_us").alias("s0"), F.col("end_us").alias("s1"))
-    overlap = F.least("end_us", "s1") - F.greatest("start_us", "s0")
-    holds = (F.col("s0") * 2 <= F.col("start_us") + F.col("end_us")) & (F.col("start_us") + F.col("end_us") <= F.col("s1") * 2)
-    met = words.join(s, (F.col("record_id") == F.col("r")) & ((overlap > 0) | holds), "left")
-    best = Window.partitionBy("record_id", "w_idx").orderBy(F.desc("holds"), F.when(F.col("holds"), 0).otherwise(F.col("shared")).desc(), "seg_idx")
-    ranked = met.withColumn("holds", F.coalesce(holds, F.lit(False))).withColumn("shared", overlap).withColumn("rank", F.row_number().over(best))
-    return ranked.where("rank = 1").select(*words.columns, F.coalesce("speaker_id", F.lit(UNKNOWN)).alias("speaker_id"))
+    s = segments.select("record_id", "seg_idx", F.col("speaker_id").alias("found"), F.col("start_us").alias("s0"), F.col("end_us").alias("s1"))
+    shared = F.least("end_us", "s1") - F.greatest("start_us", "s0")
+    middle = F.col("start_us") + F.col("end_us")
+    holds = (F.col("s0") * 2 <= middle) & (middle <= F.col("s1") * 2)
+    met = meet(words, s, ["record_id"], ("start_us", "end_us"), ("s0", "s1"), WORDS, TURNS, "left")
+    best = F.min_by("found", F.when(F.col("s0").isNotNull() & ((shared > 0) | holds), F.struct(~holds, F.when(holds, 0).otherwise(-shared), "seg_idx")))
+    others = [F.first(c).alias(c) for c in words.columns if c not in ("record_id", "w_idx")]
+    told = met.groupBy("record_id", "w_idx").agg(*others, best.alias("found"))
+    return told.select(*words.columns, F.coalesce("found", F.lit(UNKNOWN)).alias("speaker_id"))
 
 
 def utterances(words: DataFrame, silence_us: int = SILENCE_US) -> DataFrame:
