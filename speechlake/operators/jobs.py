@@ -42,16 +42,24 @@ def holds(token: Column, own: Column) -> Column:
     return token.isNull() | own.isNull() | (token == own)
 
 
+def told(rows: DataFrame, results: DataFrame, key: str | list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with the one result of their key, and the result's columns by name: they may be called as columns of the rows are."""
+    keys = [key] if isinstance(key, str) else key
+    names = {c: f"__{c}" for c in results.columns if c not in keys}
+    met = rows.join(results.withColumnsRenamed(names).withColumn("__told", F.lit(True)), keys, "left")
+    return met, {c: F.col(n) for c, n in (names | {"told": "__told"}).items()}
+
+
 def settle(jobs: DataFrame, results: DataFrame, as_of: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
     """jobs after results (job_id, result_token, ok, permanent), one a job: fenced ones and those of jobs not PROCESSING change nothing.
 
-    Success completes; a failure counts an attempt and makes the job FAILED if it is permanent or the last, else PENDING.
+    Success completes; a failure counts an attempt (null attempts are none so far) and makes the job FAILED if it is permanent or the last, else PENDING.
     """
-    met = jobs.join(results, "job_id", "left")
-    counts = F.coalesce(F.col("ok").isNotNull() & (F.col("status") == "PROCESSING") & holds(F.col("result_token"), F.col("token")), F.lit(False))
-    tried = F.col("attempts") + F.when(counts & ~F.col("ok"), 1).otherwise(0)
-    final = F.coalesce(F.col("permanent"), F.lit(False)) | (tried >= most)
-    status = F.when(~counts, F.col("status")).when(F.col("ok"), "COMPLETED").when(final, "FAILED").otherwise("PENDING")
+    met, r = told(jobs, results, "job_id")
+    counts = F.coalesce(r["ok"].isNotNull() & (F.col("status") == "PROCESSING") & holds(r["result_token"], F.col("token")), F.lit(False))
+    tried = F.when(counts & ~r["ok"], F.coalesce(F.col("attempts"), F.lit(0)) + 1).otherwise(F.col("attempts"))
+    final = F.coalesce(r["permanent"], F.lit(False)) | (tried >= most)
+    status = F.when(~counts, F.col("status")).when(r["ok"], "COMPLETED").when(final, "FAILED").otherwise("PENDING")
     new = {"attempts": tried, "status": status, "updated_at": F.when(counts, as_of).otherwise(F.col("updated_at"))}
     return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in jobs.columns])
 
@@ -78,18 +86,20 @@ def retain(jobs: DataFrame, children: DataFrame, cutoff: Column, statuses: tuple
 
 
 def deliver(deliveries: DataFrame, results: DataFrame, as_of: Column, most: int = MAX_DELIVERIES) -> DataFrame:
-    """deliveries (delivery_id, status, attempts, next_at) after results (delivery_id, ok): SUCCESS, DEAD after the last attempt, else PENDING with a pause that doubles from 5 s."""
-    met = deliveries.join(results, "delivery_id", "left")
-    tried = F.col("attempts") + F.when(F.col("ok").isNull(), 0).otherwise(1)
-    status = F.when(F.col("ok").isNull(), F.col("status")).when(F.col("ok"), "SUCCESS").when(tried >= most, "DEAD").otherwise("PENDING")
+    """deliveries (delivery_id, status, attempts, next_at) after results (delivery_id, ok): SUCCESS, DEAD after the last attempt, else PENDING with a pause that doubles from 5 s.
+
+    Where there is no further attempt, next_at stays as it was.
+    """
+    met, r = told(deliveries, results, "delivery_id")
+    tried = F.col("attempts") + F.when(r["ok"].isNull(), 0).otherwise(1)
+    status = F.when(r["ok"].isNull(), F.col("status")).when(r["ok"], "SUCCESS").when(tried >= most, "DEAD").otherwise("PENDING")
     pause = F.make_interval(secs=F.lit(5) * F.pow(F.lit(2), F.greatest(F.lit(0), tried - 1)).cast("int"))
-    next_at = F.when(F.col("ok").isNull(), F.col("next_at")).when(status == "PENDING", as_of + pause)
-    new = {"attempts": tried, "status": status, "next_at": next_at}
+    new = {"attempts": tried, "status": status, "next_at": F.when(r["ok"].isNotNull() & (status == "PENDING"), as_of + pause).otherwise(F.col("next_at"))}
     return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in deliveries.columns])
 
 
 def in_rounds(rows: DataFrame, host: str, order: list[str], at_once: int = PER_HOST) -> DataFrame:
-    """Adds round: so many rows of a host at once."""
+    """Adds round: so many rows of a host at once. The rows of one host are one task."""
     turn = F.row_number().over(Window.partitionBy(host).orderBy(*order))
     return rows.withColumn("round", F.floor((turn - 1) / at_once).cast("int"))
 
@@ -100,7 +110,7 @@ def newest(rows: DataFrame, order: Column, most: int) -> DataFrame:
 
 
 def fits(objects: DataFrame, keys: list[str], size: str, order: list[Column], cap: int) -> DataFrame:
-    """Of each store the newest objects whose sizes add up to the cap at most; the others are evicted."""
+    """Of each store the newest objects whose sizes add up to the cap at most; the others are evicted. The objects of one store are one task."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return objects.withColumn("held", F.sum(size).over(w)).where(F.col("held") <= cap).drop("held")
 
@@ -128,19 +138,21 @@ def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def nth(children: DataFrame, parent: str, order: list[str]) -> DataFrame:
-    """Adds nth: a child's place in its parent, from 0."""
+    """Adds nth: a child's place in its parent, from 0. The children of one parent are one task."""
     return children.withColumn("nth", F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1)
 
 
 def update_nth(children: DataFrame, parent: str, order: list[str], changes: DataFrame, column: str) -> DataFrame:
-    """children with `column` replaced where changes (parent, nth, new) say so."""
-    met = nth(children, parent, order).join(changes, [parent, "nth"], "left")
-    return met.select(*[F.coalesce("new", F.col(column)).alias(column) if c == column else F.col(c) for c in children.columns])
+    """children with `column` replaced where changes (parent, nth, new) say so, by null too."""
+    own = children.withColumn("__at", F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1)
+    met, r = told(own, changes.withColumnRenamed("nth", "__at"), [parent, "__at"])
+    return met.select(*[F.when(r["told"], r["new"]).otherwise(F.col(column)).alias(column) if c == column else F.col(c) for c in children.columns])
 
 
 def delete_nth(children: DataFrame, parent: str, order: list[str], gone: DataFrame) -> DataFrame:
     """children without those that gone (parent, nth) names."""
-    return nth(children, parent, order).join(gone, [parent, "nth"], "left_anti").select(children.columns)
+    own = children.withColumn("__at", F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1)
+    return own.join(gone.select(parent, F.col("nth").alias("__at")), [parent, "__at"], "left_anti").select(children.columns)
 
 
 def replace_children(children: DataFrame, fresh: DataFrame, parent: str) -> DataFrame:
@@ -154,10 +166,30 @@ def upsert_missing(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def promoted(names: DataFrame, taken: DataFrame) -> DataFrame:
-    """Adds target to names (stem, order): the stem, or stem_1 and on where it is taken already (taken: stem, n) or repeated."""
-    turn = F.row_number().over(Window.partitionBy("stem").orderBy("order"))
-    n = turn - 1 + F.coalesce("n", F.lit(0))
-    return names.join(taken, "stem", "left").select(*names.columns, F.when(n == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", n.cast("string"))).alias("target"))
+    """Adds target to names (stem, order): the stem, or the first of stem_1, stem_2 and on that is neither taken (name) nor another's target.
+
+    Names of one stem are dealt its free numbers in their order, all at once: the number of free
+    ones before a taken number is that number less its rank among the taken. Targets met by two
+    stems (a_1 may be a stem too) stay with the name that comes first; they are taken for the other stem, and
+    the numbers are dealt again, until no target is met twice. Names of one stem are one task.
+    """
+    numbered = F.regexp_extract("name", "^(.*)_([1-9][0-9]{0,8})$", 2)
+    found = taken.where("name IS NOT NULL").select("name").distinct()
+    blocked = found.select(F.col("name").alias("stem"), F.lit(0).alias("k")).unionByName(
+        found.where(numbered != "").select(F.regexp_extract("name", "^(.*)_([1-9][0-9]{0,8})$", 1).alias("stem"), numbered.cast("int").alias("k"))
+    )
+    own = Window.partitionBy("stem")
+    while True:
+        dealt = names.select("*", (F.row_number().over(own.orderBy("order")) - 1).alias("__v"), F.lit(0).alias("__b"))
+        gaps = blocked.distinct().select("stem", (F.col("k") - F.row_number().over(own.orderBy("k")) + 1).alias("__v"), F.lit(1).alias("__b"))
+        before = F.sum("__b").over(own.orderBy("__v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        k = (F.col("__v") + before).cast("int")
+        out = dealt.unionByName(gaps, allowMissingColumns=True).withColumn("__k", k).where("__b = 0")
+        out = out.withColumn("target", F.when(F.col("__k") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col("__k").cast("string"))))
+        late = out.withColumn("__turn", F.row_number().over(Window.partitionBy("target").orderBy("order", "stem"))).where("__turn > 1").select("stem", F.col("__k").alias("k"))
+        if late.isEmpty():
+            return out.select(*names.columns, "target")
+        blocked = blocked.unionByName(late)
 
 
 def payload(jobs: DataFrame, turns: DataFrame) -> DataFrame:
@@ -258,7 +290,7 @@ def q_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("stem"), F.col("p_partkey").alias("order"))
-    taken = names.where("order % 50 = 0").groupBy("stem").agg(F.count("*").alias("n"))
+    taken = names.where("order % 50 = 0").select(F.when(F.col("order") % 100 == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", (F.col("order") % 7 + 1).cast("string"))).alias("name"))
     return promoted(names, taken).select("order", "target")
 
 
@@ -295,7 +327,7 @@ ORACLE_SQL = {
     "delivery_results": f"""WITH {_J}, r AS (SELECT l_orderkey AS id, max(l_returnflag) = 'N' AS ok FROM lineitem GROUP BY 1)
         SELECT j.id AS delivery_id, CASE WHEN ok IS NULL THEN 'PENDING' WHEN ok THEN 'SUCCESS' WHEN a + 2 >= 5 THEN 'DEAD' ELSE 'PENDING' END AS status,
             a + CASE WHEN ok IS NULL THEN 1 ELSE 2 END AS attempts,
-            CASE WHEN ok IS NULL THEN u WHEN NOT ok AND a < 3 THEN TIMESTAMP '2001-08-02 00:00:00' + to_seconds(CAST(5 * 2 ** (a + 1) AS BIGINT)) END AS next_at
+            CASE WHEN ok IS NULL THEN u WHEN NOT ok AND a < 3 THEN TIMESTAMP '2001-08-02 00:00:00' + to_seconds(CAST(5 * 2 ** (a + 1) AS BIGINT)) ELSE u END AS next_at
         FROM j LEFT JOIN r ON r.id = j.id""",
     "rate_limit_sliding": """WITH e AS (SELECT user_id, epoch_us(ts) // 1800000000 AS half FROM events), w AS (SELECT user_id, half AS h FROM e UNION ALL SELECT user_id, half - 1 FROM e)
         SELECT user_id, h * 1800000000 AS start_us, count(*) AS n FROM w GROUP BY user_id, h HAVING count(*) > 1""",
@@ -304,7 +336,10 @@ ORACLE_SQL = {
         c AS (SELECT conv_id, turn // 2 AS k FROM conversations WHERE turn % 2 = 0)
         SELECT conv_id, turn, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.conv_id = n.conv_id AND c.k = n.k) THEN 'edited' ELSE role END AS role
         FROM n WHERE NOT (k = 0 AND EXISTS (SELECT 1 FROM c WHERE c.conv_id = n.conv_id AND c.k = 1))""",
-    "promoted_names": """WITH t AS (SELECT p_brand, count(*) FILTER (p_partkey % 50 = 0) AS n FROM part GROUP BY p_brand)
-        SELECT p_partkey AS "order", CASE WHEN k = 0 THEN p_brand ELSE p_brand || '_' || k END AS target
-        FROM (SELECT p_partkey, p_brand, n + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part JOIN t USING (p_brand)) x""",
+    # Free numbers by counting up to the names there are, less the taken ones.
+    "promoted_names": """WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 100 = 0 THEN p_brand ELSE p_brand || '_' || (p_partkey % 7 + 1) END AS name FROM part WHERE p_partkey % 50 = 0),
+        c AS (SELECT p_brand, unnest(range(n + 8)) AS k FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) x),
+        f AS (SELECT p_brand, CASE WHEN k = 0 THEN p_brand ELSE p_brand || '_' || k END AS target, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS turn
+              FROM c WHERE CASE WHEN k = 0 THEN p_brand ELSE p_brand || '_' || k END NOT IN (SELECT name FROM t))
+        SELECT p_partkey AS "order", target FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part) x JOIN f USING (p_brand, turn)""",
 }

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixtures, workers
-from . import coverage, turns
+from . import coverage
 
 #: Fixed value: voices less alike than this are not merged unless a count was asked for.
 ALIKE = 0.5
-SCHEMA = "record_id long, speaker_id string, start_us long, end_us long"
+SCHEMA = "record_id long, speaker_id string, start_us long, end_us long, n_merged long"
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -105,27 +105,51 @@ def capped(speakers: DataFrame, asked: int) -> DataFrame:
     return speakers.withColumn("small", F.col("small") & (rank <= F.count("*").over(record) - asked))
 
 
+def joined(rows: list[tuple], gap_us: int = 50_000) -> list[tuple]:
+    """Neighbours (speaker, start, end, n) in order of start that are of one speaker and at most a gap apart become one."""
+    out: list[tuple] = []
+    for s, a, b, n in sorted(rows, key=lambda r: r[1]):
+        if out and out[-1][0] == s and a <= out[-1][2] + gap_us:
+            out[-1] = (s, out[-1][1], max(out[-1][2], b), out[-1][3] + n)
+        else:
+            out.append((s, a, b, n))
+    return out
+
+
+def merged(rows: list[tuple], small: set[str], voices: dict[str, np.ndarray], asked: int) -> list[tuple]:
+    """The intervals (speaker, start, end, 1) of one recording after merging: as they came where nothing has to change."""
+    names = {r[0] for r in rows}
+    if len(names) <= max(1, asked):
+        return rows
+    into = to_majors([r[:3] for r in rows], small, voices, asked)
+    if into:
+        rows = joined([(into.get(s, s), a, b, n) for s, a, b, n in rows])
+    if 0 < asked < len({r[0] for r in rows}):
+        into = down_to([r[:3] for r in rows], asked, voices)
+        rows = joined([(into[s], a, b, n) for s, a, b, n in rows])
+    return rows
+
+
 def merge_speakers(segments: DataFrame, voices: DataFrame, asked: int = 0, least_us: int = 0, share: float = 0.15) -> DataFrame:
-    """(record_id, speaker_id, start_us, end_us, n_merged) of segments (record_id, seg_idx, speaker_id, start_us, end_us) and voices (record_id, speaker_id, voice)."""
+    """(record_id, speaker_id, start_us, end_us, n_merged) of segments (record_id, seg_idx, speaker_id, start_us, end_us) and voices (record_id, speaker_id, voice).
+
+    A recording of one speaker, of no more than asked, or without small speakers to be merged comes back as it
+    was, interval by interval. Voices meet the intervals once a recording.
+    """
     workers.ship(segments.sparkSession)
     told = capped(coverage.small_speakers(segments, least_us, share), asked).select("record_id", "speaker_id", "small")
-    rows = segments.join(told, ["record_id", "speaker_id"]).join(voices, ["record_id", "speaker_id"], "left").select("record_id", "seg_idx", "speaker_id", "start_us", "end_us", "small", "voice")
+    rows = segments.join(told, ["record_id", "speaker_id"]).select("record_id", "seg_idx", "speaker_id", "start_us", "end_us", "small")
+    heard = voices.where("voice IS NOT NULL").select("record_id", F.col("speaker_id").alias("own"), "voice")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_us", "seg_idx"], ignore_index=True)
-        rows = list(zip(pdf["speaker_id"], pdf["start_us"].tolist(), pdf["end_us"].tolist()))
-        voice = {s: np.asarray(v, float) for s, v in zip(pdf["speaker_id"], pdf["voice"]) if v is not None}
-        names = set(pdf["speaker_id"])
-        if len(names) > max(1, asked):
-            into = to_majors(rows, set(pdf.loc[pdf["small"], "speaker_id"]), voice, asked)
-            rows = [(into.get(s, s), a, b) for s, a, b in rows]
-            if 0 < asked < len({r[0] for r in rows}):
-                into = down_to(rows, asked, voice)
-                rows = [(into[s], a, b) for s, a, b in rows]
-        return pd.DataFrame({"record_id": key[0], "speaker_id": [r[0] for r in rows], "start_us": [r[1] for r in rows], "end_us": [r[2] for r in rows]})
+        rows = [(s, a, b, 1) for s, a, b in zip(pdf["speaker_id"], pdf["start_us"].tolist(), pdf["end_us"].tolist())]
+        voice = {s: np.asarray(v, float) for s, v in zip(heard["own"], heard["voice"])}
+        out = merged(rows, set(pdf.loc[pdf["small"], "speaker_id"]), voice, asked) if rows else []
+        columns = zip(*out) if out else ([], [], [], [])
+        return pd.DataFrame({"record_id": key[0], **dict(zip(("speaker_id", "start_us", "end_us", "n_merged"), map(list, columns)))})
 
-    moved = rows.groupBy("record_id").applyInPandas(run, SCHEMA)
-    return turns.merge_adjacent(moved.withColumn("seg_idx", F.lit(0)))
+    return rows.groupBy("record_id").cogroup(heard.groupBy("record_id")).applyInPandas(run, SCHEMA)
 
 
 def first_usable(found: DataFrame, key: str, engines: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -163,10 +187,52 @@ def rescued(words: DataFrame, heard: DataFrame) -> DataFrame:
     return both.withColumn("w_idx", (F.row_number().over(order) - 1).cast("long"))
 
 
-def q_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "record_id long, speaker_id string, voice array<double>")
-    return merge_speakers(fixtures.segments_ev(spark, sf_dir), none).drop("n_merged")
+def _voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two components of `embeddings` as voices of the users' event types, five vectors a user: the derived input of FIXTURES.md."""
+    kinds = F.array(*map(F.lit, KINDS))
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("speaker_id", F.element_at(kinds, (F.col("vec_id") % 5 + 1).cast("int")))
+    return own.select(F.floor(F.col("vec_id") / 5).alias("record_id"), "speaker_id", F.slice("embedding", 1, 2).cast("array<double>").alias("voice"))
 
 
-QUERIES = {"merged_speakers": q_merged}
+def q_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_speakers(fixtures.segments_ev(spark, sf_dir), _voices(spark, sf_dir))
+
+
+def q_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three speakers a record."""
+    return merge_speakers(fixtures.segments_ev(spark, sf_dir), _voices(spark, sf_dir), asked=3)
+
+
+#: The event types, in the order in which vectors are dealt to them.
+KINDS = ("click", "error", "purchase", "signup", "view")
+QUERIES = {"merged_speakers": q_merged, "enforce_target": q_target}
+#: Behind segments_ev and small: each small speaker by voice, or by time to the major of its longest interval's neighbour.
+MERGED_SQL = """, voices AS (
+        SELECT vec_id // 5 AS record_id, ['click', 'error', 'purchase', 'signup', 'view'][CAST(vec_id % 5 AS INT) + 1] AS speaker_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings
+    ), likes AS (
+        SELECT s.record_id, s.speaker_id, m.speaker_id AS major, (a.x * b.x + a.y * b.y) / (sqrt(a.x * a.x + a.y * a.y) * sqrt(b.x * b.x + b.y * b.y)) AS alike
+        FROM small s JOIN small m ON s.record_id = m.record_id AND s.small AND NOT m.small
+        JOIN voices a ON a.record_id = s.record_id AND a.speaker_id = s.speaker_id JOIN voices b ON b.record_id = m.record_id AND b.speaker_id = m.speaker_id
+    ), by_voice AS (
+        SELECT record_id, speaker_id, max(alike) AS alike, arg_max(major, alike) AS major FROM likes GROUP BY record_id, speaker_id
+    ), longest AS (
+        SELECT s.* FROM segments_ev s JOIN small m ON s.record_id = m.record_id AND s.speaker_id = m.speaker_id AND m.small
+        QUALIFY row_number() OVER (PARTITION BY s.record_id, s.speaker_id ORDER BY s.end_us - s.start_us DESC, s.start_us, s.seg_idx) = 1
+    ), by_time AS (
+        SELECT l.record_id, l.speaker_id, b.speaker_id AS major FROM longest l JOIN segments_ev b ON b.record_id = l.record_id JOIN small m ON m.record_id = b.record_id AND m.speaker_id = b.speaker_id AND NOT m.small
+        WHERE NOT EXISTS (SELECT 1 FROM by_voice v WHERE v.record_id = l.record_id AND v.speaker_id = l.speaker_id)
+        QUALIFY row_number() OVER (PARTITION BY l.record_id, l.speaker_id ORDER BY CASE WHEN b.start_us < l.end_us AND l.start_us < b.end_us THEN -1 ELSE greatest(0, l.start_us - b.end_us, b.start_us - l.end_us) END, b.start_us, b.seg_idx) = 1
+    ), target AS (
+        SELECT record_id, speaker_id, major FROM by_voice WHERE alike >= 0.5 UNION ALL SELECT * FROM by_time
+    ), moved AS (
+        SELECT s.record_id, seg_idx, coalesce(major, s.speaker_id) AS speaker_id, start_us, end_us, EXISTS (SELECT 1 FROM target c WHERE c.record_id = s.record_id) AS changed
+        FROM segments_ev s LEFT JOIN target t ON t.record_id = s.record_id AND t.speaker_id = s.speaker_id
+    ), runs AS (
+        SELECT *, sum(new) OVER (PARTITION BY record_id ORDER BY start_us, seg_idx ROWS UNBOUNDED PRECEDING) AS run
+        FROM (SELECT *, CASE WHEN changed AND speaker_id = lag(speaker_id) OVER (PARTITION BY record_id ORDER BY start_us, seg_idx) THEN 0 ELSE 1 END AS new FROM moved) x
+    ), cut AS (
+        SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY record_id, run ORDER BY start_us, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50000 THEN 0 ELSE 1 END AS opens FROM runs
+    )
+    SELECT record_id, min(speaker_id) AS speaker_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_merged
+    FROM (SELECT *, sum(opens) OVER (PARTITION BY record_id, run ORDER BY start_us, seg_idx ROWS UNBOUNDED PRECEDING) AS island FROM cut) y GROUP BY record_id, run, island"""
 ORACLE_SQL: dict[str, str] = {}

@@ -193,6 +193,7 @@ ORACLE_SQL["words_per_record"] = f"""WITH {WORDS_CV} SELECT record_id, count(*)
     round((max(end_us) - min(start_us)) / 1e6, 3) AS audio_s, round(count(*) / 100.0 / ((max(end_us) - min(start_us)) / 1e6), 4) AS rtf FROM words_cv GROUP BY record_id"""
 
 
+ORACLE_SQL["merged_speakers"] = f"WITH {SEGMENTS_EV}, {SMALL} {merging.MERGED_SQL}"
 ORACLE_SQL["der"] = f"WITH {WORDS_CV} {evaluation.der_sql(0)}"
 ORACLE_SQL["der_collar"] = f"WITH {WORDS_CV} {evaluation.der_sql(250_000)}"
 

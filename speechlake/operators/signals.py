@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,19 +98,17 @@ def restore_vanished(rows: DataFrame, keys: list[str], order: str, raw: str, fin
     return runs.join(best, [*keys, "run"], "left").withColumn(final, F.coalesce("back", final)).drop("back", "run")
 
 
-def locked_labels(labels: Column, energies: Column, threshold: Column, ahead: int = 4) -> Column:
-    """Labels that change only where it is quiet, or where `ahead` windows agree and one of them is quiet."""
-    first = F.struct(F.get(labels, F.lit(0)).alias("at"), F.slice(labels, 1, 1).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        own = F.get(labels, i)
-        next_ = F.slice(labels, i + 1, F.lit(ahead))
-        sure = F.forall(next_, lambda x: x == own) & F.exists(F.slice(energies, i + 1, F.lit(ahead)), lambda e: e < threshold)
-        at = F.when((F.get(energies, i) < threshold) | sure, own).otherwise(acc["at"])
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+def locked_labels(rows: DataFrame, keys: list[str], order: str, label: str, energy: str, threshold: Column, ahead: int = 4) -> DataFrame:
+    """rows with labels that change only where it is quiet, or where `ahead` windows (fewer at the end) agree and one of them is quiet.
 
-    rest = F.when(F.size(labels) > 1, F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rest, first, step, lambda acc: acc["out"])
+    So each window has the label of the last one that was free to change; the first one always is.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    near = w.rowsBetween(Window.currentRow, ahead - 1)
+    sure = (F.min(label).over(near) == F.max(label).over(near)) & (F.min(energy).over(near) < threshold)
+    free = (F.col(energy) < threshold) | sure | (F.row_number().over(w) == 1)
+    last = F.last(F.when(F.col("__free"), F.col(label)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__free", free).withColumn(label, last).drop("__free")
 
 
 def resampled(samples: Column, rate: int, to: int) -> Column:
@@ -135,10 +131,8 @@ def tone(seconds: float, hertz: float, rate: int = 16_000, loudness: float = 0.5
 
 def query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = f"frames_{uuid.uuid4().hex}"
-        frames(vectors.voices(spark, sf_dir)).createOrReplaceTempView(own)
-        text = TEXTS[name].format(frames=f"frames AS (SELECT * FROM {own}), ", p30="percentile(rms, 0.3)")
-        return spark.sql(text)
+        own = frames(vectors.voices(spark, sf_dir))
+        return spark.sql(TEXTS[name].format(frames="frames AS (SELECT * FROM {own}), ", p30="percentile(rms, 0.3)"), own=own)
 
     return run
 

@@ -105,27 +105,6 @@ def greedy_clusters(x: np.ndarray, least: float = 0.75) -> np.ndarray:
     return labels
 
 
-def merge_to_target(size_us: dict[str, int], means: dict[str, np.ndarray], target: int) -> dict[str, str]:
-    """Old to new speaker: the two most alike merge into the longer until `target` are left; speakers without a vector go first, the shortest to the longest one."""
-    into, size, mean = {s: s for s in size_us}, dict(size_us), dict(means)
-    while len(size) > max(target, 1):
-        bare = sorted((s for s in size if s not in mean), key=lambda s: (size[s], s))
-        if bare:
-            gone = bare[0]
-            kept = min((s for s in size if s != gone), key=lambda s: (-size[s], s))
-        else:
-            names = sorted(size)
-            d = cosine_distances(np.stack([mean[s] for s in names]))
-            np.fill_diagonal(d, np.inf)
-            a, b = (names[i] for i in divmod(int(np.argmin(d)), len(names)))
-            kept, gone = (a, b) if (-size[a], a) <= (-size[b], b) else (b, a)
-            mean[kept] = (mean[kept] + mean[gone]) / 2
-        size[kept] += size.pop(gone)
-        mean.pop(gone, None)
-        into = {s: kept if t == gone else t for s, t in into.items()}
-    return into
-
-
 def per_record(voices: DataFrame, schema: str, run) -> DataFrame:
     """run(record_id, ids, matrix) for each record, vectors in order of vec_id; gives rows of `schema`."""
 
@@ -162,17 +141,4 @@ def eigengap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_record(vectors.voices(spark, sf_dir), "record_id long, i int, gap double", run)
 
 
-def enforce_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers of each record merged to three, by the number of their vectors and their mean."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {str(s): np.stack([np.asarray(v, float) for v in g["embedding"]]) for s, g in pdf.groupby("speaker")}
-        into = merge_to_target({s: len(x) for s, x in by.items()}, {s: x.mean(0) for s, x in by.items()}, 3)
-        return pd.DataFrame({"record_id": key[0], "speaker": list(into), "merged": list(into.values())})
-
-    workers.ship(spark)
-    voices = vectors.voices(spark, sf_dir).where("embedding IS NOT NULL")
-    return voices.select("record_id", "speaker", "embedding").groupBy("record_id").applyInPandas(run, "record_id long, speaker string, merged string")
-
-
-QUERIES = {"enforce_target": enforce_target, "agglomerative": agglomerative, "speaker_count": speaker_count, "eigengap": eigengap}
+QUERIES = {"agglomerative": agglomerative, "speaker_count": speaker_count, "eigengap": eigengap}

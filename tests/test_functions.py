@@ -62,12 +62,6 @@ def test_speaker_count_of_planted_voices():
     assert speakers.count_speakers(voices[:1]) == (1, "insufficient_segments")
 
 
-def test_merge_to_target_keeps_the_longer():
-    means = {"a": np.array([1.0, 0]), "b": np.array([0.9, 0.1]), "c": np.array([0, 1.0])}
-    assert speakers.merge_to_target({"a": 1, "b": 5, "c": 3}, means, 2) == {"a": "b", "b": "b", "c": "c"}
-    assert speakers.merge_to_target({"a": 9, "d": 1}, means, 1) == {"a": "a", "d": "a"}
-
-
 CASES = [("a b a b a b c", "a b c"), ("A b a B a b", "A b"), ("a b a b c d", "a b a b c d"), ("x x x", "x x x"), ("", ""), (None, None)]
 
 
