@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import queries
-from ..streaming import consumer
+from ..streaming import consumer, ledger
 
-QUERIES = queries.QUERIES | consumer.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | consumer.ORACLE_SQL
+QUERIES = queries.QUERIES | consumer.QUERIES | ledger.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | consumer.ORACLE_SQL | ledger.ORACLE_SQL
