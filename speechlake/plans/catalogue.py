@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators import queries
+from ..sources import dialogues
 from ..streaming import consumer, ledger
 
-QUERIES = queries.QUERIES | consumer.QUERIES | ledger.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | consumer.ORACLE_SQL | ledger.ORACLE_SQL
+QUERIES = queries.QUERIES | consumer.QUERIES | ledger.QUERIES | dialogues.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | consumer.ORACLE_SQL | ledger.ORACLE_SQL | dialogues.ORACLE_SQL
