@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..functions import text
-from . import coverage, evaluation, exports, features, intervals, jobs, lifecycle, merging, signals, speakers, turns, vectors
+from . import coverage, evaluation, exports, features, intervals, jobs, lifecycle, merging, reports, signals, speakers, turns, vectors
 
 SEGMENTS_EV = """
     segments_ev AS (
@@ -185,7 +185,7 @@ ORACLE_SQL |= text.ORACLE_SQL | {
             SELECT *, bool_or(end_us - start_us >= 20000000000) OVER (PARTITION BY record_id, speaker_id) AS kept, row_number() OVER (PARTITION BY record_id, speaker_id ORDER BY end_us - start_us DESC, start_us, seg_idx) AS rn FROM segments_ev)
         SELECT record_id, seg_idx FROM told WHERE end_us - start_us >= 20000000000 OR (NOT kept AND rn = 1)""",
 }
-for _part in (signals, features, evaluation, jobs, merging):
+for _part in (signals, features, evaluation, jobs, merging, reports):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 QUERIES |= speakers.QUERIES
@@ -194,6 +194,7 @@ ORACLE_SQL["words_per_record"] = f"""WITH {WORDS_CV} SELECT record_id, count(*)
 
 
 ORACLE_SQL["merged_speakers"] = f"WITH {SEGMENTS_EV}, {SMALL} {merging.MERGED_SQL}"
+ORACLE_SQL |= {name: f"WITH {WORDS_CV} {body}" for name, body in reports.WORD_BODY.items()}
 ORACLE_SQL["der"] = f"WITH {WORDS_CV} {evaluation.der_sql(0)}"
 ORACLE_SQL["der_collar"] = f"WITH {WORDS_CV} {evaluation.der_sql(250_000)}"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_punctuated, only_punctuation
@@ -26,13 +26,13 @@ def attribute(words: DataFrame, segments: DataFrame) -> DataFrame:
     return told.select(*words.columns, F.coalesce("found", F.lit(UNKNOWN)).alias("speaker_id"))
 
 
-def utterances(words: DataFrame, silence_us: int = SILENCE_US) -> DataFrame:
-    """Groups attributed words: a new utterance where the speaker changes or more than `silence_us` pass."""
+def utterances(words: DataFrame, silence_us: int = SILENCE_US, more: list[Column] = ()) -> DataFrame:
+    """Groups attributed words: a new utterance where the speaker changes or more than `silence_us` pass; `more` are further aggregates."""
     w = Window.partitionBy("record_id").orderBy("w_idx")
     new = (F.col("speaker_id") != F.lag("speaker_id").over(w)) | (F.col("start_us") - F.lag("end_us").over(w) > silence_us)
     grouped = islands(words.withColumn("new", new), ["record_id"], ["w_idx"], F.col("new"), "u_idx").groupBy("record_id", "u_idx", "speaker_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_idx", "word"))), lambda x: x.word), " ")
-    return grouped.agg(F.min("start_us").alias("start_us"), F.max_by("end_us", "w_idx").alias("end_us"), F.count("*").alias("n_words"), text.alias("text"))
+    return grouped.agg(F.min("start_us").alias("start_us"), F.max_by("end_us", "w_idx").alias("end_us"), F.count("*").alias("n_words"), text.alias("text"), *more)
 
 
 def bind_short(turns: DataFrame) -> DataFrame:
