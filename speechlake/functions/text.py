@@ -105,15 +105,23 @@ def safe_stem(name: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), fallback)
 
 
+#: What stands for a path, the patterns of paths on drives and under folders, and the name of an upload without one, from the reference behaviour.
+MASK, DRIVE, FOLDERS, UPLOAD = "[FILE_PATH]", r"[A-Za-z]:\\[^\s:]+", r"/(?:[^\s:]+/)+[^\s:]+", "upload.bin"
+
+
 def mask_paths(message: Column) -> Column:
-    drives = F.regexp_replace(message, r"[A-Za-z]:\\[^\s:]+", "[FILE_PATH]")
-    return F.regexp_replace(drives, r"/(?:[^\s:]+/)+[^\s:]+", "[FILE_PATH]")
+    return F.regexp_replace(F.regexp_replace(message, DRIVE, MASK), FOLDERS, MASK)
+
+
+def error_message(kind: Column, message: Column) -> Column:
+    """What a user is told of an error: its type, and its message with paths masked (null: empty)."""
+    return F.concat(F.coalesce(kind, F.lit("")), F.lit(": "), mask_paths(F.coalesce(message, F.lit(""))))
 
 
 def safe_file_name(name: Column) -> Column:
-    """The last part of a path, at most 255 characters; null for an empty one, . and ..."""
-    base = F.substring(F.regexp_replace(name, r"^.*[/\\]", ""), 1, 255)
-    return F.when(~base.isin("", ".", ".."), base)
+    """The last part of a path without white space around it, at most 255 characters; UPLOAD for null, an empty one, . and ..."""
+    base = F.regexp_replace(F.regexp_replace(name, r"(?s)^.*[/\\]", ""), r"^\s+|\s+$", "")
+    return F.when(~base.isin("", ".", ".."), F.substring(base, 1, 255)).otherwise(UPLOAD)
 
 
 def extension(name: Column) -> Column:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import fixtures
@@ -174,13 +174,72 @@ def speaker_count_summary(counts: DataFrame) -> DataFrame:
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    by = lambda flag, name: li.where(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias(name))
-    return by("A", "qa").join(by("R", "qr"), "l_orderkey").select("l_orderkey", (F.col("qr") - F.col("qa")).alias("diff"))
+    by = lambda flag: li.where(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    return paired_differences(by("A"), by("R"), "l_orderkey", "q")
 
 
-def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paired_differences(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, diff): new less old value of the keys that both have, null values left out."""
+    a, b = (df.where(F.col(value).isNotNull()).select(key, F.col(value).alias(n)) for df, n in ((old, "old_value"), (new, "new_value")))
+    return a.join(b, key).select(key, (F.col("new_value") - F.col("old_value")).alias("diff"))
+
+
+def paired_summary(diffs: DataFrame, band: float = 0.001) -> DataFrame:
+    """(n, mean, median, improved, degraded, unchanged) of differences (diff): within the band on both sides nothing has changed.
+
+    The exact median holds the distinct differences.
+    """
     d = F.col("diff")
-    return _paired(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), F.median(d).alias("median"), F.count_if(d < 0).alias("improved"), F.count_if(d > 0).alias("degraded"), F.count_if(d == 0).alias("unchanged"))
+    return diffs.agg(F.count(d).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.median(d).alias("median"), F.count_if(d < -band).alias("improved"), F.count_if(d > band).alias("degraded"), F.count_if(F.abs(d) <= band).alias("unchanged"))
+
+
+def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_summary(_paired(spark, sf_dir))
+
+
+#: The labels of a comparison's rows, its heads and what is said of its p-value, from the reference behaviour.
+COMPARISON = (
+    ("**Model Yükleme Süresi (`load_time_sec`)**", "load_s", "", "s", 3),
+    ("**Kaçırılan Konuşma (% Missed)**", "missed", "%", "", 2),
+    ("**Yanlış Alarm (% False Alarm)**", "false_alarm", "%", "", 2),
+    ("**Konuşmacı Karmaşası (% Confusion)**", "confusion", "%", "", 2),
+    ("**Konuşmacı Sayısı Eşleşme Oranı**", "matched", "%", "", 2),
+    ("**Medyan İşlem Süresi (P50)**", "median_s", "", "s", 3),
+    ("**P95 İşlem Süresi (P95)**", "p95_s", "", "s", 3),
+    ("**Maksimum RAM Kullanımı (RSS)**", "rss_mb", "", " MB", 1),
+)
+DER_LABEL, P_LABEL, NO_CHANGE, CHANGE = "**Ortalama DER ± Std**", "**Wilcoxon p-değeri**", "İstatistiksel Olarak Anlamlı Fark Yok (p >= 0.05)", "İstatistiksel Olarak Anlamlı Fark Var (p < 0.05)"
+HEAD, HEAD_OLD, HEAD_NEW, HEAD_DIFF = "Metrik / Performans Göstergesi", "(Eski)", "(Yeni)", "Fark / Değişim"
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row over the files of a run (file, der, missed, false_alarm, confusion, expected, found, seconds, rss_mb, load_s): means, deviation, percentiles of time, share of right counts, most memory."""
+    right = F.when(F.col("expected") == F.col("found"), 100.0).otherwise(0.0)
+    means = [F.avg(c).alias(c) for c in ("der", "missed", "false_alarm", "confusion")]
+    return runs.agg(*means, F.stddev_pop("der").alias("der_std"), F.avg(right).alias("matched"), F.median("seconds").alias("median_s"), F.percentile("seconds", 0.95).alias("p95_s"), F.max("rss_mb").alias("rss_mb"), F.max("load_s").alias("load_s"))
+
+
+def comparison_lines(old: DataFrame, new: DataFrame, old_name: str, new_name: str) -> DataFrame:
+    """(n, line): the lines of a Markdown table that sets two runs (`run_summary`) side by side, with the p-value of their paired error rates.
+
+    Missing figures count as 0. All is aggregates of one row; the lines are made from that row.
+    """
+    both = run_summary(old).select(*[F.coalesce(c, F.lit(0.0)).alias(f"o_{c}") for c in run_summary(old).columns])
+    both = both.join(run_summary(new).select(*[F.coalesce(c, F.lit(0.0)).alias(f"n_{c}") for c in run_summary(new).columns]))  # one row each
+    both = both.join(rank_p_value(paired_differences(old, new, "file", "der"), "diff").select("p_value"))  # one row
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+    def cells(label: str, name: str, before: str, after: str, digits: int) -> Column:
+        before = before.replace("%", "%%")
+        shown = lambda c, sign="": F.format_string(f"`{before}%{sign}.{digits}f{after}`", c)
+        o, n = F.col(f"o_{name}"), F.col(f"n_{name}")
+        return line(F.lit(label), shown(o), shown(n), shown(n - o, "+"))
+
+    der = line(F.lit(DER_LABEL), *(F.format_string("`%%%.2f ± %%%.2f`", f"{s}_der", f"{s}_der_std") for s in "on"), F.format_string("`%%%+.2f`", F.col("n_der") - F.col("o_der")))
+    p = line(F.lit(P_LABEL), F.lit("-"), F.format_string("`p = %.4f`", "p_value"), F.when(F.col("p_value") >= 0.05, NO_CHANGE).otherwise(CHANGE))
+    measures = [cells(*c) for c in COMPARISON]
+    head = [line(*map(F.lit, (HEAD, f"{old_name.upper()} {HEAD_OLD}", f"{new_name.upper()} {HEAD_NEW}", HEAD_DIFF))), F.lit("| :--- | :---: | :---: | :---: |")]
+    return both.select(F.posexplode(F.array(*head, measures[0], der, *measures[1:], p)).alias("n", "line"))
 
 
 def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:

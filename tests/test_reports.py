@@ -8,7 +8,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from speechlake.operators import reports
+from speechlake.functions import text
+from speechlake.operators import evaluation, reports
 
 
 def test_confidence_of_utterances(spark):
@@ -90,3 +91,39 @@ def test_batch_summaries(spark):
     assert lines[1] == {"file_name": "b.wav", "duration_sec": 10.0, "speaker_count": 2, "speakers": ["S0", "S1"], "utterance_count": 4, "execution_time_sec": 2.5, "rtf": 0.25, "language": "tr"}
     assert lines[0]["rtf"] == 0.0
     assert reports.batch_summary(df.limit(0)).first().total_files == 0
+
+
+RUN = "file string, der double, missed double, false_alarm double, confusion double, expected int, found int, seconds double, rss_mb double, load_s double"
+
+
+def test_comparison_of_two_runs(spark):
+    rng = random.Random(5)
+    rows = lambda shift: [(f"f{i}", 30 + rng.random() * 20 + shift, rng.random(), rng.random(), rng.random(), 2, rng.choice([2, 3]), rng.random() * 9, 500.0 + i, 1.5) for i in range(12)]
+    old, new = rows(0), rows(-15) + [("more", 1.0, 1.0, 1.0, 1.0, 2, 2, 1.0, 1.0, 2.25)]
+    got = [r.line for r in evaluation.comparison_lines(spark.createDataFrame(old, RUN), spark.createDataFrame(new, RUN), "first", "second").orderBy("n").collect()]
+    assert got[0] == "| Metrik / Performans Göstergesi | FIRST (Eski) | SECOND (Yeni) | Fark / Değişim |" and got[1].count(":---:") == 3 and len(got) == 12
+    assert got[2] == "| **Model Yükleme Süresi (`load_time_sec`)** | `1.500s` | `2.250s` | `+0.750s` |"
+    a, b = np.array([r[1] for r in old]), np.array([r[1] for r in new])
+    assert got[3] == f"| **Ortalama DER ± Std** | `%{a.mean():.2f} ± %{a.std():.2f}` | `%{b.mean():.2f} ± %{b.std():.2f}` | `%{b.mean() - a.mean():+.2f}` |"
+    match = lambda x: np.mean([100.0 * (r[5] == r[6]) for r in x])
+    assert got[7] == f"| **Konuşmacı Sayısı Eşleşme Oranı** | `%{match(old):.2f}` | `%{match(new):.2f}` | `%{match(new) - match(old):+.2f}` |"
+    p95 = lambda x: np.percentile([r[7] for r in x], 95)
+    assert got[9] == f"| **P95 İşlem Süresi (P95)** | `{p95(old):.3f}s` | `{p95(new):.3f}s` | `{p95(new) - p95(old):+.3f}s` |"
+    assert got[11].startswith("| **Wilcoxon p-değeri** | - | `p = 0.00") and got[11].endswith("Fark Var (p < 0.05) |")
+    same = [r.line for r in evaluation.comparison_lines(spark.createDataFrame(old, RUN), spark.createDataFrame(old, RUN), "a", "b").orderBy("n").collect()]
+    assert same[11] == "| **Wilcoxon p-değeri** | - | `p = 1.0000` | İstatistiksel Olarak Anlamlı Fark Yok (p >= 0.05) |"
+
+
+def test_paired_differences_have_a_band(spark):
+    frame = lambda x: spark.createDataFrame(list(x.items()), "file string, der double")
+    old, new = {"a": 1.0, "b": 2.0, "c": 3.0, "d": None, "x": 1.0}, {"a": 1.0005, "b": 1.5, "c": 3.5, "d": 1.0, "y": 1.0}
+    row = evaluation.paired_summary(evaluation.paired_differences(frame(old), frame(new), "file", "der")).first()
+    assert (row.n, row.improved, row.degraded, row.unchanged) == (3, 1, 1, 1)
+
+
+def test_names_and_messages(spark):
+    names = {None: "upload.bin", "": "upload.bin", "..": "upload.bin", "a/b\\c.wav": "c.wav", " x.wav\t": "x.wav", "d/": "upload.bin", "d/ . ": "upload.bin", "n" * 300: "n" * 255, "a\n/b": "b"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.s for r in df.select("n", text.safe_file_name(F.col("n")).alias("s")).collect()} == names
+    told = spark.createDataFrame([("OSError", "no /var/lib/x.wav here"), ("ValueError", "C:\\Users\\me: bad"), ("E", None)], "k string, m string")
+    assert [r.s for r in told.select(text.error_message(F.col("k"), F.col("m")).alias("s")).collect()] == ["OSError: no [FILE_PATH] here", "ValueError: [FILE_PATH]: bad", "E: "]
