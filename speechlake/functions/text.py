@@ -229,4 +229,9 @@ ORACLE_SQL = {
     "repeat_filter": """WITH w AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM (SELECT doc_id, """ + _WORDS + """ AS p FROM documents) t), f AS (
             SELECT *, coalesce(lower(x) = lag(lower(x)) OVER o AND lower(x) = lag(lower(x), 2) OVER o, false) AS gone FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i))
         SELECT d.doc_id, count(f.doc_id) FILTER (NOT gone) AS n_kept FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""",
+    # The last part by splitting, the stem by trimming.
+    "file_names": """WITH b AS (SELECT page_id, url, trim(list_last(string_split_regex(url, '[/\\\\]')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS last FROM pages)
+        SELECT page_id, CASE WHEN coalesce(last, '') IN ('', '.', '..') THEN 'upload.bin' ELSE left(last, 255) END AS base, nullif(lower(regexp_extract(url, '[.][a-zA-Z0-9]{1,8}$')), '') AS ext,
+               coalesce(nullif(trim(regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g'), '_'), ''), 'sample') AS stem,
+               regexp_replace(regexp_replace(url, '[a-zA-Z]:\\\\[^[:space:]:]+', '[FILE_PATH]', 'g'), '/([^[:space:]:]+/)+[^[:space:]:]+', '[FILE_PATH]', 'g') AS masked FROM b""",
 }

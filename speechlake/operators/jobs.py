@@ -336,6 +336,8 @@ ORACLE_SQL = {
         c AS (SELECT conv_id, turn // 2 AS k FROM conversations WHERE turn % 2 = 0)
         SELECT conv_id, turn, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.conv_id = n.conv_id AND c.k = n.k) THEN 'edited' ELSE role END AS role
         FROM n WHERE NOT (k = 0 AND EXISTS (SELECT 1 FROM c WHERE c.conv_id = n.conv_id AND c.k = 1))""",
+    # The two nested hashes over the key's bytes, padded to 64 and turned by 36 and 5c.
+    "signed_payloads": """SELECT conv_id, turn, 'sha256=' || sha256(unhex('373925' || repeat('5c', 61)) || unhex(sha256(unhex('5d534f' || repeat('36', 61)) || encode(turn || '.' || text)))) AS signature, left(sha256(CAST(conv_id AS VARCHAR)), 16) AS digest FROM conversations""",
     # Free numbers by counting up to the names there are, less the taken ones.
     "promoted_names": """WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 100 = 0 THEN p_brand ELSE p_brand || '_' || (p_partkey % 7 + 1) END AS name FROM part WHERE p_partkey % 50 = 0),
         c AS (SELECT p_brand, unnest(range(n + 8)) AS k FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) x),
