@@ -12,7 +12,7 @@ speech at most, not a share of the table. Everything else is planned by the engi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,18 +138,21 @@ def merge_speakers(segments: DataFrame, voices: DataFrame, asked: int = 0, least
     """
     workers.ship(segments.sparkSession)
     told = capped(coverage.small_speakers(segments, least_us, share), asked).select("record_id", "speaker_id", "small")
-    rows = segments.join(told, ["record_id", "speaker_id"]).select("record_id", "seg_idx", "speaker_id", "start_us", "end_us", "small")
+    rows = segments.withColumn("record_id", F.col("record_id").cast("long")).join(told, ["record_id", "speaker_id"]).select("record_id", F.col("seg_idx").alias("seq"), "speaker_id", "start_us", "end_us", "small")
     heard = voices.where("voice IS NOT NULL").select("record_id", F.col("speaker_id").alias("own"), "voice")
 
-    def run(key: tuple, pdf: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_us", "seg_idx"], ignore_index=True)
-        rows = [(s, a, b, 1) for s, a, b in zip(pdf["speaker_id"], pdf["start_us"].tolist(), pdf["end_us"].tolist())]
-        voice = {s: np.asarray(v, float) for s, v in zip(heard["own"], heard["voice"])}
-        out = merged(rows, set(pdf.loc[pdf["small"], "speaker_id"]), voice, asked) if rows else []
-        columns = zip(*out) if out else ([], [], [], [])
-        return pd.DataFrame({"record_id": key[0], **dict(zip(("speaker_id", "start_us", "end_us", "n_merged"), map(list, columns)))})
-
-    return rows.groupBy("record_id").cogroup(heard.groupBy("record_id")).applyInPandas(run, SCHEMA)
+    def run(key: tuple, own: pa.Table, heard: pa.Table) -> pa.Table:
+        own = own.sort_by([("start_us", "ascending"), ("seq", "ascending")]).to_pydict()
+        rows = [(s, a, b, 1) for s, a, b in zip(own["speaker_id"], own["start_us"], own["end_us"])]
+        small = {s for s, is_small in zip(own["speaker_id"], own["small"]) if is_small}
+        voice = {s: np.asarray(v, float) for s, v in zip(heard.column("own").to_pylist(), heard.column("voice").to_pylist())}
+        out = merged(rows, small, voice, asked) if rows else []
+        speaker, start, end, n = map(list, zip(*out)) if out else ([], [], [], [])
+        record = [own["record_id"][0]] * len(out) if out else []
+        return pa.Table.from_arrays([pa.array(record, pa.int64()), pa.array(speaker, pa.string()), *(pa.array(x, pa.int64()) for x in (start, end, n))], names)
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return rows.groupBy("record_id").cogroup(heard.groupBy("record_id")).applyInArrow(run, SCHEMA)
 
 
 def first_usable(found: DataFrame, key: str, engines: list[str]) -> tuple[DataFrame, DataFrame]:

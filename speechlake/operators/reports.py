@@ -189,9 +189,9 @@ def q_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ship months as stages of an order's run, statuses as settings."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     runs = li.select("l_linestatus", F.col("l_orderkey").alias("file"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("stage"), F.col("l_quantity").alias("seconds"))
-    audio = li.groupBy("l_linestatus", F.col("l_orderkey").alias("file")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("audio_s"))
+    audio = li.groupBy("l_linestatus", F.col("l_orderkey").alias("file")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double").alias("audio_s"))
     out = stage_table(runs, audio, ["l_linestatus"], ["s1", "s2", "s3"], threads=4)
-    return out.select("l_linestatus", F.round("audio_s", 1).alias("audio_s"), "s1", "s2", "s3", "total_s", F.round("rtf", 8).alias("rtf"), F.round("k", 8).alias("k"), F.round(cores_needed(F.col("audio_s"), F.col("k"), F.lit(3600.0)), 4).alias("cores"))
+    return out.select("l_linestatus", "audio_s", "s1", "s2", "s3", "total_s", F.round("rtf", 10).alias("rtf"), F.round("k", 10).alias("k"), F.round(cores_needed(F.col("audio_s"), F.col("k"), F.lit(3600.0)), 4).alias("cores"))
 
 
 def q_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ ORACLE_SQL = {
     "before_after": """WITH a AS (SELECT l_partkey, avg(CAST(l_quantity AS BIGINT)) AS q, avg(CAST(round(l_discount * 100) AS BIGINT)) AS d FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_partkey, avg(CAST(l_quantity AS BIGINT)) AS q, avg(CAST(round(l_discount * 100) AS BIGINT)) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT coalesce(a.l_partkey, r.l_partkey) AS l_partkey, round(a.q, 6) AS l_quantity_before, round(r.q, 6) AS l_quantity_after, round(r.q - a.q, 6) AS l_quantity_change,
                round(a.d, 6) AS l_discount_before, round(r.d, 6) AS l_discount_after, round(r.d - a.d, 6) AS l_discount_change FROM a FULL JOIN r ON a.l_partkey = r.l_partkey""",
-    "stage_table": """WITH s AS (SELECT l_linestatus, sum(CAST(l_extendedprice AS DECIMAL(18, 2)))::DOUBLE AS a, coalesce(sum(l_quantity) FILTER (l_linenumber = 1), 0.0) AS s1, coalesce(sum(l_quantity) FILTER (l_linenumber = 2), 0.0) AS s2,
+    "stage_table": """WITH s AS (SELECT l_linestatus, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS a, coalesce(sum(l_quantity) FILTER (l_linenumber = 1), 0.0) AS s1, coalesce(sum(l_quantity) FILTER (l_linenumber = 2), 0.0) AS s2,
             coalesce(sum(l_quantity) FILTER (l_linenumber = 3), 0.0) AS s3, sum(l_quantity) AS t FROM lineitem GROUP BY 1)
-        SELECT l_linestatus, round(a, 1) AS audio_s, s1, s2, s3, t AS total_s, round(t / a, 8) AS rtf, round(t * 4 / a, 8) AS k, round(t * 4 / 3600.0::DOUBLE, 4) AS cores FROM s WHERE a > 0""",
+        SELECT l_linestatus, a AS audio_s, s1, s2, s3, t AS total_s, round(t / a, 10) AS rtf, round(t * 4 / a, 10) AS k, round(t * 4 / 3600.0::DOUBLE, 4) AS cores FROM s WHERE a > 0""",
 }
