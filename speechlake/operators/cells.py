@@ -112,10 +112,11 @@ def latest(rows: DataFrame, keys: list[str], at: str, value: str, block_us: int,
     return found.withColumn(name, F.greatest(name, "_carried")).drop("_block", "_carried")
 
 
-def nearest(rows: DataFrame, asks: Column, keys: list[str], grid: Grid | None = None, block_us: int = 1 << 40) -> DataFrame:
+def nearest(rows: DataFrame, asks: Column, keys: list[str], grid: Grid | None = None, block_us: int = 1 << 40, empty_shares: bool = True) -> DataFrame:
     """(keys, idx, near, distance_us): for each row (keys, idx, lo, hi) that asks the nearest one that does not.
 
-    One that shares time comes before one that touches; of several alike the first by idx. Rows whose keys
+    One that shares time comes before one that touches; of several alike the first by idx. An interval without
+    length within another shares its time, or only touches it (empty_shares = False). Rows whose keys
     have no others are left out. Those that share time are met on cells; the neighbours before and after
     come from running maxima of ends and, mirrored, of starts.
     """
@@ -125,7 +126,8 @@ def nearest(rows: DataFrame, asks: Column, keys: list[str], grid: Grid | None =
     b = rows.where("NOT asks").select(*keys, F.col("idx").alias("near"), F.col("lo").alias("b0"), F.col("hi").alias("b1"))
     shares = (F.col("b0") < F.col("a1")) & (F.col("a0") < F.col("b1"))
     met = meet(a, b, keys, ("a0", "a1"), ("b0", "b1"), grid, grid).where(shares)
-    inside = met.select(*keys, "idx", F.lit(False).alias("apart"), F.lit(0).cast("long").alias("distance_us"), "near")
+    apart = F.lit(False) if empty_shares else F.least("a1", "b1") <= F.greatest("a0", "b0")
+    inside = met.select(*keys, "idx", apart.alias("apart"), F.lit(0).cast("long").alias("distance_us"), "near")
     # Two time lines: forward, on which others are told at their ends, and mirrored, at their starts.
     lines = F.explode(F.array(*(F.struct(F.lit(m).alias("mirrored"), F.when(F.col("asks"), start).otherwise(end).alias("at")) for m, start, end in ((False, F.col("lo"), F.col("hi")), (True, -F.col("hi"), -F.col("lo"))))))
     told = rows.select(*keys, "idx", "asks", lines.alias("line")).select(*keys, "idx", "asks", "line.mirrored", "line.at")

@@ -60,10 +60,11 @@ def small_speakers(segments: DataFrame, least_us: int = 0, share: float = 0.15)
 def nearest_major(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """(record_id, seg_idx, near_idx, distance_us): for intervals of small speakers the nearest one of another.
 
-    One that overlaps comes before one that touches; of several alike the first in order of seg_idx.
+    One that overlaps comes before one that touches or that lies around or within as a mere point; of several
+    alike the first in order of seg_idx.
     """
     told = segments.join(speakers.select("record_id", "speaker_id", "small"), ["record_id", "speaker_id"]).select("record_id", F.col("seg_idx").alias("idx"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi"), "small")
-    found = nearest(told, F.col("small"), ["record_id"], Grid.of(segments, "start_us", "end_us"))
+    found = nearest(told, F.col("small"), ["record_id"], Grid.of(segments, "start_us", "end_us"), empty_shares=False)
     return found.select("record_id", F.col("idx").alias("seg_idx"), F.col("near").alias("near_idx"), "distance_us")
 
 

@@ -100,6 +100,15 @@ def test_nearest_on_both_sides(spark, block):
         assert got.get(i) == ((best[2], best[1]) if best else None), i
 
 
+def test_nearest_major_of_intervals_without_length(spark):
+    # A point overlaps nothing: 1 overlaps 11 though 10 comes first, 2 lies within 21 and touches 20.
+    rows = [(1, "s", 1, 0, 10), (1, "m", 10, 5, 5), (1, "m", 11, 8, 900), (2, "s", 2, 50, 50), (2, "m", 20, 40, 50), (2, "m", 21, 30, 900)]
+    segments = spark.createDataFrame(rows, "record_id long, speaker_id string, seg_idx long, start_us long, end_us long")
+    speakers = spark.createDataFrame([(r, s, s == "s") for r in (1, 2) for s in "sm"], "record_id long, speaker_id string, small boolean")
+    got = {r.seg_idx: (r.near_idx, r.distance_us) for r in coverage.nearest_major(segments, speakers).collect()}
+    assert got == {1: (11, 0), 2: (20, 0)}
+
+
 def test_words_of_odd_times_keep_their_rows(spark):
     words = spark.createDataFrame([(1, 0, 5, 9), (1, 1, 20, 20), (1, 2, None, 9), (1, 3, 90, 95), (2, 0, 5, 9), (1, 4, 9, 5)], "record_id long, w_idx long, start_us long, end_us long")
     segments = spark.createDataFrame([(1, "A", 0, 0, 8), (1, "B", 1, 7, 20), (1, "C", 2, 20, 20)], SEGMENTS)
