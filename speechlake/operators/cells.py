@@ -102,9 +102,10 @@ def latest(rows: DataFrame, keys: list[str], at: str, value: str, block_us: int,
     """rows with the largest `value` among those of the same keys whose `at` is not larger, in `name`; null values ask only.
 
     A running maximum in two steps, so that a long record isn't one task: within blocks of
-    time, and over the maxima of the blocks before. The rows are exchanged once for both.
+    time, and over the maxima of the blocks before. The rows are exchanged once; for the blocks' maxima they
+    are combined first.
     """
-    rows = rows.withColumn("_block", F.floor(F.col(at) / block_us)).repartition(*keys, "_block")
+    rows = rows.withColumn("_block", F.floor(F.col(at) / block_us))
     own = Window.partitionBy(*keys, "_block").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     blocks = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_most")).select(*keys, "_block", F.max("_most").over(before).alias("_carried"))

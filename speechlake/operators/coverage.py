@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from . import intervals
-from .cells import TURNS, WORDS, Grid, nearest, stab
+from .cells import TURNS, WORDS, Grid, latest, nearest
 
 GAP_US, PAD_US = 2_000_000, 600_000
 
@@ -36,15 +36,24 @@ def overlap_sweep(segments: DataFrame) -> DataFrame:
     return open_.groupBy("record_id").agg(F.sum(F.when(F.col("open") > 1, F.col("until") - F.col("t")).otherwise(0)).alias("overlap_us"))
 
 
-def vad_filter(words: DataFrame, speech: DataFrame, pad_us: int = PAD_US) -> DataFrame:
+def vad_filter(words: DataFrame, speech: DataFrame, pad_us: int = PAD_US, block_us: int = 1 << 32) -> DataFrame:
     """Words whose middle lies in a padded speech interval; records without any interval keep all words.
 
-    Doubled times keep the middle whole. (record_id, w_idx) names a word.
+    Doubled times keep the middle whole. A word lies in an interval if the latest end of those that have begun
+    is not before it: one running maximum over the words and the starts, with a mark before all times in records
+    that have intervals. Nothing is joined but the blocks' maxima.
     """
-    s = speech.select("record_id", (2 * (F.col("start_us") - pad_us)).alias("s0"), (2 * (F.col("end_us") + pad_us)).alias("s1"))
-    middle = words.select("record_id", "w_idx", (F.col("start_us") + F.col("end_us")).alias("twice"))
-    inside = stab(s, middle, ["record_id"], "s0", "s1", "twice", TURNS).select("record_id", "w_idx").distinct()
-    return words.join(inside, ["record_id", "w_idx"], "left_semi").select(words.columns).unionByName(words.join(s.select("record_id").distinct(), "record_id", "left_anti").select(words.columns))
+    never = F.lit(-(2**63))
+    lo, hi = 2 * (F.col("start_us") - pad_us), 2 * (F.col("end_us") + pad_us)
+    begins = F.struct(F.coalesce(lo, never).alias("at"), F.coalesce(hi, never).alias("until"))
+    marks = F.array(F.struct(never.alias("at"), never.alias("until")), F.when(lo <= hi, begins))
+    spoken = speech.where("record_id IS NOT NULL").select("record_id", F.inline(F.array_compact(marks)))
+    twice = F.col("start_us") + F.col("end_us")
+    asked = words.withColumns({"_at": F.coalesce(twice, never), "_until": F.lit(None).cast("long")})
+    rows = asked.unionByName(spoken.select("record_id", F.col("at").alias("_at"), F.col("until").alias("_until")), allowMissingColumns=True)
+    found = latest(rows.where("record_id IS NOT NULL"), ["record_id"], "_at", "_until", block_us, "_last").where("_until IS NULL")
+    kept = found.where(F.col("_last").isNull() | ((F.col("_at") > never) & (F.col("_last") >= F.col("_at")))).select(words.columns)
+    return kept.unionByName(words.where("record_id IS NULL"))
 
 
 def small_speakers(segments: DataFrame, least_us: int = 0, share: float = 0.15) -> DataFrame:
