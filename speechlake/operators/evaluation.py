@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,13 @@ def outside_collars(side: DataFrame, name: str, reference: DataFrame, collar_us:
 
 
 def best_mapping(pairs: DataFrame) -> DataFrame:
-    """(record_id, matched_us): the one-to-one mapping of speakers that shares most time; a matrix of speakers per task."""
+    """(record_id, matched_us): the one-to-one mapping of speakers that shares most time; one matrix of speakers a record, many records a batch."""
 
-    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        gain = pdf.pivot_table(index="ref", columns="hyp", values="us", aggfunc="sum", fill_value=0).to_numpy(dtype=float)
+    def matched(pairs: list[dict]) -> int:
+        refs, hyps = ({v: i for i, v in enumerate(sorted({p[side] for p in pairs}))} for side in ("ref", "hyp"))
+        gain = np.zeros((len(refs), len(hyps)))
+        for p in pairs:
+            gain[refs[p["ref"]], hyps[p["hyp"]]] += p["us"]
         n = max(gain.shape)
         cost = np.zeros((n, n))
         cost[: gain.shape[0], : gain.shape[1]] = gain.max() - gain
@@ -70,9 +75,14 @@ def best_mapping(pairs: DataFrame) -> DataFrame:
                 owner[at] = owner[before] if before >= 0 else row
                 at = before
         real = [(owner[c], c) for c in range(gain.shape[1]) if owner[c] < gain.shape[0]]
-        return pd.DataFrame({"record_id": [key[0]], "matched_us": [int(sum(gain[r, c] for r, c in real))]})
+        return int(sum(gain[r, c] for r, c in real))
 
-    return pairs.groupBy("record_id").applyInPandas(assign, "record_id long, matched_us long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(matched, b.column(1).to_pylist()), pa.int64())], ["record_id", "matched_us"])
+
+    named = pairs.where("ref IS NOT NULL AND hyp IS NOT NULL").groupBy(F.col("record_id").cast("long").alias("record_id"))
+    return named.agg(F.collect_list(F.struct("ref", "hyp", "us")).alias("pairs")).mapInArrow(run, "record_id long, matched_us long")
 
 
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar_us: int = 0) -> DataFrame:
