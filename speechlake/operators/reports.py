@@ -19,14 +19,19 @@ def is_uncertain(temperature: Column) -> Column:
     return F.coalesce(temperature, F.lit(0.0)) >= WARM
 
 
+def _grouped(words: DataFrame, silence_us: int) -> DataFrame:
+    """Utterances of words without blanks, with what their temperatures and logprobs say."""
+    rows = words.withColumns({"temperature": F.coalesce("temperature", F.lit(0.0)), "logprob": F.coalesce("logprob", F.lit(0.0))})
+    warm = is_uncertain(F.col("temperature"))
+    more = [F.bool_or(warm).alias("low_confidence"), F.max("temperature").alias("temperature"), F.round(F.avg("logprob"), 2).alias("avg_logprob"), F.count_if(warm).alias("n_uncertain"), F.count("word").alias("n_said")]
+    return turns.utterances(rows.withColumn("word", F.nullif(F.trim("word"), F.lit(""))), silence_us, more)
+
+
 def confident_utterances(words: DataFrame, silence_us: int = turns.SILENCE_US) -> DataFrame:
     """Utterances (`turns.utterances`) of attributed words (word, temperature, logprob besides), with low_confidence if any word is uncertain,
     the highest temperature and the mean logprob to two places. Words are trimmed, blank ones say nothing, and an utterance without text is none.
     """
-    rows = words.withColumns({"temperature": F.coalesce("temperature", F.lit(0.0)), "logprob": F.coalesce("logprob", F.lit(0.0))})
-    more = [F.bool_or(is_uncertain(F.col("temperature"))).alias("low_confidence"), F.max("temperature").alias("temperature"), F.round(F.avg("logprob"), 2).alias("avg_logprob")]
-    said = rows.withColumn("word", F.nullif(F.trim("word"), F.lit("")))
-    return turns.utterances(said, silence_us, more).where("text <> ''")
+    return _grouped(words, silence_us).where("n_said > 0").drop("n_uncertain", "n_said")
 
 
 def confidence_counts(words: DataFrame, utterances: DataFrame) -> DataFrame:
@@ -36,6 +41,12 @@ def confidence_counts(words: DataFrame, utterances: DataFrame) -> DataFrame:
     return a.join(b, "record_id", "full").na.fill(0, ["uncertain_words", "uncertain_utterances"])
 
 
+def counted_at_once(words: DataFrame, silence_us: int = turns.SILENCE_US) -> DataFrame:
+    """confidence_counts of attributed words and their own confident_utterances, in one pass over the words."""
+    own = _grouped(words, silence_us).groupBy("record_id")
+    return own.agg(F.sum("n_uncertain").alias("uncertain_words"), F.count_if(F.col("low_confidence") & (F.col("n_said") > 0)).alias("uncertain_utterances"))
+
+
 def distribution(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, n, mean, std, median, p95, max) of a column's known values: population deviation, percentiles by linear interpolation.
 
@@ -159,7 +170,7 @@ def batch_summary(done: DataFrame) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations' words with a temperature and a log-probability each from their places: the derived input of FIXTURES.md."""
-    w = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir))
+    w = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir), by_record=True)
     return w.withColumns({"temperature": F.pmod(F.col("w_idx") * 7 + F.col("record_id"), F.lit(97)) / 100.0, "logprob": -F.pmod(F.col("w_idx") * 3, F.lit(64)) / 64.0})
 
 
@@ -168,8 +179,7 @@ def q_confident(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir)
-    return confidence_counts(words, confident_utterances(words))
+    return counted_at_once(_words(spark, sf_dir))
 
 
 def q_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
