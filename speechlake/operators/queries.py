@@ -47,7 +47,7 @@ def word_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.utterances(turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir)))
+    return turns.utterances(turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir), by_record=True))
 
 
 def utterances_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ ORACLE_SQL["der_collar"] = f"WITH {WORDS_CV} {evaluation.der_sql(250_000)}"
 
 
 def smooth_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir))
+    words = turns.attribute(fixtures.words_cv(spark, sf_dir), fixtures.segments_cv(spark, sf_dir), by_record=True)
     return turns.smooth_words(words).select("record_id", "w_idx", "speaker_id")
 
 

@@ -6,21 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_punctuated, only_punctuation
-from .cells import TURNS, WORDS, meet
 from .intervals import islands
 
 UNKNOWN = "SPEAKER_UNKNOWN"
 SILENCE_US, SHORT_US, BIND_GAP_US, SANDWICH_US = 1_500_000, 1_000_000, 300_000, 800_000
 
 
-def attribute(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """Adds speaker_id to words: the first interval that holds the word's middle, else the one it shares most with, else unknown."""
-    s = segments.select("record_id", "seg_idx", F.col("speaker_id").alias("found"), F.col("start_us").alias("s0"), F.col("end_us").alias("s1"))
+def attribute(words: DataFrame, segments: DataFrame, by_record: bool = False, block_us: int = 1 << 25) -> DataFrame:
+    """Adds speaker_id to words: the first interval that holds the word's middle, else the one it shares most with, else unknown.
+
+    Both sides are filed in the blocks of time they touch, mostly one a word, and a pair is met in the first
+    block of both. by_record brings a record's words together at once, for windows over the record.
+    """
+    blocks = lambda lo, hi: F.sequence(F.floor(F.col(lo) / block_us), F.floor(F.col(hi) / block_us))
+    s = segments.where("start_us <= end_us").select("record_id", "seg_idx", F.col("speaker_id").alias("found"), F.col("start_us").alias("s0"), F.col("end_us").alias("s1"))
+    s = s.select(F.col("record_id").alias("_record"), "seg_idx", "found", "s0", "s1", F.explode(blocks("s0", "s1")).alias("_filed"))
+    nowhere = F.array(F.lit(0).cast("long"))
+    asked = words.withColumn("_block", F.explode(F.when(F.col("start_us") <= F.col("end_us"), blocks("start_us", "end_us")).otherwise(nowhere)))
     shared = F.least("end_us", "s1") - F.greatest("start_us", "s0")
     middle = F.col("start_us") + F.col("end_us")
     holds = (F.col("s0") * 2 <= middle) & (middle <= F.col("s1") * 2)
-    met = meet(words, s, ["record_id"], ("start_us", "end_us"), ("s0", "s1"), WORDS, TURNS, "left")
-    best = F.min_by("found", F.when(F.col("s0").isNotNull() & ((shared > 0) | holds), F.struct(~holds, F.when(holds, 0).otherwise(-shared), "seg_idx")))
+    meets = (F.col("start_us") <= F.col("end_us")) & ((shared > 0) | holds) & (F.col("_block") == F.floor(F.greatest("start_us", "s0") / block_us))
+    met = asked.join(s, (F.col("record_id") == F.col("_record")) & (F.col("_block") == F.col("_filed")) & meets, "left")
+    if by_record:
+        met = met.repartition("record_id")
+    best = F.min_by("found", F.when(F.col("s0").isNotNull(), F.struct(~holds, F.when(holds, 0).otherwise(-shared), "seg_idx")))
     others = [F.first(c).alias(c) for c in words.columns if c not in ("record_id", "w_idx")]
     told = met.groupBy("record_id", "w_idx").agg(*others, best.alias("found"))
     return told.select(*words.columns, F.coalesce("found", F.lit(UNKNOWN)).alias("speaker_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from speechlake.operators import cells, coverage, evaluation, intervals, turns
 from speechlake.operators.cells import Grid
+from speechlake.sources import fixtures
 
 SEGMENTS = "record_id long, speaker_id string, seg_idx long, start_us long, end_us long"
 
@@ -116,6 +117,57 @@ def test_words_of_odd_times_keep_their_rows(spark):
     assert got == {(1, 0): "A", (1, 1): "B", (1, 2): turns.UNKNOWN, (1, 3): turns.UNKNOWN, (2, 0): turns.UNKNOWN, (1, 4): turns.UNKNOWN}
 
 
+def exchanges(df):
+    """How often the plan exchanges rows by key, as planned before anything is measured."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 25])
+def test_words_meet_intervals_in_blocks(spark, block):
+    rng = random.Random(block)
+    words = [(r, i, lo, hi) for r, i, lo, hi in spans(rng, 80, records=3, wide=300)]
+    parts = [(r, rng.choice("AB"), i, lo, hi) for r, i, lo, hi in spans(rng, 40, records=3, wide=300)]
+    frame = spark.createDataFrame(words, "record_id long, w_idx long, start_us long, end_us long")
+    for by_record in (False, True):
+        got = {r.w_idx: r.speaker_id for r in turns.attribute(frame, spark.createDataFrame(parts, SEGMENTS), by_record, block).collect()}
+        for r, i, lo, hi in words:
+            ranked = []
+            for q, name, seg, s0, s1 in parts:
+                holds, shared = 2 * s0 <= lo + hi <= 2 * s1, min(hi, s1) - max(lo, s0)
+                if q == r and lo <= hi and (holds or shared > 0):
+                    ranked.append((not holds, 0 if holds else -shared, seg, name))
+            assert got[i] == (min(ranked)[3] if ranked else turns.UNKNOWN), i
+    # One row of a word goes to the join, not one a level and another for what meets nothing.
+    assert turns.attribute(frame, spark.createDataFrame(parts, SEGMENTS))._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
+
+
+def test_turns_are_numbered_before_words(spark, tmp_path):
+    rows = [(1, 0, "user", "a b"), (1, 1, "user", "c d e"), (1, 1, "agent", " f "), (1, 2, "user", None), (1, 3, "agent", "  "), (1, 4, "agent", "g"), (2, 0, "user", "h")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    words = fixtures.words_cv(spark, str(tmp_path))
+    assert exchanges(words) == 1
+    got = {(r.record_id, r.w_idx): r.word for r in words.collect()}
+    assert "".join(got[1, i] for i in (0, 1)) == "ab" and {got[1, 2], got[1, 3]} == set("cf") and "".join(got[1, i] for i in (4, 5, 6)) == "deg" and got[2, 0] == "h" and len(got) == 8
+    told = fixtures.segments_cv(spark, str(tmp_path))
+    assert "Generate explode" not in told._jdf.queryExecution().optimizedPlan().toString() and "posexplode" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in told.collect()) == [(1, 0, "user", -600_000, 100_000), (1, 1, "agent", 500_000, 2_000_000), (1, 4, "agent", 3_000_000, 3_300_000), (2, 0, "user", -600_000, -300_000)]
+
+
+@pytest.mark.parametrize("block", [5, 1 << 32])
+def test_speech_filter_joins_no_words(spark, block):
+    rng = random.Random(block)
+    words = [*spans(rng, 90, records=5, wide=400), (3, 900, None, 5), (None, 901, 1, 2), (77, 902, None, 5)]
+    speech = [s for s in spans(rng, 12, records=3, wide=400)] + [(4, 99, 50, 20)]
+    out = coverage.vad_filter(spark.createDataFrame(words, "record_id long, w_idx long, start_us long, end_us long"), spark.createDataFrame([(r, lo, hi) for r, _, lo, hi in speech], "record_id long, start_us long, end_us long"), 3, block)
+    want = set()
+    for r, i, lo, hi in words:
+        own = [s for s in speech if s[0] == r]
+        if not own or any(lo is not None and 2 * (s - 3) <= lo + hi <= 2 * (e + 3) for _, _, s, e in own):
+            want.add(i)
+    assert {r.w_idx for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def plain_error(ref, hyp, collar):
     """Millisecond by millisecond, all one-to-one mappings."""
     edges = [t for _, s, e in ref if e > s for t in (s, e)]
