@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from speechlake.operators import evaluation, exports
+from speechlake.operators import evaluation, exports, vectors
 
 
 def p_of(spark, diffs):
@@ -45,3 +47,18 @@ def test_text_report_without_a_recording(spark):
     report = exports.text_reports(turns, none).first().report
     assert report.endswith("[00:00.00 - 00:60.00] A:\n  \n\n[01:00.00 - 01:01.01] B:\n  hi\n\n")
     assert report.startswith("Dosya: \nTespit Edilen Dil: \nKonuşmacı Sayısı: 2 (A, B)\nToplam Süre: 0.00 saniye\n====")
+
+
+def test_alike_pairs_across_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i % 2, i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(90)]
+    rows += [(0, 90, [0.0] * 3), (0, 91, None), (0, 92, [1.0, None, 0.0]), (1, 93, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "record_id long, vec_id long, embedding array<float>")
+    b = df.select("record_id", F.col("vec_id").alias("vec_b"), F.col("embedding").alias("eb"))
+    plain = df.join(b, "record_id").where("vec_id < vec_b").withColumn("cos", vectors.cosine("embedding", "eb")).where("cos >= 0.3")
+    want = sorted((r.record_id, r.vec_id, r.vec_b, r.cos) for r in plain.collect())
+    for block in (7, 1000):
+        found = vectors.alike_pairs(df, 0.3, block)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    # Vectors meet in cells of two blocks, not in a join of a record with itself.
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
