@@ -20,14 +20,21 @@ def cosine_distances(x: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - unit @ unit.T, 0.0, 2.0)
 
 
-def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf) -> dict[int, np.ndarray]:
-    """Labels by number of clusters, from all apart down to `least`, or until the closest two are `limit` apart."""
+def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf, most: int | None = None) -> dict[int, np.ndarray]:
+    """Labels by number of clusters, from all apart down to `least`, or until the closest two are `limit` apart; those of more than `most` clusters are not kept.
+
+    Each row keeps its nearest other, so that a step looks at one number a row, and at the rows whose nearest has changed.
+    """
     n = len(d)
+    most = n if most is None else most
     near, sizes, labels = d.astype(float).copy(), np.ones(n), np.arange(n)
     np.fill_diagonal(near, np.inf)
-    found = {n: labels.copy()}
+    best, low = near.argmin(1), near.min(1)
+    unknown = bool(np.isnan(near).any())
+    found = {n: labels.copy()} if n <= most else {}
     for k in range(n - 1, least - 1, -1):
-        i, j = sorted(divmod(int(np.argmin(near)), n))
+        first = int(np.argmin(low))
+        i, j = sorted((first, int(best[first])))
         if near[i, j] >= limit:
             break
         mean = (sizes[i] * near[i] + sizes[j] * near[j]) / (sizes[i] + sizes[j])
@@ -36,7 +43,15 @@ def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf) -> dic
         near[j], near[:, j] = np.inf, np.inf
         sizes[i] += sizes[j]
         labels[labels == j] = i
-        found[k] = np.unique(labels, return_inverse=True)[1]
+        now = near[:, i]
+        changed = np.isin(best, (i, j)) & np.isfinite(low)
+        closer = ~changed & ((now < low) | ((now == low) & (i < best)))
+        best[closer], low[closer] = i, now[closer]
+        again = np.arange(n) if unknown else np.union1d(np.flatnonzero(changed), (i, j))
+        best[again] = near[again].argmin(1)
+        low[again] = near[again, best[again]]
+        if k <= most:
+            found[k] = np.unique(labels, return_inverse=True)[1]
     return found
 
 
@@ -77,15 +92,16 @@ def count_speakers(x: np.ndarray, most: int = 6, same: float = 0.18, floor: floa
     most = min(most, n - 1)
     if most < 2:
         return (1 if d[0, 1] < same else 2), "single_pair"
-    cuts = average_linkage(d, 2)
+    cuts = average_linkage(d, 2, most=most)
     fit = {k: (round(silhouette(d, cuts[k]), 4), round(centroid_gap(x, cuts[k]), 4)) for k in range(2, most + 1)}
     if fit[2][1] < same:
         return 1, "k1_centroid_distance_below_threshold"
     if max(s for s, _ in fit.values()) < floor:
         return 1, "k1_silhouette_floor"
-    gaps = eigengaps(d, most)
-    if method == "eigengap" and len(gaps) >= 2:
-        return int(np.argmax(gaps[1:])) + 2, "eigengap_max"
+    if method == "eigengap":
+        gaps = eigengaps(d, most)
+        if len(gaps) >= 2:
+            return int(np.argmax(gaps[1:])) + 2, "eigengap_max"
     apart = {k: v for k, v in fit.items() if v[1] >= distinct} or fit
     return max(apart, key=lambda k: apart[k][0]), "silhouette_max"
 
@@ -119,7 +135,7 @@ def per_record(voices: DataFrame, schema: str, run) -> DataFrame:
 
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(r, ids, x):
-        cuts = average_linkage(cosine_distances(x), min(3, len(x)))
+        cuts = average_linkage(cosine_distances(x), min(3, len(x)), most=min(3, len(x)))
         return {"record_id": r, "vec_id": ids, "cluster": cuts[min(cuts)]}
 
     return per_record(vectors.voices(spark, sf_dir), "record_id long, vec_id long, cluster int", run)

@@ -118,3 +118,20 @@ def test_speaker_map(spark):
     df = spark.createDataFrame(list(enumerate(answers)), "n int, answer string")
     got = {r.n: r.m for r in df.select("n", text.speaker_map(F.col("answer")).alias("m")).collect()}
     assert [got[n] for n in range(len(answers))] == list(answers.values())
+
+
+def test_linkage_keeps_nearest_others():
+    rng = np.random.default_rng(5)
+    for n, x in ((40, rng.standard_normal((40, 5))), (30, rng.integers(-1, 2, (30, 2)).astype(float))):
+        d = speakers.cosine_distances(x)
+        near, sizes, labels = d.copy(), np.ones(n), np.arange(n)
+        np.fill_diagonal(near, np.inf)
+        found = speakers.average_linkage(d, 2)
+        for k in range(n - 1, 1, -1):
+            i, j = sorted(divmod(int(np.argmin(near)), n))
+            near[i] = near[:, i] = (sizes[i] * near[i] + sizes[j] * near[j]) / (sizes[i] + sizes[j])
+            near[i, i] = near[j] = near[:, j] = np.inf
+            sizes[i] += sizes[j]
+            labels[labels == j] = i
+            assert (found[k] == np.unique(labels, return_inverse=True)[1]).all()
+        assert list(speakers.average_linkage(d, 2, most=3)) == [3, 2]
