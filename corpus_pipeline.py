@@ -23,7 +23,7 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, size=5, similarity=0.8)
+    return simhash.keep_one(docs, size=5, similarity=0.8, distance=2)
 
 
 def sanitise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

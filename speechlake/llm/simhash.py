@@ -58,10 +58,14 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed long."""
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes)).view(">i8")[0])
+
+
 def simhash(text: bytes, size: int) -> int:
     """As a signed long."""
-    h = shingle_hashes(words_of(text), size)
-    return int(np.packbits(bit_counts(h) * 2 > len(h)).view(">i8")[0])
+    return majority(shingle_hashes(words_of(text), size))
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -142,7 +146,7 @@ def link_components(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     return prints.df.join(name.df, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near duplicates by similarity: an exact join on the rarest shingles, exact verification.
+# Near duplicates by fingerprint, and by similarity: an exact join on the rarest shingles, exact verification.
 
 #: Lists of more texts than this get leaders before what is left is paired.
 LONG_LIST, LEADERS = 64, 3
@@ -159,19 +163,21 @@ def parity(tokens: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, th, shingles binary, bits): th hashes the text, shingles are 32 bits of each distinct one, sorted, bits their parity."""
+    """(doc_id, th, fp, shingles binary, bits): th hashes the text, fp is the SimHash of its distinct shingles (a line that repeats counts once,
+    as in the similarity), shingles are 32 bits of each distinct one, sorted, bits their parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)) for t in common.each(part.column(2).cast(pa.binary()))]
+                hashes = [np.unique(shingle_hashes(words_of(t), size)) for t in common.each(part.column(2).cast(pa.binary()))]
+                sets = [np.unique(h.astype(np.uint32)) for h in hashes]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(parity, sets), pa.list_(pa.int64()))],
-                    ["doc_id", "th", "shingles", "bits"],
+                    [part.column(0), part.column(1), pa.array(map(majority, hashes), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(parity, sets), pa.list_(pa.int64()))],
+                    ["doc_id", "th", "fp", "shingles", "bits"],
                 )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, shingles binary, bits array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long, shingles binary, bits array<long>")
 
 
 def common_shingles(sets: DataFrame) -> np.ndarray:
@@ -276,15 +282,28 @@ def led(rows: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct()
 
 
-def similar_components(sets: DataFrame, similarity: float) -> common.Saved:
-    """(node, label): components of the texts (th, shingles) linked at the similarity; see near_duplicates."""
+def fingerprint_links(sets: DataFrame, distance: int) -> common.Saved:
+    """(a, b): links that join the texts (th, fp) whose fingerprints are within the distance; equal ones through their smallest th."""
+    leads = common.Saved(sets.groupBy("fp").agg(F.min("th").alias("lead")), "leads")
+    same = sets.select("th", "fp").join(leads.df, "fp").where("th <> lead").select(F.col("th").alias("a"), F.col("lead").alias("b"))
+    close = hamming_links(leads.df.select("fp"), distance)
+    for end in ("a", "b"):
+        close = close.join(leads.df.select(F.col("fp").alias(end), F.col("lead").alias(f"lead_{end}")), end)
+    found = common.Saved(same.unionByName(close.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))), "alike")
+    leads.drop()
+    return found
+
+
+def similar_components(sets: DataFrame, similarity: float, distance: int = 2) -> common.Saved:
+    """(node, label): components of the texts (th, fp, shingles, bits) linked by fingerprint or at the similarity; see near_duplicates."""
+    alike = fingerprint_links(sets, distance)
     counted = postings(sets, similarity).withColumn("count", F.count("*").over(Window.partitionBy("token")))
     shared = common.Saved(counted.where("count > 1"), "shared")
     short = shared.df.where(F.col("count") <= LONG_LIST).withColumn("label", F.col("th"))
     long = shared.df.where(F.col("count") > LONG_LIST)
     first = common.Saved(paired(short, similarity).unionByName(led(long, similarity)).distinct(), "pairs")
     found = common.Saved(verified(first.df, sets, similarity), "found")
-    comp = common.connected_components(found.df)
+    comp = common.connected_components(found.df.unionByName(alike.df))
     labelled = long.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("token", "th", "n", "at", F.coalesce("label", "th").alias("label"))
     labelled = common.Saved(labelled, "labelled")
     mixed = labelled.df.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
@@ -295,18 +314,19 @@ def similar_components(sets: DataFrame, similarity: float) -> common.Saved:
     if rest.df.limit(1).count():
         more = common.Saved(verified(rest.df, sets, similarity), "found")
         if more.df.limit(1).count():
-            comp = common.connected_components(found.df.unionByName(more.df))
+            comp = common.connected_components(found.df.unionByName(more.df).unionByName(alike.df))
         more.drop()
-    for step in (rest, found):
+    for step in (rest, found, alike):
         step.drop()
     return comp
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """(doc_id, th): of each group of near-duplicate documents (doc_id, text), the one that stays.
 
-    Equal texts are one. Texts are linked if their sets of word shingles have at least the
-    Jaccard similarity, and groups are the components of the links; the smallest doc_id of a
+    Equal texts are one. Texts are linked if the SimHash fingerprints of their distinct word
+    shingles are within the distance (`hamming_links`), or if the sets of shingles have at least the
+    Jaccard similarity, which meets what fingerprints miss; groups are the components of the links; the smallest doc_id of a
     group stays. In one order of all shingles, common ones last, two such texts share one of
     their first n - ceil(similarity * n) + 1: every pair that does is a candidate, so no link
     is missed at any size. In lists of more than LONG_LIST texts some leaders meet all others
@@ -315,21 +335,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     common.ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     done = common.Saved(prints(source.withColumn("th", F.xxhash64("text")), size), "prints")
-    sets = common.Saved(done.df.select("th", "shingles", "bits").dropDuplicates(["th"]), "sets")
-    comp = similar_components(sets.df, similarity)
+    sets = common.Saved(done.df.select("th", "fp", "shingles", "bits").dropDuplicates(["th"]), "sets")
+    reps = common.Saved(done.df.groupBy("th").agg(F.min("doc_id").alias("rep")), "reps")
+    done.drop()
+    comp = similar_components(sets.df, similarity, distance)
     sets.drop()
-    reps = done.df.groupBy("th").agg(F.min("doc_id").alias("rep"))
-    labelled = common.Saved(reps.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "labelled")
+    labelled = common.Saved(reps.df.join(comp.df.withColumnRenamed("node", "th"), "th", "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "labelled")
     best = labelled.df.groupBy("label").agg(F.min(F.struct("rep", "th")).alias("b"))
     keepers = common.Saved(best.select(F.col("b.rep").alias("doc_id"), F.col("b.th").alias("th")), "keepers")
-    for step in (done, comp, labelled):
+    for step in (reps, comp, labelled):
         step.drop()
     return keepers.df
 
 
-def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """docs without near duplicates: one row of each group stays, with all its columns."""
     own_id, own_text = common.fresh(docs, "own_id", "own_text")
-    keepers = near_duplicates(docs, size, similarity).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_text))
+    keepers = near_duplicates(docs, size, similarity, distance).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_text))
     keyed = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(own_text, F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(keepers, [own_id, own_text], "left_semi").dropDuplicates([own_id, own_text]).select(*[F.col(f"`{c}`") for c in docs.columns])

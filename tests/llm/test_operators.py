@@ -136,6 +136,19 @@ def test_near_duplicates_of_few_words(spark):
     assert want == set(range(0, 400, 2)) and kept == want
 
 
+def test_near_duplicates_by_fingerprint(spark):
+    near, far = [0, 0b11, 0b1111, 1 << 20 | 0b1111], [-1, 0xFF00FF00FF]
+    empty = bytearray(np.array([7], np.uint32).tobytes())
+    rows = [(th, fp, bytearray(np.array([1000 + th], np.uint32).tobytes()), [0] * 8) for th, fp in enumerate([*near, *far, near[0]])] + [(9, 0b11, empty, [0] * 8)]
+    sets = spark.createDataFrame(rows, "th long, fp long, shingles binary, bits array<long>")
+    label = {r.node: r.label for r in simhash.similar_components(sets, 0.8).df.collect()}
+    # Chains of two bits, equal fingerprints, and nothing else: no two sets share a shingle.
+    assert len({label[th] for th in (0, 1, 2, 3, 6, 9)}) == 1 and not {4, 5} & set(label)
+    text = " ".join(f"w{i}" for i in range(40))
+    done = simhash.prints(docs(spark, [text, text + " said again" * 50, "other"]).withColumn("th", F.col("doc_id")), 5).collect()
+    assert [r.fp for r in done][0] == simhash.simhash(text.encode(), 5) and len({r.fp for r in done}) == 3
+
+
 def test_document_fingerprints(spark, corpus):
     texts = [*ODD, *corpus]
     got = {r.doc_id: r for r in cws.fingerprint_pairs(docs(spark, texts)).collect()}
