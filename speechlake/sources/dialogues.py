@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turns a recording has at most; no dialogue of 35 seconds has so many.
-MOST = 64
+#: Turns a recording has at most; no dialogue of 35 seconds has so many. FIRST are made for all, the others for those that these do not fill.
+MOST, FIRST = 64, 16
 
 
 def uniform(seed: int, record: Column, turn: Column, k: int) -> Column:
@@ -33,12 +33,18 @@ def dialogues(recordings: DataFrame, overlap: float = 0.08, seed: int = 42) -> D
     us = lambda x: (F.floor(x * 100) * 10_000).cast("long")
     whole = 15 + F.floor(uniform(seed, F.col("record_id"), F.lit(-1), 0) * 21)
     voices = F.when(F.pmod(F.col("record_id"), F.lit(3)) == 0, 3).otherwise(2)
-    rows = recordings.where("record_id IS NOT NULL").select("record_id").distinct().withColumn("seg_idx", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
+    ids = recordings.where("record_id IS NOT NULL").select("record_id").distinct()
+    length = us(F.when(u(1) < 0.25, 0.4 + 0.5 * u(2)).otherwise(2.0 + 5.0 * u(2)))
+    turns = lambda df, first, last: df.withColumn("seg_idx", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("d", length)
     record = Window.partitionBy("record_id")
     order = record.orderBy("seg_idx")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("d", us(F.when(u(1) < 0.25, 0.4 + 0.5 * u(2)).otherwise(2.0 + 5.0 * u(2))))
-    rows = rows.withColumn("passed", F.sum("d").over(upto) - F.col("d")).where(F.col("passed") < whole * 1_000_000)
+    passed = F.sum("d").over(upto) - F.col("d")
+    begun = turns(ids, 0, FIRST - 1)
+    open_ = begun.groupBy("record_id").agg(F.sum("d").alias("before")).where(F.col("before") < whole * 1_000_000)
+    made = [begun.withColumn("passed", passed), turns(open_, FIRST, MOST - 1).withColumn("passed", F.col("before") + passed)]
+    columns = ["record_id", "seg_idx", "d", "passed"]
+    rows = made[0].select(columns).unionByName(made[1].select(columns)).where(F.col("passed") < whole * 1_000_000)
     rows = rows.withColumns(
         {
             # One to k - 1 places on from the speaker before: never the same.

@@ -32,6 +32,13 @@ def test_overlap_of_dialogues_is_the_target(spark, target):
     assert any(len(v) == 3 for v in voices.values())
 
 
+def test_dialogues_that_the_first_turns_do_not_fill(spark, monkeypatch):
+    df = spark.range(60).withColumnRenamed("id", "record_id")
+    whole = {tuple(r) for r in dialogues.dialogues(df).collect()}
+    monkeypatch.setattr(dialogues, "FIRST", 3)
+    assert {tuple(r) for r in dialogues.dialogues(df).collect()} == whole and max(r[1] for r in whole) > 3
+
+
 def test_dialogues_do_not_depend_on_partitions_or_neighbours(spark):
     df = spark.range(1, 40).withColumnRenamed("id", "record_id")
     whole = {tuple(r) for r in dialogues.dialogues(df.repartition(7)).collect()}
