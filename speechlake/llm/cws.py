@@ -6,12 +6,13 @@ and ln a = ln c - r * (t - b + 1), the sample is the (term, t) of least a. Two t
 a sample with probability sum(min) / sum(max) of their weights, the generalised Jaccard
 similarity.
 
-Every term is drawn once for each of the GROUPS * DRAWS samples: likeness is the share of
-equal samples. What a term gives with a weight is the same in every document, so the
-documents of a range are first gathered by term and weight (CHUNK of them at most), the
-draws are made once, a row a group of DRAWS, and handed to the documents, where a sample is a
-plain minimum. Two 64-bit hashes give the uniforms of a draw; ln a and 32 bits naming
-(term, t) are packed in one long.
+Every term is drawn for each of the GROUPS * DRAWS samples: likeness is the share of equal
+samples. r * b and r * (1 - b) are independent of each other and from Exp(1), and so are
+c * exp(-r * (1 - b)), which is a for weight 1, and what is left of c. Drawn are these four, so
+that r, c and b have their laws and a weight of 1, that of most terms, takes one hash and no
+logarithm: as its a grows with the uniform behind it, that uniform's bits are compared
+themselves. Others give 1 - exp(-a) in the same measure. Its upper 32 bits and 32 bits naming
+(term, t) are packed in one long, so that a sample is a plain minimum.
 
 Documents are exchanged once, in ranges of doc_id: the next document, the words and the
 samples of a document are all found inside its range.
@@ -27,27 +28,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: More draws a row make methods that the virtual machine does not compile.
-GROUPS, DRAWS = 22, 6
+GROUPS, DRAWS, FEW = 11, 12, 2
 SPACE = r"[\x20\x09-\x0D]+"
-#: Ranges of doc_id for each of the shuffle's partitions: enough that a range's word counts stay in memory, few enough that its documents share terms.
+#: All up to the last white space.
+HEAD = r"(?s)^.*[\x20\x09-\x0D]"
+#: Ranges of doc_id for each of the shuffle's partitions: enough that a range's word counts stay in memory.
 RANGES = 16
 #: Groups from here on carry a document's own values.
 OWN = 100
-#: Documents that share a term's draws at most.
-CHUNK = 4096
+#: Words of the text and of the edited one alike.
+BOTH = -1
 
 
-def uniform(column: str, low: int, bits: int) -> Column:
-    part = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    return (part + F.lit(0.5)) / F.lit(float(1 << bits))
+def uniform(column: str, low: int) -> Column:
+    """32 bits of a hash as a number between 0 and 1; the upper ones grow with the hash, taken as signed."""
+    part = F.shiftright(column, 32) + F.lit(2.0**31) if low else F.col(column).bitwiseAND(F.lit(0xFFFFFFFF))
+    return (part + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
-def packed(i: int) -> Column:
-    """ln a in the upper, the sample's name in the lower 32 bits."""
-    t = F.floor(F.col("ln_w") / F.col(f"r{i}") + F.col(f"b{i}"))
-    ln_a = F.col(f"ln_c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + 1)
-    name = F.col(f"h{i}").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(((ln_a + 64) * F.lit(float(1 << 24))).cast("long"), 32).bitwiseOR(name)
+def draws(terms: DataFrame, kept: list[str]) -> DataFrame:
+    """Adds d0 to d(DRAWS - 1) to rows (term, weight, grp, few): what the term gives to the samples of the group.
+
+    Weights of 1 have a few of -1 and fill a row; the others, whose draws take more code, have rows of FEW draws, from FEW * few on.
+    A sample's a is in the upper, its name in the lower 32 bits; where t is 0 they are the hash itself.
+    """
+    each, light, more = range(FEW), F.col("few") < 0, F.col("few") >= 0
+    place = lambda k: (F.col("few") * FEW + k) * 2
+    out = terms.select(*kept, "term", "grp", "few", "weight", *[F.when(more, F.xxhash64("term", "grp", place(k) + j)).alias(f"{c}{k}") for k in each for j, c in enumerate("hg")])
+    # a of weight 1, the rest of c, r * b and r in turn, as far as they are asked for.
+    out = out.select("*", *[c for k in each for c in (F.when(more, -F.log(1 - uniform(f"h{k}", 32))).alias(f"a{k}"), F.when(more, -F.log(uniform(f"g{k}", 0))).alias(f"c{k}"))])
+    moved = lambda k: F.col(f"a{k}") * (F.col("weight") - 1) >= F.col(f"c{k}")
+    out = out.select("*", *[F.when(moved(k), -F.log(uniform(f"g{k}", 32))).alias(f"rb{k}") for k in each])
+    out = out.select("*", *[F.when(F.col(f"rb{k}").isNotNull(), F.col(f"rb{k}") + F.log(F.col(f"c{k}") / F.col(f"a{k}") + 1)).alias(f"r{k}") for k in each])
+    out = out.select("*", *[F.when(F.col(f"r{k}").isNotNull(), F.floor((F.log(F.col("weight").cast("double")) + F.col(f"rb{k}")) / F.col(f"r{k}"))).alias(f"t{k}") for k in each])
+
+    def packed(k: int) -> Column:
+        a = (F.col(f"a{k}") + F.col(f"c{k}")) * F.exp(F.col(f"rb{k}") - F.col(f"r{k}") * (F.col(f"t{k}") + 1))
+        upper = F.least(F.floor((1 - F.exp(-a)) * F.lit(2.0**32)), F.lit((1 << 32) - 1)) - F.lit(1 << 31)
+        name = F.col(f"h{k}").bitwiseXOR(F.col(f"t{k}") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.when(F.col(f"t{k}").isNotNull(), F.shiftleft(upper, 32).bitwiseOR(name)).otherwise(F.col(f"h{k}"))
+
+    out = out.select(*kept, "term", "grp", "few", *[packed(k).alias(f"v{k}") for k in each])
+    return out.select(*kept, "grp", *[F.when(light, F.xxhash64("term", "grp", F.lit(2 * i))).when(F.col("few") == i // FEW, F.col(f"v{i % FEW}")).alias(f"d{i}") for i in range(DRAWS)])
 
 
 def range_of(doc_id: Column, bounds: list[int]) -> Column:
@@ -96,14 +118,17 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = with_next(docs).withColumn("edited", F.when(F.col("guard") == 0, edited)).withColumn("sha", F.sha2("edited", 256))
+    # Words that end before the cut are those of both texts; of a guard only the text is asked for.
+    rows = rows.withColumn("head", F.when(F.col("guard") == 0, F.length(F.regexp_extract(F.substring("text", F.lit(1), n - cut), HEAD, 0))).otherwise(0))
+    after = lambda c: F.substring(c, F.col("head") + 1, F.length(c))
     none = F.lit(None)
 
     def entry(kind: int, body: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), body.cast("string").alias("body"), value.cast("long").alias("value"))
 
-    # Kinds 0 and 1 are the two texts; the others carry a document's own values past the count of its words.
+    # Kinds 0 and 1 are what the two texts have apart; the others carry a document's own values past the count of its words.
     sha = [F.conv(F.substring("sha", 1 + 8 * i, 8), 16, 10) for i in range(8)]
-    entries = [entry(0, F.col("text"), F.lit(1)), entry(1, F.col("edited"), F.lit(1))]
+    entries = [entry(BOTH, F.substring("text", F.lit(1), F.col("head")), F.lit(1)), entry(0, after(F.col("text")), F.lit(1)), entry(1, after(F.col("edited")), F.lit(1))]
     entries += [entry(2 + i, none, v) for i, v in enumerate([*sha, n, F.col("doc_id"), F.col("guard")])]
     words = rows.select("part", "at", F.explode(F.array(*entries)).alias("e")).select(
         "part", "at", "e.kind", "e.value", F.explode(F.split(F.coalesce("e.body", F.lit("-")), SPACE)).alias("word")
@@ -112,36 +137,22 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         words.where((F.col("kind") > 1) | (F.col("word") != ""))
         .select("part", "at", F.when(F.col("kind") > 1, F.col("kind")).otherwise(0).alias("mark"), F.when(F.col("kind") > 1, F.lit(0).cast("long")).otherwise(F.xxhash64("word")).alias("term"), "kind", "value")
         .groupBy("part", "at", "mark", "term")
-        .agg(F.sum(F.when(F.col("kind") != 1, F.col("value"))).alias("w"), F.sum(F.when(F.col("kind") == 1, F.col("value"))).alias("w_edited"))
+        .agg(F.sum(F.when(F.col("kind") != 1, F.col("value"))).alias("w"), F.sum(F.when(F.col("kind").isin(BOTH, 1), F.col("value"))).alias("w_edited"))
     )
     # Sides: 0 the text, 1 the edited text, 2 both with one weight.
     is_term = F.col("mark") == 0
     on = lambda weight, side: F.struct(weight.alias("weight"), F.lit(side).alias("side"))
     same = F.col("w") == F.col("w_edited")
     sides = F.when(~is_term | F.col("w_edited").isNull(), F.array(on(F.col("w"), 0))).when(F.col("w").isNull(), F.array(on(F.col("w_edited"), 1))).when(same, F.array(on(F.col("w"), 2)))
-    uses = counted.select("part", "at", "mark", "term", F.explode(sides.otherwise(F.array(on(F.col("w"), 0), on(F.col("w_edited"), 1)))).alias("u")).select("part", "at", "mark", "term", "u.*")
-    shared = uses.groupBy("part", F.floor(F.col("at") / CHUNK).alias("chunk"), "mark", "term", "weight").agg(F.collect_list(F.col("at") * 4 + F.col("side")).alias("docs"))  # CHUNK documents, two sides
-    draws = (
-        shared.select(
-            "part", "mark", "term", "weight", "docs",
-            F.when(is_term, F.log(F.col("weight").cast("double"))).alias("ln_w"),
-            F.explode(F.when(is_term, F.sequence(F.lit(0), F.lit(GROUPS - 1))).otherwise(F.array(F.col("mark") + OWN))).alias("grp"),
-        )
-        .select("part", "mark", "weight", "docs", "grp", "ln_w", *[F.xxhash64("term", "grp", F.lit(2 * i + j)).alias(f"{c}{i}") for i in range(DRAWS) for j, c in enumerate("hg")])
-        .select(
-            "part", "mark", "weight", "docs", "grp", "ln_w",
-            *[c for i in range(DRAWS) for c in (
-                F.col(f"h{i}"),
-                (-F.log(uniform(f"h{i}", 0, 21) * uniform(f"h{i}", 21, 21))).alias(f"r{i}"),
-                uniform(f"h{i}", 42, 22).alias(f"b{i}"),
-                F.log(-F.log(uniform(f"g{i}", 0, 32) * uniform(f"g{i}", 32, 32))).alias(f"ln_c{i}"),
-            )],
-        )
-        # A document's own value takes the place of its first draw.
-        .select("part", "grp", "docs", *[(F.when(is_term, packed(i)).otherwise(F.col("weight")) if i == 0 else packed(i)).alias(f"d{i}") for i in range(DRAWS)])
-        .select("part", "grp", F.explode("docs").alias("doc"), *[f"d{i}" for i in range(DRAWS)])
-    )
-    by_side = draws.groupBy("part", "doc", "grp").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(DRAWS)])
+    uses = counted.select("part", "at", "mark", "term", F.explode(sides.otherwise(F.array(on(F.col("w"), 0), on(F.col("w_edited"), 1)))).alias("u"))
+    rows_of = lambda groups, fews: F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(f).alias("few")) for g in groups for f in fews])
+    own = F.array(F.struct((F.col("mark") + OWN).alias("grp"), F.lit(-1).alias("few")))
+    places = F.when(~is_term, own).when(F.col("u.weight") == 1, rows_of(range(GROUPS), [-1])).otherwise(rows_of(range(GROUPS), range(DRAWS // FEW)))
+    asked = uses.select("part", (F.col("at") * 4 + F.col("u.side")).alias("doc"), "mark", "term", "u.weight", F.explode(places).alias("p")).select("part", "doc", "mark", "term", "weight", "p.*")
+    drawn = draws(asked.withColumn("own", F.when(~is_term, F.col("weight"))), ["part", "doc", "own"])
+    # A document's own value takes the place of its first draw.
+    drawn = drawn.withColumn("d0", F.when(F.col("grp") < OWN, F.col("d0")).otherwise(F.col("own")))
+    by_side = drawn.groupBy("part", "doc", "grp").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(DRAWS)])
     side = F.col("doc") % 4
     mins = [F.min(F.when(side != other, F.col(f"d{i}"))).alias(f"{name}{i}") for name, other in (("x", 1), ("y", 0)) for i in range(DRAWS)]
     sampled = by_side.groupBy("part", F.floor(F.col("doc") / 4).alias("at"), "grp").agg(*mins)

@@ -179,6 +179,41 @@ def test_document_fingerprints_of_uneven_weights(spark):
     assert abs(np.mean([got[i] for i in range(0, 80, 2)]) - 1000 / 1200) < 0.03
 
 
+def test_draws_of_weights_agree_as_their_share(spark):
+    # A term's a has the law Exp(weight), and two of its weights agree in min / max of the samples.
+    fews = F.when(F.col("weight") == 1, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(cws.DRAWS // cws.FEW))))
+    terms = spark.range(2000).select("id", F.col("id").alias("term"), F.lit(3).alias("grp"), F.explode(F.array(*[F.lit(w).cast("long") for w in (1, 2, 3, 50)])).alias("weight"))
+    drawn = cws.draws(terms.withColumn("w", F.col("weight")).withColumn("few", F.explode(fews)), ["id", "w"])
+    got = {}
+    for r in drawn.groupBy("w", "id").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(cws.DRAWS)]).orderBy("w", "id").collect():
+        got.setdefault(r.w, []).append(r[2:])
+    d = {w: np.array(v) for w, v in got.items()}
+    for w, v in d.items():
+        a = -np.log1p(-((v >> 32) + 2.0**31 + 0.5) / 2.0**32)
+        assert abs(a.mean() * w - 1) < 0.03 and abs(a.std() * w - 1) < 0.04
+        for other in d:
+            assert abs(np.mean((v & 0xFFFFFFFF) == (d[other] & 0xFFFFFFFF)) - min(w, other) / max(w, other)) < 0.015
+    # Weights of 1 take no logarithm: their hash is the draw.
+    h = spark.range(2000).select(F.xxhash64("id", F.lit(3), F.lit(0)).alias("h")).toPandas().h.to_numpy()
+    assert sorted(h) == sorted(d[1][:, 0])
+
+
+def test_document_fingerprints_of_likeness_to_the_edited_text(spark):
+    texts = [" ".join([f"w{i}x{j % (20 + i)}" for j in range(60 + 7 * i)]) for i in range(60)]
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(None, "no id  at all ")], "doc_id long, text string"), allowMissingColumns=True)
+    got = {r.doc_id: r for r in cws.fingerprint_pairs(df).collect()}
+    order, off = [None, *range(60)], []
+    text = {None: "no id  at all "} | dict(enumerate(texts))
+    for i, k in enumerate(order):
+        t, nxt = text[k], text[order[(i + 1) % 61]]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + nxt[:cut]
+        assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = Counter(t.split()), Counter(edited.split())
+        off.append(got[k].near_edited - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.07
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 16))
