@@ -1,7 +1,8 @@
 """Clustering of a record's speaker vectors: linkage, silhouette, eigengap and speaker count.
 
-All-pairs distances of one record are held in one task: memory grows with the square of a
-record's vectors, so callers pass a vector per interval, not per frame.
+All-pairs distances of one record are held in one task for linkage and silhouette: memory grows
+with the square of a record's vectors, so callers pass a vector per interval, not per frame.
+Eigengaps of many vectors take similarities a block of rows at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from ..sources import workers
 from . import vectors
 
 
+#: Vectors whose similarities are held at once, similarities of a block of rows, columns of a step and at most of the basis, and the largest residual of an eigenvalue.
+DENSE, CELLS, STEP, BASIS, RESIDUAL = 1000, 1 << 22, 32, 320, 1e-8
+
+
 def cosine_distances(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
@@ -83,6 +88,60 @@ def eigengaps(d: np.ndarray, most: int) -> np.ndarray:
     return np.diff(values[: most + 1])
 
 
+def largest_eigenvalues(product, n: int, count: int) -> np.ndarray:
+    """The largest eigenvalues, descending, of a symmetric matrix given by its product with n rows of columns: block Lanczos.
+
+    All columns of the basis stay orthogonal, and a full one starts again from its best vectors, so that memory grows with n
+    alone. Each value is within RESIDUAL of an eigenvalue. More equal values than a step's columns are found as far as asked for.
+    """
+    rng = np.random.default_rng(42)
+    step = max(STEP, count + 1)
+    q = np.linalg.qr(rng.standard_normal((n, step)))[0]
+    basis, h = q, np.zeros((0, 0))
+    while True:
+        w = product(q)
+        column = basis.T @ w
+        old = len(h)
+        grown = np.zeros((basis.shape[1], basis.shape[1]))
+        grown[:old, :old], grown[:, old:], grown[old:, :old] = h, column, column[:old].T
+        h = (grown + grown.T) / 2
+        rest = w - basis @ column
+        values, vectors = np.linalg.eigh(h)
+        off = np.linalg.norm(rest @ vectors[old:, -count:], axis=0)
+        if off.max() <= RESIDUAL:
+            return values[::-1][:count]
+        if len(h) + step > min(BASIS, n):
+            kept = min(count + step, len(h) - 1)
+            basis, h = basis @ vectors[:, -kept:], np.diag(values[-kept:])
+        # What is left of a product; of columns that are spent, new directions.
+        spent = np.linalg.norm(rest, axis=0) <= 1e-13
+        rest[:, spent] = rng.standard_normal((n, int(spent.sum())))
+        for _ in range(3):
+            rest -= basis @ (basis.T @ rest)
+            rest = np.linalg.qr(rest)[0]
+        q = rest
+        basis = np.hstack([basis, q])
+
+
+def blockwise_eigengaps(x: np.ndarray, most: int) -> np.ndarray:
+    """`eigengaps` of the vectors' cosine distances, in memory that grows with the vectors; all similarities are taken, again for each step."""
+    if len(x) <= DENSE:
+        return eigengaps(cosine_distances(x), most)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    blocks = [slice(at, at + max(1, CELLS // len(x))) for at in range(0, len(x), max(1, CELLS // len(x)))]
+
+    def likened(columns: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), columns.shape[1]))
+        for rows in blocks:
+            like = unit[rows] @ unit.T
+            out[rows] = np.clip(like, 0.0, 1.0, out=like) @ columns
+        return out
+
+    scale = 1.0 / np.sqrt(np.maximum(likened(np.ones((len(x), 1))), 1e-8))
+    return np.diff(1.0 - largest_eigenvalues(lambda v: scale * likened(scale * v), len(x), min(most + 1, len(x))))
+
+
 def count_speakers(x: np.ndarray, most: int = 6, same: float = 0.18, floor: float = 0.22, distinct: float = 0.14, method: str = "silhouette") -> tuple[int, str]:
     """Number of speakers and the rule that decided: few vectors, close means, weak silhouettes, then the best k."""
     n = len(x)
@@ -151,7 +210,7 @@ def speaker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eigengap(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(r, ids, x):
-        gaps = eigengaps(cosine_distances(x), min(10, len(x)))
+        gaps = blockwise_eigengaps(x, min(10, len(x)))
         return {"record_id": r, "i": range(len(gaps)), "gap": gaps.round(4)}
 
     return per_record(vectors.voices(spark, sf_dir), "record_id long, i int, gap double", run)

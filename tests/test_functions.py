@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import itertools
+import tracemalloc
 import wave
 
 import numpy as np
@@ -135,3 +136,21 @@ def test_linkage_keeps_nearest_others():
             labels[labels == j] = i
             assert (found[k] == np.unique(labels, return_inverse=True)[1]).all()
         assert list(speakers.average_linkage(d, 2, most=3)) == [3, 2]
+
+
+def test_blockwise_eigengaps_are_those_of_the_whole_matrix():
+    rng = np.random.default_rng(5)
+    copies = rng.standard_normal((1100, 16))
+    copies[:500], copies[500:530], copies[530] = copies[0], 0, np.nan
+    for x in (rng.standard_normal((1200, 16)), copies, np.eye(16)[rng.integers(0, 16, 1100)], np.ones((1100, 4)), rng.standard_normal((40, 8))):
+        most = min(10, len(x))
+        assert np.abs(speakers.blockwise_eigengaps(x, most) - speakers.eigengaps(speakers.cosine_distances(x), most)).max() < 1e-9
+
+
+def test_blockwise_eigengaps_hold_no_square():
+    x = np.random.default_rng(6).standard_normal((4000, 16))
+    tracemalloc.start()
+    speakers.blockwise_eigengaps(x, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 4000 * 8
