@@ -9,6 +9,8 @@ from ..functions.text import ends_punctuated, only_punctuation
 from .intervals import islands
 
 UNKNOWN = "SPEAKER_UNKNOWN"
+#: Least number of parts that records are dealt to.
+PARTS = 96
 SILENCE_US, SHORT_US, BIND_GAP_US, SANDWICH_US = 1_500_000, 1_000_000, 300_000, 800_000
 
 
@@ -29,7 +31,8 @@ def attribute(words: DataFrame, segments: DataFrame, by_record: bool = False, bl
     meets = (F.col("start_us") <= F.col("end_us")) & ((shared > 0) | holds) & (F.col("_block") == F.floor(F.greatest("start_us", "s0") / block_us))
     met = asked.join(s, (F.col("record_id") == F.col("_record")) & (F.col("_block") == F.col("_filed")) & meets, "left")
     if by_record:
-        met = met.repartition("record_id")
+        # A given number is not merged to a task or two a core, so that a task's words grow with the table by the share of one of many.
+        met = met.repartition(max(PARTS, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "record_id")
     best = F.min_by("found", F.when(F.col("s0").isNotNull(), F.struct(~holds, F.when(holds, 0).otherwise(-shared), "seg_idx")))
     others = [F.first(c).alias(c) for c in words.columns if c not in ("record_id", "w_idx")]
     told = met.groupBy("record_id", "w_idx").agg(*others, best.alias("found"))

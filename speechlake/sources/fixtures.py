@@ -24,6 +24,8 @@ def segments_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM events""")
 
 
+#: Least number of parts that records are dealt to; a given number is not merged to a task or two a core.
+PARTS = 96
 #: Words of a turn's text, and how many.
 WORDS = "filter(split({text}, '[ \\\\t\\\\r\\\\n]+'), w -> w <> '')"
 START_US = "400000L * {at} + 2000000L * ({at} DIV 37)"
@@ -36,7 +38,7 @@ def turns_cv(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     view(spark, sf_dir, "conversations")
     kept = "".join(f", {c}" for c in columns)
-    dealt = spark.sql(f"SELECT conv_id AS record_id, turn, role, coalesce(size({WORDS.format(text='text')}), 0) AS n{kept} FROM conversations").repartition("record_id")
+    dealt = spark.sql(f"SELECT conv_id AS record_id, turn, role, coalesce(size({WORDS.format(text='text')}), 0) AS n{kept} FROM conversations").repartition(max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "record_id")
     dealt.createOrReplaceTempView("dealt_cv")
     return spark.sql(f"""
         SELECT record_id, turn, said, CAST(sum(n) OVER (PARTITION BY record_id ORDER BY turn) - n AS BIGINT) AS base

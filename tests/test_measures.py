@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from speechlake.operators import evaluation, exports, vectors
+from speechlake.operators import evaluation, exports, turns, vectors
 
 
 def p_of(spark, diffs):
@@ -49,6 +49,15 @@ def test_text_report_without_a_recording(spark):
     assert report.startswith("Dosya: \nTespit Edilen Dil: \nKonuşmacı Sayısı: 2 (A, B)\nToplam Süre: 0.00 saniye\n====")
 
 
+def test_words_of_records_are_dealt_to_many_tasks(spark):
+    words = spark.range(4000).selectExpr("id DIV 10 AS record_id", "id % 10 AS w_idx", "'w' AS word", "id % 10 * 400000 AS start_us", "id % 10 * 400000 + 300000 AS end_us")
+    segments = spark.range(400).selectExpr("id AS record_id", "0L AS seg_idx", "'A' AS speaker_id", "0L AS start_us", "9000000L AS end_us")
+    per_task = turns.utterances(turns.attribute(words, segments, by_record=True)).groupBy(F.spark_partition_id()).count()
+    sizes = [r["count"] for r in per_task.collect()]
+    # Records are few and small, and still not merged into a task or two a core.
+    assert sum(sizes) == 400 and max(sizes) < 30
+
+
 def test_alike_pairs_across_blocks(spark):
     rng = random.Random(3)
     rows = [(i % 2, i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(90)]
