@@ -1,8 +1,8 @@
 """Clustering of a record's speaker vectors: linkage, silhouette, eigengap and speaker count.
 
-All-pairs distances of one record are held in one task for linkage and silhouette: memory grows
-with the square of a record's vectors, so callers pass a vector per interval, not per frame.
-Eigengaps of many vectors take similarities a block of rows at a time.
+All-pairs distances of one record are held in one task for silhouette: memory grows with the
+square of a record's vectors, so callers pass a vector per interval, not per frame. Linkage and
+eigengaps of many vectors take similarities a block of rows at a time.
 """
 
 from __future__ import annotations
@@ -17,22 +17,29 @@ from . import vectors
 
 #: Vectors whose similarities are held at once, similarities of a block of rows, columns of a step and at most of the basis, and the largest residual of an eigenvalue.
 DENSE, CELLS, STEP, BASIS, RESIDUAL = 1000, 1 << 22, 32, 320, 1e-8
+#: Clusters that look for their nearest at once, at least.
+LOOKING = 64
 
 
-def cosine_distances(x: np.ndarray) -> np.ndarray:
+def unit_vectors(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def cosine_distances(x: np.ndarray) -> np.ndarray:
+    unit = unit_vectors(x)
     return np.clip(1.0 - unit @ unit.T, 0.0, 2.0)
 
 
-def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf, most: int | None = None) -> dict[int, np.ndarray]:
+def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf, most: int | None = None, sizes: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """Labels by number of clusters, from all apart down to `least`, or until the closest two are `limit` apart; those of more than `most` clusters are not kept.
 
     Each row keeps its nearest other, so that a step looks at one number a row, and at the rows whose nearest has changed.
+    A row stands for as many points as `sizes` says.
     """
     n = len(d)
     most = n if most is None else most
-    near, sizes, labels = d.astype(float).copy(), np.ones(n), np.arange(n)
+    near, sizes, labels = d.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float), np.arange(n)
     np.fill_diagonal(near, np.inf)
     best, low = near.argmin(1), near.min(1)
     unknown = bool(np.isnan(near).any())
@@ -60,6 +67,135 @@ def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf, most:
     return found
 
 
+def cluster_means(unit: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, sizes, means) of clusters, by ascending label."""
+    own, place, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    sums = np.zeros((len(own), unit.shape[1]))
+    np.add.at(sums, place, unit)
+    return own, sizes.astype(float), sums / sizes[:, None]
+
+
+def first_members(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first point of each point's cluster after merges of j into i."""
+    into = np.arange(n)
+    into[j] = i
+    while (into[into] != into).any():
+        into = into[into]
+    return into
+
+
+def close_merges(mean: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of average linkage, j being merged into i, of clusters of unit vectors given by their means, while two are less than 1 apart.
+
+    The mean distance of two clusters is 1 less the product of their means, so no pair is held. Two that are each other's
+    nearest are merged, whatever else is closer: a merge brings no cluster nearer to a third than its parts were, so that a
+    nearest other stays the nearest until it is merged itself. Of those that have lost theirs, the closest look again first.
+    Parts precede the whole, and are no further apart.
+    """
+    mean, sizes, at = mean.copy(), sizes.copy(), np.arange(len(mean))
+    best, like, apart = np.zeros(len(mean), int), np.ones(len(mean)), np.zeros(len(mean))
+    alive, lost = np.ones(len(mean), bool), np.ones(len(mean), bool)
+    found, most = [(at[:0], at[:0], apart[:0])], len(mean)
+    while True:
+        rows = np.flatnonzero(lost)
+        if len(rows) > most:
+            rows = rows[np.argpartition(-like[rows], most - 1)[:most]]
+        step = max(1, CELLS // max(1, len(mean)))
+        for block in (rows[k : k + step] for k in range(0, len(rows), step)):
+            each, alike = np.arange(len(block)), mean[block] @ mean.T
+            alike[each, block] = -np.inf
+            best[block] = alike.argmax(1)
+            like[block] = alike[each, best[block]]
+        lost[rows] = False
+        # A mean of zeros, as merged ones have, is never nearer than 1.
+        known = ~lost & (like > 0)
+        i = np.flatnonzero(known)
+        i = i[(best[best[i]] == i) & known[best[i]] & (i < best[i])]
+        if not len(i) and lost.any():
+            most = LOOKING
+            continue
+        if not len(i):
+            if not known.any():
+                return tuple(np.concatenate(c) for c in zip(*found))
+            # Equal likenesses that rounding has put in a ring: the two closest.
+            i = np.flatnonzero(known)
+            i = i[[like[i].argmax()]]
+        i, j = np.minimum(i, best[i]), np.maximum(i, best[i])
+        apart[i] = np.maximum(1.0 - np.maximum(like[i], like[j]), np.maximum(apart[i], apart[j]))
+        found.append((at[i], at[j], apart[i]))
+        mean[i] = (sizes[i, None] * mean[i] + sizes[j, None] * mean[j]) / (sizes[i] + sizes[j])[:, None]
+        sizes[i] += sizes[j]
+        mean[j], like[j], alive[j] = 0.0, -1.0, False
+        merged = np.zeros(len(mean), bool)
+        merged[i] = merged[j] = True
+        lost |= merged[best] & (like > 0)
+        lost[i] = True
+        most = max(LOOKING, 2 * len(i))
+        if alive.sum() < 0.75 * len(mean):
+            best = (np.cumsum(alive) - 1)[best]
+            mean, sizes, at, best, like, apart, lost, alive = (v[alive] for v in (mean, sizes, at, best, like, apart, lost, alive))
+
+
+def blockwise_linkage(x: np.ndarray, least: int = 1, limit: float = np.inf, most: int | None = None) -> dict[int, np.ndarray]:
+    """`average_linkage` of the vectors' cosine distances, in memory that grows with the vectors; time is quadratic.
+
+    Where distances are equal but for rounding, either merge can come first, as it can on the whole matrix.
+    """
+    n = len(x)
+    most = n if most is None else most
+    if n <= DENSE:
+        return average_linkage(cosine_distances(x), least, limit, most)
+    unit = unit_vectors(x)
+    unknown = np.flatnonzero(np.isnan(unit).any(1))
+    last: dict[int, np.ndarray] = {}
+    if len(unknown):
+        # A distance that is no number precedes all others: the first vector takes the first of those, then all others in order.
+        j = np.array([v for v in dict.fromkeys((int(unknown[0]), *range(n))) if v])
+        i, far = np.zeros_like(j), np.full(n - 1, np.nan)
+    else:
+        # Equal vectors first: those equal to nine digits are closer than a distance in double precision can tell.
+        some, empty = np.flatnonzero(unit.any(1)), np.flatnonzero(~unit.any(1))
+        first: dict[bytes, int] = {}
+        own = np.array([first.setdefault(v.tobytes(), at) for at, v in zip(some.tolist(), unit[some].round(9) + 0.0)], int)
+        copies = np.flatnonzero(own != some)
+        copies = copies[np.argsort(own[copies], kind="stable")]
+        lead, sizes, mean = cluster_means(unit[some], own)
+        a, b, far = close_merges(mean, sizes)
+        i, j, far = np.r_[own[copies], lead[a]], np.r_[some[copies], lead[b]], np.r_[np.zeros(len(copies)), far]
+        order = np.argsort(far, kind="stable")
+        i, j, far = i[order], j[order], far[order]
+        # What is left is 1 apart or more, at most two clusters a component but for vectors without length. Those are 1 from all:
+        # the first cluster takes the first that is 1 from it, until all of them are taken.
+        own = first_members(n, i, j)
+        lead, sizes, mean = cluster_means(unit[some], own[some])
+        taken, sums = [], mean * sizes[:, None]
+        if len(empty):
+            if len(lead) and lead[0] == 0:
+                into, lead, sums = sums[0], lead[1:], sums[1:]
+            else:
+                into, empty = np.zeros(x.shape[1]), empty[1:]
+            while len(empty):
+                level = np.flatnonzero(sums @ into >= 0)
+                until = int(np.searchsorted(empty, lead[level[0]])) if len(level) else len(empty)
+                taken += empty[:until].tolist()
+                empty = empty[until:]
+                if len(empty):
+                    taken.append(int(lead[level[0]]))
+                    into, lead, sums = into + sums[level[0]], np.delete(lead, level[0]), np.delete(sums, level[0], 0)
+            i, j, far = np.r_[i, np.zeros(len(taken), int)], np.r_[j, np.array(taken, int)], np.r_[far, np.ones(len(taken))]
+            own = first_members(n, i, j)
+        lead, sizes, mean = cluster_means(unit, own)
+        last = {k: labels[np.searchsorted(lead, own)] for k, labels in average_linkage(np.clip(1.0 - mean @ mean.T, 0.0, 2.0), least, limit, most, sizes).items()}
+    near = int(np.argmax(far >= limit)) if (far >= limit).any() else len(far)
+    found = {}
+    for k in range(min(most, n), least - 1, -1):
+        if n - k <= near:
+            found[k] = np.unique(first_members(n, i[: n - k], j[: n - k]), return_inverse=True)[1]
+        elif near == len(far) and k in last:
+            found[k] = last[k]
+    return found
+
+
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     """Mean of (between - within) / max of both; 0 for a point alone in its cluster."""
     member = labels[:, None] == np.unique(labels)[None, :]
@@ -127,8 +263,7 @@ def blockwise_eigengaps(x: np.ndarray, most: int) -> np.ndarray:
     """`eigengaps` of the vectors' cosine distances, in memory that grows with the vectors; all similarities are taken, again for each step."""
     if len(x) <= DENSE:
         return eigengaps(cosine_distances(x), most)
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    unit = unit_vectors(x)
     blocks = [slice(at, at + max(1, CELLS // len(x))) for at in range(0, len(x), max(1, CELLS // len(x)))]
 
     def likened(columns: np.ndarray) -> np.ndarray:
@@ -194,7 +329,7 @@ def per_record(voices: DataFrame, schema: str, run) -> DataFrame:
 
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(r, ids, x):
-        cuts = average_linkage(cosine_distances(x), min(3, len(x)), most=min(3, len(x)))
+        cuts = blockwise_linkage(x, min(3, len(x)), most=min(3, len(x)))
         return {"record_id": r, "vec_id": ids, "cluster": cuts[min(cuts)]}
 
     return per_record(vectors.voices(spark, sf_dir), "record_id long, vec_id long, cluster int", run)

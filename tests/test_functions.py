@@ -8,6 +8,7 @@ import tracemalloc
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,37 @@ def test_blockwise_eigengaps_hold_no_square():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4000 * 4000 * 8
+
+
+def test_blockwise_linkage_is_that_of_the_whole_matrix():
+    rng = np.random.default_rng(9)
+    n = 1100
+    copies, empty, first, broken = (rng.standard_normal((n, 16)) for _ in range(4))
+    copies[rng.permutation(n)[:500]] = copies[0]
+    empty[rng.permutation(n)[:40]], first[rng.permutation(n)[:40]], first[0] = 0, 0, 0
+    broken[5, 2], broken[9] = np.inf, np.nan
+    axes = np.eye(16)[rng.integers(0, 16, n)]
+    axes[rng.permutation(n)[:40]] = 0
+    with np.errstate(invalid="ignore"):
+        for x in (rng.standard_normal((n, 16)), rng.standard_normal((n, 1)), copies, empty, first, broken, axes, np.zeros((n, 4)), np.ones((n, 4)), rng.standard_normal((40, 8))):
+            d = speakers.cosine_distances(x)
+            for cut in ({"most": 30}, {"least": 3, "limit": 0.6}, {"limit": 1.05, "most": 30}, {"least": 2, "limit": 0.5, "most": 6}):
+                want, got = speakers.average_linkage(d, **cut), speakers.blockwise_linkage(x, **cut)
+                assert list(got) == list(want)
+                assert all((got[k] == want[k]).all() for k in want)
+
+
+def test_blockwise_linkage_holds_no_square():
+    x = np.random.default_rng(6).standard_normal((4000, 16))
+    tracemalloc.start()
+    speakers.blockwise_linkage(x, 3, most=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 4000 * 8
+
+
+def test_clusters_of_a_large_record(spark, tmp_path):
+    x = np.random.default_rng(8).standard_normal((2400, 8)).astype("f4")
+    pd.DataFrame({"vec_id": np.arange(2400) * 20, "embedding": list(x), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    got = speakers.agglomerative(spark, str(tmp_path)).orderBy("vec_id").toPandas()["cluster"]
+    assert (got == speakers.average_linkage(speakers.cosine_distances(x.astype(float)), 3, most=3)[3]).all()
