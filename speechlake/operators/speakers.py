@@ -1,8 +1,8 @@
 """Clustering of a record's speaker vectors: linkage, silhouette, eigengap and speaker count.
 
-All-pairs distances of one record are held in one task for silhouette: memory grows with the
-square of a record's vectors, so callers pass a vector per interval, not per frame. Linkage and
-eigengaps of many vectors take similarities a block of rows at a time.
+A record is one task. Of many vectors, similarities are taken a block of rows at a time: memory
+grows with a record's vectors, time with their square, so callers pass a vector per interval, not
+per frame.
 """
 
 from __future__ import annotations
@@ -31,6 +31,12 @@ def cosine_distances(x: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - unit @ unit.T, 0.0, 2.0)
 
 
+def row_blocks(n: int) -> list[slice]:
+    """Rows of a square of n whose cells are held at once."""
+    step = max(1, CELLS // n)
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
 def average_linkage(d: np.ndarray, least: int = 1, limit: float = np.inf, most: int | None = None, sizes: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """Labels by number of clusters, from all apart down to `least`, or until the closest two are `limit` apart; those of more than `most` clusters are not kept.
 
@@ -198,10 +204,19 @@ def blockwise_linkage(x: np.ndarray, least: int = 1, limit: float = np.inf, most
 
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     """Mean of (between - within) / max of both; 0 for a point alone in its cluster."""
-    member = labels[:, None] == np.unique(labels)[None, :]
-    sums, count = d @ member, member.sum(0)
+    member = members(labels)
+    return silhouette_of_sums(d @ member, member)
+
+
+def members(labels: np.ndarray) -> np.ndarray:
+    return labels[:, None] == np.unique(labels)[None, :]
+
+
+def silhouette_of_sums(sums: np.ndarray, member: np.ndarray) -> float:
+    """`silhouette` from each point's summed distances to each cluster."""
+    count = member.sum(0)
     own = member.argmax(1)
-    rows = np.arange(len(d))
+    rows = np.arange(len(sums))
     within = sums[rows, own] / np.maximum(count[own] - 1, 1)
     others = np.where(member, np.inf, sums / count)
     between = others.min(1)
@@ -209,6 +224,22 @@ def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(count[own] > 1, score, 0.0).mean())
 
 
+def blockwise_silhouettes(x: np.ndarray, cuts: list[np.ndarray]) -> list[float]:
+    """`silhouette` of the vectors' cosine distances for each of these labels, in memory that grows with the vectors; all distances are taken once."""
+    if len(x) <= DENSE:
+        d = cosine_distances(x)
+        return [silhouette(d, labels) for labels in cuts]
+    unit = unit_vectors(x)
+    each = [members(labels) for labels in cuts]
+    ends = np.cumsum([m.shape[1] for m in each])
+    member = np.hstack(each).astype(float)
+    sums = np.empty(member.shape)
+    for rows in row_blocks(len(x)):
+        d = 1.0 - unit[rows] @ unit.T
+        sums[rows] = np.clip(d, 0.0, 2.0, out=d) @ member
+    return [silhouette_of_sums(sums[:, end - m.shape[1] : end], m) for end, m in zip(ends, each)]
+
+
 def centroid_gap(x: np.ndarray, labels: np.ndarray) -> float:
     """Smallest cosine distance between cluster means."""
     means = np.stack([x[labels == c].mean(0) for c in np.unique(labels)])
@@ -264,11 +295,13 @@ def blockwise_eigengaps(x: np.ndarray, most: int) -> np.ndarray:
     if len(x) <= DENSE:
         return eigengaps(cosine_distances(x), most)
     unit = unit_vectors(x)
-    blocks = [slice(at, at + max(1, CELLS // len(x))) for at in range(0, len(x), max(1, CELLS // len(x)))]
+    if np.isnan(unit).any():
+        # As on the whole matrix: steps would not end.
+        raise np.linalg.LinAlgError("Eigenvalues did not converge")
 
     def likened(columns: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), columns.shape[1]))
-        for rows in blocks:
+        for rows in row_blocks(len(x)):
             like = unit[rows] @ unit.T
             out[rows] = np.clip(like, 0.0, 1.0, out=like) @ columns
         return out
@@ -282,18 +315,18 @@ def count_speakers(x: np.ndarray, most: int = 6, same: float = 0.18, floor: floa
     n = len(x)
     if n <= 1:
         return 1, "insufficient_segments"
-    d = cosine_distances(x)
     most = min(most, n - 1)
     if most < 2:
-        return (1 if d[0, 1] < same else 2), "single_pair"
-    cuts = average_linkage(d, 2, most=most)
-    fit = {k: (round(silhouette(d, cuts[k]), 4), round(centroid_gap(x, cuts[k]), 4)) for k in range(2, most + 1)}
+        return (1 if cosine_distances(x[:2])[0, 1] < same else 2), "single_pair"
+    cuts = blockwise_linkage(x, 2, most=most)
+    tried = range(2, most + 1)
+    fit = {k: (round(s, 4), round(centroid_gap(x, cuts[k]), 4)) for k, s in zip(tried, blockwise_silhouettes(x, [cuts[k] for k in tried]))}
     if fit[2][1] < same:
         return 1, "k1_centroid_distance_below_threshold"
     if max(s for s, _ in fit.values()) < floor:
         return 1, "k1_silhouette_floor"
     if method == "eigengap":
-        gaps = eigengaps(d, most)
+        gaps = blockwise_eigengaps(x, most)
         if len(gaps) >= 2:
             return int(np.argmax(gaps[1:])) + 2, "eigengap_max"
     apart = {k: v for k, v in fit.items() if v[1] >= distinct} or fit

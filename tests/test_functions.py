@@ -189,3 +189,28 @@ def test_clusters_of_a_large_record(spark, tmp_path):
     pd.DataFrame({"vec_id": np.arange(2400) * 20, "embedding": list(x), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
     got = speakers.agglomerative(spark, str(tmp_path)).orderBy("vec_id").toPandas()["cluster"]
     assert (got == speakers.average_linkage(speakers.cosine_distances(x.astype(float)), 3, most=3)[3]).all()
+
+
+def test_blockwise_silhouettes_are_those_of_the_whole_matrix():
+    rng = np.random.default_rng(10)
+    voices = np.repeat(np.eye(8)[:3], 400, axis=0) + rng.normal(scale=0.05, size=(1200, 8))
+    empty = voices.copy()
+    empty[rng.permutation(1200)[:40]] = 0
+    for x in (voices, empty, np.repeat(np.eye(4), 300, axis=0), rng.standard_normal((1200, 8)), rng.standard_normal((40, 8))):
+        cuts = list(speakers.blockwise_linkage(x, 2, most=6).values()) + [rng.integers(0, 4, len(x))]
+        d = speakers.cosine_distances(x)
+        assert np.allclose(speakers.blockwise_silhouettes(x, cuts), [speakers.silhouette(d, c) for c in cuts], rtol=0, atol=1e-9)
+    assert speakers.count_speakers(voices) == speakers.count_speakers(voices, method="eigengap")[:1] + ("silhouette_max",) == (3, "silhouette_max")
+    assert speakers.count_speakers(voices[:400])[0] == 1
+    voices[5, 2] = np.inf
+    with np.errstate(invalid="ignore"), pytest.raises(np.linalg.LinAlgError):
+        speakers.blockwise_eigengaps(voices, 6)
+
+
+def test_speaker_count_holds_no_square():
+    x = np.repeat(np.eye(16)[:4], 1000, axis=0) + np.random.default_rng(6).normal(scale=0.05, size=(4000, 16))
+    tracemalloc.start()
+    assert speakers.count_speakers(x) == (4, "silhouette_max")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 4000 * 8
