@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import workers
+from ..sources.fixtures import PARTS
 from . import vectors
 
 
@@ -349,15 +350,19 @@ def greedy_clusters(x: np.ndarray, least: float = 0.75) -> np.ndarray:
 
 
 def per_record(voices: DataFrame, schema: str, run) -> DataFrame:
-    """run(record_id, ids, matrix) for each record, vectors in order of vec_id; gives rows of `schema`."""
+    """run(record_id, ids, matrix) for each record, vectors in order of vec_id; gives rows of `schema`.
+
+    Work grows faster than a record's bytes, so records are dealt to parts that are not merged by size.
+    """
 
     workers.ship(voices.sparkSession)
+    parts = max(PARTS, int(voices.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         return pd.DataFrame(run(key[0], pdf["vec_id"].to_numpy(), np.stack([np.asarray(v, float) for v in pdf["embedding"]])))
 
-    return voices.where("embedding IS NOT NULL").select("record_id", "vec_id", "embedding").groupBy("record_id").applyInPandas(group, schema)
+    return voices.where("embedding IS NOT NULL").select("record_id", "vec_id", "embedding").repartition(parts, "record_id").groupBy("record_id").applyInPandas(group, schema)
 
 
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,3 +214,11 @@ def test_speaker_count_holds_no_square():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4000 * 4000 * 8
+
+
+def test_records_are_dealt_to_more_tasks_than_their_bytes_ask_for(spark):
+    voices = spark.range(200).selectExpr("id % 20 AS record_id", "id AS vec_id", "array(1.0, double(id)) AS embedding")
+    found = speakers.per_record(voices, "record_id long, n int", lambda r, ids, x: {"record_id": [r], "n": [len(x)]})
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.record_id, r.n) for r in rows) == [(r, 10) for r in range(20)]
+    assert len({r.task for r in rows}) > 10
